@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ CHUNK = 4_000_000
 
 def _cloud(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Padded (rows, width) arrays of a list-of-structs column, straight from Arrow's buffers, and their mask."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     width = max(int(lengths.max(initial=0)), 1)
     mask = np.arange(width)[None, :] < lengths[:, None]
     flat = column.flatten()

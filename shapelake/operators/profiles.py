@@ -11,13 +11,17 @@ from shapelake.functions.vectors import moved, rotated, rotation_matrix, vec
 
 def mean_of(points: str) -> Column:
     n = F.size(points)
-    return vec(*(F.aggregate(F.transform(F.col(points), lambda p, c=c: p[c]), F.lit(0.0), lambda s, x: s + x) / n for c in "xyz"))
+    return vec(*(F.aggregate(F.col(points)[c], F.lit(0.0), lambda s, x: s + x) / n for c in "xyz"))  # field c of every struct
 
 
-def _replaced(p: Column, new: Column, fields: list[str], names: str = "xyz") -> Column:
-    """The struct with its position (or direction) replaced and every other field as it was."""
-    at = {f"{names[:-3]}{c}" if len(names) > 3 else c: c for c in "xyz"}
-    return F.struct(*[(new[at[f]] if f in at else p[f]).alias(f) for f in fields])
+def _mapped(points: str, fields: list[str], new) -> Column:
+    """Each struct with the fields that ``new(struct)`` names replaced and every other field as it was."""
+
+    def one(p: Column) -> Column:
+        changed = new(p)
+        return F.struct(*[changed.get(f, p[f]).alias(f) for f in fields])
+
+    return F.transform(points, one)
 
 
 def _fields(df: DataFrame, column: str) -> list[str]:
@@ -29,8 +33,7 @@ def center(df: DataFrame, by: str = "atoms", columns: tuple[str, ...] = ("atoms"
     out = df.withColumn("_mean", mean_of(by))
     for column in columns:
         if column in df.columns:
-            names = _fields(df, column)
-            out = out.withColumn(column, F.transform(column, lambda p, names=names: _replaced(p, vec(*(p[c] - F.col("_mean")[c] for c in "xyz")), names)))
+            out = out.withColumn(column, _mapped(column, _fields(df, column), lambda p: {c: p[c] - F.col("_mean")[c] for c in "xyz"}))
     return out.drop("_mean")
 
 
@@ -43,11 +46,15 @@ def transform(df: DataFrame, q: list[Column], t: list[Column], columns: tuple[st
             continue
         names = _fields(df, column)
 
-        def one(p: Column, names=names) -> Column:
-            at, way = moved(m, t, p), rotated(m, F.struct(*[p[f"v{c}"].alias(c) for c in "xyz"])) if "vx" in names else None
-            return F.struct(*[(at[f] if f in ("x", "y", "z") else way[f[1:]] if f in ("vx", "vy", "vz") else p[f]).alias(f) for f in names])
+        def new(p: Column) -> dict[str, Column]:
+            at = moved(m, t, p)
+            return {c: at[c] for c in "xyz"}
+
+        def new_directed(p: Column) -> dict[str, Column]:
+            way = rotated(m, vec(*(p[f"v{c}"] for c in "xyz")))
+            return {**new(p), **{f"v{c}": way[c] for c in "xyz"}}
 
-        out = out.withColumn(column, F.transform(column, one))
+        out = out.withColumn(column, _mapped(column, names, new_directed if "vx" in names else new))
     return out
 
 
