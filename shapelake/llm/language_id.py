@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def train(docs: DataFrame, languages: list[str] | None = None) -> tuple[list[str
     found = sorted(set(got.column("lang").to_pylist())) if languages is None else list(languages)
     table = np.zeros((max(len(found), 1), 1 << BITS))
     for i, lang in enumerate(found):
-        own = got.filter(pa.compute.equal(got.column("lang"), lang))
+        own = got.filter(pc.equal(got.column("lang"), lang))
         table[i, own.column("bucket").to_numpy()] = own.column("n").to_numpy()
     return found or ["und"], np.log((table + SMOOTH) / (table + SMOOTH).sum(axis=1, keepdims=True)).astype(np.float32)
 
