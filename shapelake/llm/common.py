@@ -43,6 +43,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long: batches to Python hold fewer rows than Spark's default, unless the session set its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive any executor.
 
@@ -51,6 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
@@ -98,6 +106,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names, whatever else the table holds."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -137,6 +146,62 @@ class Memo(dict):
         return type(self), (self.make, self.most)
 
 
+_rng = np.random.default_rng(2_718_281)
+#: A random value per byte, and the powers by which places within a text weigh (with their inverses modulo 2^64).
+LETTER = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
+_P = int(_rng.integers(0, 2**63)) * 2 + 1
+_POWERS = [np.cumprod(np.append(np.uint64(1), np.full(1 << 14, x, dtype=np.uint64))) for x in (_P, pow(_P, -1, 1 << 64))]
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
+PIECE = 1 << 20
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the blank-delimited words of a text's bytes.
+
+    A word's hash is the sum of its letters' values times a power of its place in the word, mixed with its length;
+    prefix sums over the text give all of them at once. Long texts go by pieces that end at a blank.
+    """
+    if len(raw) > PIECE:
+        at = max((raw.rfind(b, 0, PIECE) for b in (b" ", b"\n", b"\t")), default=-1)
+        at = at if at > 0 else min((i for b in (b" ", b"\n", b"\t") if (i := raw.find(b, PIECE)) >= 0), default=len(raw))
+        if at < len(raw):
+            parts, base = [], 0
+            while base < len(raw):  # one level deep, whatever the length
+                end = len(raw) if len(raw) - base <= PIECE else max(raw.rfind(b, base, base + PIECE) for b in (b" ", b"\n", b"\t"))
+                if end <= base:
+                    end = min((i for b in (b" ", b"\n", b"\t") if (i := raw.find(b, base + PIECE)) >= 0), default=len(raw))
+                starts, ends, h = _spans(raw[base:end])
+                parts.append((starts + base, ends + base, h))
+                base = end if end == len(raw) else end + 1
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _spans(raw)
+
+
+def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw)
+    b = np.frombuffer(raw, dtype=np.uint8)
+    blank = np.ones(n + 2, dtype=np.int8)
+    blank[1:-1] = BLANK[b]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    while len(_POWERS[0]) < n + 1:
+        for i, whole in enumerate(_POWERS):  # twice as many: P^(m + k) = P^m * P^k
+            _POWERS[i] = np.concatenate([whole, whole[1:] * whole[-1]])
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(LETTER[b] * _POWERS[0][:n], out=prefix[1:])
+    return starts, ends, mix((prefix[ends] - prefix[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def lowered(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a text in lower case, in order."""
+    return word_spans(lowered(text))[2]
+
+
 def hashes(words: list[str], memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Memo, Scratch, hashes, labelled_sample, map_batches, ngrams, text_rows, texts_of
+from shapelake.llm.common import Scratch, labelled_sample, ngrams, text_rows, texts_of, word_hashes
 
 BITS = 16
 SHARE = 0.8
 
 
-def buckets(text: str, memo: Memo) -> np.ndarray:
+def buckets(text: str) -> np.ndarray:
     """Bucket of every word and of every pair of neighbouring words."""
-    h = hashes(text.lower().split(), memo)
+    h = word_hashes(text)
     return (np.concatenate([ngrams(h, 1), ngrams(h, 2) if len(h) > 1 else h[:0]]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -35,10 +35,10 @@ def counts(texts: DataFrame) -> np.ndarray:
     """n-grams per bucket over all texts. Each task counts for itself; what they send has one row per used bucket."""
 
     def run(batches):
-        memo, total = Memo(), np.zeros(1 << BITS, dtype=np.int64)
+        total = np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
             for text in texts_of(batch):
-                total += np.bincount(buckets(text, memo), minlength=1 << BITS)
+                total += np.bincount(buckets(text), minlength=1 << BITS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
@@ -57,10 +57,10 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.nd
     return np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw)
 
 
-def log_weights(texts: list[str], ratio: np.ndarray, memo: Memo) -> np.ndarray:
+def log_weights(texts: list[str], ratio: np.ndarray) -> np.ndarray:
     out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        own = ratio[buckets(text, memo)]
+        own = ratio[buckets(text)]
         if len(own):
             out[i] = own.sum() / np.sqrt(len(own))
     return out
@@ -102,10 +102,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, bound: in
     ratio = spark.sparkContext.broadcast(log_ratio(target, counts(own)))
 
     def run(batches):
-        memo = Memo()
         for batch in batches:
             texts = texts_of(batch)
-            weight = log_weights(texts, ratio.value, memo)
+            weight = log_weights(texts, ratio.value)
             key = weight + gumbel(batch.column("row").to_numpy().view(np.uint64))
             whole = np.round(np.clip(key, -1e6, 1e6) * 2**40).astype(np.int64)  # exact order, exact histograms
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(whole)], names=["doc_id", "log_weight", "key"])

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Memo, Scratch, hashes, map_batches, mix
+from shapelake.llm.common import Scratch, map_batches, mix, word_hashes
 
 BITS = 15
 TEMPER = 0.15
@@ -50,14 +50,15 @@ def evidence(url: str | None, page: str | None) -> tuple[str, str, str, str]:
     return found[1].lower()[:2] if found else "", host, ".".join(labels[-3:]) if len(labels) > 2 else host, labels[-1] if len(labels) > 1 else ""
 
 
-def features(text: str, memo: Memo) -> np.ndarray:
+def features(text: str) -> np.ndarray:
     """Buckets of words and of character trigrams within words (with their borders)."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    joined = " ".join(words)
+    raw = np.frombuffer(f" {joined} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     grams = mix(raw[:-2] << np.uint64(42) | raw[1:-1] << np.uint64(21) | raw[2:])
-    return (np.concatenate([grams, mix(hashes(words, memo))]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (np.concatenate([grams, word_hashes(joined)]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def train(docs: DataFrame, languages: list[str] | None = None) -> tuple[list[str], np.ndarray]:
@@ -65,11 +66,11 @@ def train(docs: DataFrame, languages: list[str] | None = None) -> tuple[list[str
     named = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
 
     def run(batches):
-        memo, total = Memo(), {}
+        total = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 total.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-                total[lang] += np.bincount(features(text, memo), minlength=1 << BITS)
+                total[lang] += np.bincount(features(text), minlength=1 << BITS)
         for lang, own in total.items():
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], names=["lang", "bucket", "n"])
@@ -96,10 +97,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     shared = spark.sparkContext.broadcast(model[1])
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, seen, first = Memo(most=100_000), [], []
+        seen, first = [], []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             seen.append(evidence(url, page))
-            own = features(visible(page or ""), memo)
+            own = features(visible(page or ""))
             first.append(TEMPER * shared.value[:, own].sum(axis=1, dtype=np.float64) if len(own) else np.zeros(k))
         texts = np.array(first).reshape(-1, k)
         columns = [pa.array([s[i] for s in seen], pa.string()) for i in range(4)]

@@ -20,14 +20,12 @@ result; other columns are ignored (``remove_from`` keeps them).
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Memo, Scratch, as_long, bitmap_of, hashes, long_lists, map_batches, maybe_in, mix, ngrams, odd_multipliers, text_rows
+from shapelake.llm.common import Scratch, as_long, bitmap_of, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_spans
 from shapelake.llm.graph import link_components, shared_keys
 from shapelake.llm.near_dup import bands, pair_scores
 
@@ -39,7 +37,6 @@ LEAST = 18  # words that a removed span has at least
 RADIUS = 4  # a cut's pair of words has the least hash among so many places on either side
 LONGEST = 64  # words of a cut
 ORDINAL_BITS = 20
-WORD = re.compile(r"\S+")
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -56,14 +53,14 @@ BY = odd_multipliers(tune_bands() * ROWS, 31)
 class Cuts:
     """A text's lines and cuts, found again in the same way whenever they are needed."""
 
-    def __init__(self, text: str, memo: Memo):
-        self.lines = text.split("\n")
-        words = [line.split() for line in self.lines]
-        self.per_line = np.array([len(w) for w in words], dtype=np.int64)
+    def __init__(self, text: str):
+        self.text, raw = text, lowered(text)
+        starts, _, self.hash = word_spans(raw)
+        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        self.line_of = np.searchsorted(breaks, starts)
+        self.per_line = np.bincount(self.line_of, minlength=len(breaks) + 1)
         self.line_start = np.concatenate([[0], np.cumsum(self.per_line)])
         n = int(self.line_start[-1])
-        self.hash = hashes([w.lower() for own in words for w in own], memo)
-        self.line_of = np.repeat(np.arange(len(words)), self.per_line)
         self.start = self._starts(n)
         self.end = np.append(self.start[1:], n)
         length = self.end - self.start
@@ -119,7 +116,7 @@ class Cuts:
         """The text without some lines and without some cuts (a mask); and how many words went."""
         gone = np.repeat(cuts, self.end - self.start) if len(cuts) else np.zeros(0, dtype=bool)
         out, removed = [], 0
-        for i, line in enumerate(self.lines):
+        for i, line in enumerate(self.text.split("\n")):
             own = gone[self.line_start[i] : self.line_start[i + 1]]
             if i in lines or (len(own) and own.all()):
                 removed += len(own)
@@ -127,7 +124,8 @@ class Cuts:
                 out.append(line)
             else:
                 removed += int(own.sum())
-                out.append(" ".join(w for w, g in zip(line.split(), own.tolist(), strict=True) if not g))
+                words = line.encode("utf-8", "surrogatepass").split()  # blanks as in the hashes
+                out.append(b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g]).decode("utf-8", "surrogatepass"))
         return "\n".join(out), removed
 
 
@@ -160,11 +158,10 @@ def units(rows: DataFrame) -> DataFrame:
     """Every cut (kind 0: key, occurrence) and every long line (kind 1: key, occurrence, band keys)."""
 
     def run(batches):
-        memo = Memo()
         for batch in batches:
             kinds, keys, places, offsets, values = [], [], [], [0], []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = Cuts(text, memo)
+                own = Cuts(text)
                 n, lines = len(own.key), own.paragraphs()
                 if n:
                     kinds.append(np.zeros(n, np.int8)), keys.append(own.key), places.append(occurrences(rid, np.arange(n)))
@@ -202,13 +199,12 @@ def line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     chosen = owners(rows, lists, "lines")[0].select("text", "lines")
 
     def run(batches):
-        memo = Memo()
         for batch in batches:
             nodes, keys = [], []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                own = Cuts(text, memo)
+                own = Cuts(text)
                 for x in lines:
-                    for i in range(x["line"], len(own.lines), 1 << ORDINAL_BITS):
+                    for i in range(x["line"], len(own.per_line), 1 << ORDINAL_BITS):
                         if own.per_line[i] >= LEAST and own.line_key(i) == x["node"] & (1 << 64) - 1:
                             nodes.append(x["node"]), keys.append(own.line_shingles(i))
                             break
@@ -244,14 +240,14 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(both.groupBy(owner("occurrence").alias("owner")).agg(F.collect_list(F.struct("kind", low.alias("at"), "key")).alias("gone")), "gone")
 
 
-def apply(text: str, gone: list[dict], memo: Memo) -> tuple[str, int]:
+def apply(text: str, gone: list[dict]) -> tuple[str, int]:
     """The text without what is named, as far as it is really there: whole lines, and runs of cuts of ``LEAST`` words."""
-    own = Cuts(text, memo)
+    own = Cuts(text)
     lines, mask = set(), np.zeros(len(own.key), dtype=bool)
     for x in gone:
         key = x["key"] & (1 << 64) - 1
         if x["kind"]:
-            lines |= {i for i in range(x["at"], len(own.lines), 1 << ORDINAL_BITS) if own.per_line[i] >= LEAST and own.line_key(i) == key}
+            lines |= {i for i in range(x["at"], len(own.per_line), 1 << ORDINAL_BITS) if own.per_line[i] >= LEAST and own.line_key(i) == key}
         else:
             at = np.arange(x["at"], len(mask), 1 << ORDINAL_BITS)
             mask[at[own.key[at] == np.uint64(key)]] = True
@@ -266,9 +262,8 @@ def apply(text: str, gone: list[dict], memo: Memo) -> tuple[str, int]:
 
 def _apply_batches(columns: list[str], text_at: str, count_at: str | None):
     def run(batches):
-        memo = Memo()
         for batch in batches:
-            made = [apply(t or "", gone, memo) for t, gone in zip(batch.column(text_at).to_pylist(), batch.column("_gone").to_pylist(), strict=True)]
+            made = [apply(t or "", gone) for t, gone in zip(batch.column(text_at).to_pylist(), batch.column("_gone").to_pylist(), strict=True)]
             out = {c: batch.column(c) for c in columns}
             out[text_at] = pa.array([t for t, _ in made], pa.string())
             if count_at:
