@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapelake.llm.common import Scratch, labelled_sample, ngrams, text_rows, texts_of, word_hashes
@@ -82,7 +82,7 @@ def top_threshold(keys: DataFrame, k: int, fan: int = 4096) -> int | None:
     left = k  # how many of the wanted ones lie at or under ``high``
     while low < high:
         step = max(1, -(-(high - low + 1) // fan))
-        bin_of: Column = F.floor((F.col("key").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)")).cast("long")
+        bin_of = F.expr(f"(key - {low}L) div {step}L")  # whole numbers: keys lie within 2^61
         rows = keys.where(F.col("key").between(low, high)).groupBy(bin_of.alias("bin")).count().collect()
         for row in sorted(rows, key=lambda r: -r["bin"]):
             if left <= row["count"]:

@@ -246,10 +246,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias("kept"))
     fate = found.select("digest", "label", "class_id").distinct().join(heads, "label")
     fate = scratch.save(fate.select(F.col("digest").alias("_digest"), F.col("label").alias("_label"), F.col("class_id").alias("_class"), (F.col("digest") == F.col("kept")).alias("_kept")), "fate")
-    own = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    # the row rides along as one struct, so no name of its columns can clash
+    own = docs.select(F.struct("*").alias("_row"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("_digest"))
     asked = own.withColumn("_maybe", maybe_in(docs.sparkSession, F.col("_digest"), bitmap_of(fate, "_digest")))
-    sure = asked.where(~F.col("_maybe")).select(docs.columns)
+    sure = asked.where(~F.col("_maybe")).select("_row.*")
     joined = asked.where("_maybe").join(fate, "_digest", "left")
-    single = joined.where(F.col("_label").isNull()).select(docs.columns)
-    chosen = joined.where(F.col("_kept") & F.col(id_col).cast("long").eqNullSafe(F.col("_class"))).dropDuplicates(["_label"]).select(docs.columns)
+    single = joined.where(F.col("_label").isNull()).select("_row.*")
+    chosen = joined.where(F.col("_kept") & F.col("_row").getField(id_col).cast("long").eqNullSafe(F.col("_class"))).dropDuplicates(["_label"]).select("_row.*")
     return sure.unionByName(single).unionByName(chosen)

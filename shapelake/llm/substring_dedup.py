@@ -3,10 +3,11 @@
 1. Paragraphs are lines. Those of ``LEAST`` words or more get a MinHash signature over five-word shingles, banded
    for a recall of at least ``RECALL`` at similarity 0.8 (``tune_bands``). Colliding paragraphs are verified by exact
    Jaccard similarity, and links form components; of each component the first occurrence stays.
-2. A passage set into the middle of a line shares no whole paragraph. So lines are also cut at places chosen by their
-   words (where the hash of two neighbouring words is least within four places), which fall alike in every copy.
+2. A passage set into the middle of a line shares no whole paragraph. So texts are also cut at places chosen by their
+   words, whatever the lines (where the hash of two neighbouring words is least within four places), which fall alike in every copy.
    Cuts are short, so a similarity of 0.8 over shingles leaves only equal ones: they collide on one band, a hash of
-   all their words. In a document a run of cuts that all stand elsewhere earlier, of ``LEAST`` words together, goes.
+   all their words. In a document, cuts that stand elsewhere earlier and lie within ``JOIN`` words of each other (a
+   line break or a changed word may part them) go if they have ``LEAST`` words together.
 
 "First" is by a hash of the row (doc_id and text), so that it does not depend on partitions or order. An occurrence
 is one long: 44 bits of the row's hash and the ordinal modulo 2^20. A removal names the cut's own hash too, which is
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 RECALL = 0.995
 ROWS = 3
 LEAST = 18  # words that a removed span has at least
+JOIN = 24  # words that may part two cuts of a span
 RADIUS = 4  # a cut's pair of words has the least hash among so many places on either side
 LONGEST = 64  # words of a cut
 ORDINAL_BITS = 20
@@ -74,19 +76,15 @@ class Cuts:
     def _starts(self, n: int) -> np.ndarray:
         if n == 0:
             return np.zeros(0, dtype=np.int64)
-        h, line = self.hash, self.line_of
-        new_line = np.ones(n, dtype=bool)
-        new_line[1:] = line[1:] != line[:-1]
         least = np.uint64(2**64 - 1)
         pair = np.full(n, least)
-        pair[:-1] = np.where(line[1:] == line[:-1], mix(h[:-1] * np.uint64(3) + h[1:]), least)
+        pair[:-1] = mix(self.hash[:-1] * np.uint64(3) + self.hash[1:])
         cut = pair < least
-        for shift in range(1, RADIUS + 1):  # strictly least to the left, at most as great to the right
-            if shift < n:
-                same = line[shift:] == line[:-shift]
-                cut[shift:] &= ~same | (pair[:-shift] > pair[shift:])
-                cut[:-shift] &= ~same | (pair[shift:] >= pair[:-shift])
-        starts = np.flatnonzero(cut | new_line)
+        for shift in range(1, min(RADIUS, n - 1) + 1):  # strictly least to the left, at most as great to the right
+            cut[shift:] &= pair[:-shift] > pair[shift:]
+            cut[:-shift] &= pair[shift:] >= pair[:-shift]
+        cut[0] = True
+        starts = np.flatnonzero(cut)
         gaps = np.diff(np.append(starts, n))
         if gaps.max() > LONGEST:
             starts = np.concatenate([np.arange(a, a + g, LONGEST) for a, g in zip(starts.tolist(), gaps.tolist(), strict=True)])
@@ -241,7 +239,7 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def apply(text: str, gone: list[dict]) -> tuple[str, int]:
-    """The text without what is named, as far as it is really there: whole lines, and runs of cuts of ``LEAST`` words."""
+    """The text without what is named, as far as it is really there: whole lines, and groups of cuts of ``LEAST`` words."""
     own = Cuts(text)
     lines, mask = set(), np.zeros(len(own.key), dtype=bool)
     for x in gone:
@@ -251,24 +249,23 @@ def apply(text: str, gone: list[dict]) -> tuple[str, int]:
         else:
             at = np.arange(x["at"], len(mask), 1 << ORDINAL_BITS)
             mask[at[own.key[at] == np.uint64(key)]] = True
-    if mask.any():
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-        length = np.concatenate([[0], np.cumsum(own.end - own.start)])
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if length[b] - length[a] < LEAST:
-                mask[a:b] = False
+    at = np.flatnonzero(mask)
+    if len(at):
+        group = np.cumsum(np.concatenate([[0], own.start[at[1:]] - own.end[at[:-1]] > JOIN]).astype(np.int64))
+        words = np.bincount(group, own.end[at] - own.start[at])
+        mask[at[words[group] < LEAST]] = False
     return own.without(lines, mask)
 
 
-def _apply_batches(columns: list[str], text_at: str, count_at: str | None):
+def _apply_batches(columns: list[str], text_at: str, gone_at: str, count_at: str | None):
     def run(batches):
         for batch in batches:
-            made = [apply(t or "", gone) for t, gone in zip(batch.column(text_at).to_pylist(), batch.column("_gone").to_pylist(), strict=True)]
+            made = [apply(t or "", gone) for t, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True)]
             out = {c: batch.column(c) for c in columns}
             out[text_at] = pa.array([t for t, _ in made], pa.string())
             if count_at:
                 out[count_at] = pa.array([n for _, n in made], pa.int64())
-            if "n_chars" in out and pa.types.is_integer(out["n_chars"].type):
+            elif "n_chars" in out and pa.types.is_integer(out["n_chars"].type):
                 out["n_chars"] = pa.array([len(t) for t, _ in made], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
@@ -279,17 +276,21 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: doc_id, text without the repeated spans, and removed_words."""
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     rows = rowed(docs, id_col, text_col)
-    touched, rest = owners(rows, removals(rows, scratch).withColumnRenamed("gone", "_gone"), "_gone")
-    touched = touched.withColumn("removed_words", F.lit(0).cast("long")).select("doc_id", "text", "removed_words", "_gone")
-    cut = touched.mapInArrow(_apply_batches(["doc_id", "text", "removed_words"], "text", "removed_words"), "doc_id long, text string, removed_words long")
+    touched, rest = owners(rows, removals(rows, scratch), "gone")
+    touched = touched.select("doc_id", "text", F.lit(0).cast("long").alias("removed_words"), "gone")
+    cut = touched.mapInArrow(_apply_batches(["doc_id", "text", "removed_words"], "text", "gone", "removed_words"), "doc_id long, text string, removed_words long")
     return cut.unionByName(rest.select("doc_id", "text", F.lit(0).cast("long").alias("removed_words")))
 
 
 def remove_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, with the repeated spans cut out of their texts; n_chars follows the text."""
     scratch = Scratch(docs.sparkSession, "substring_dedup")
-    gone = removals(rowed(docs, id_col, text_col), scratch).withColumnRenamed("gone", "_gone")
-    rows = docs.withColumn("rid", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    touched, rest = owners(rows, gone, "_gone")
-    cut = touched.select(*docs.columns, "_gone").mapInArrow(_apply_batches(docs.columns, text_col, None), docs.schema)
-    return cut.unionByName(rest.select(docs.columns))
+    gone = removals(rowed(docs, id_col, text_col), scratch)
+    # the row rides along as one struct, so no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("rid"))
+    touched, rest = owners(rows, gone, "gone")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    cut = touched.select("row.*", F.col("gone").alias(name)).mapInArrow(_apply_batches(docs.columns, text_col, name, None), docs.schema)
+    return cut.unionByName(rest.select("row.*"))
