@@ -178,6 +178,14 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _spans(raw)
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n powers by which places weigh."""
+    while len(_POWERS[0]) < n:
+        for i, whole in enumerate(_POWERS):  # twice as many: P^(m + k) = P^m * P^k
+            _POWERS[i] = np.concatenate([whole, whole[1:] * whole[-1]])
+    return _POWERS[0][:n]
+
+
 def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     b = np.frombuffer(raw, dtype=np.uint8)
@@ -185,11 +193,9 @@ def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blank[1:-1] = BLANK[b]
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edge[::2], edge[1::2]
-    while len(_POWERS[0]) < n + 1:
-        for i, whole in enumerate(_POWERS):  # twice as many: P^(m + k) = P^m * P^k
-            _POWERS[i] = np.concatenate([whole, whole[1:] * whole[-1]])
+    weight = powers(n + 1)
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(LETTER[b] * _POWERS[0][:n], out=prefix[1:])
+    np.cumsum(LETTER[b] * weight[:n], out=prefix[1:])
     return starts, ends, mix((prefix[ends] - prefix[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
 
 

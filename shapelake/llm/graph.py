@@ -4,23 +4,24 @@ A bucket elects a hub, and every member is compared with it, so a bucket of n me
 that leaves open is settled exactly:
 
 * small buckets compare all their pairs;
-* in a larger bucket whose members are not yet in one component, further hubs are drawn from those outside;
-* after the hub rounds, each remaining pair of different components is compared, unless the hub rules it out: the
-  distance 1 - similarity is a metric for (weighted) Jaccard, so two items whose distances to the hub differ by more
-  than the threshold's distance cannot be linked.
+* a larger bucket whose members are not yet in one component compares them with a second hub, the member nearest to
+  what most members hold;
+* then each remaining pair of different components that can still be linked is compared: the two must differ from
+  that center in common elements, and prefix filtering over those finds such pairs by an equi-join.
 
 So the components are those of all links between members of a common bucket. Nothing is collected to the driver but
-counts, and no step emits the square of a bucket's size unless those pairs really are undecided.
+counts. Members that are alike but not alike enough, such as copies of a short paragraph with one word changed in
+each, meet only where their changes meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch
+from shapelake.llm.common import Scratch, map_batches
 
 SMALL = 4
 
@@ -47,69 +48,174 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Of two sorted sets of keys with weights."""
+    total = float(wa.sum() + wb.sum())
+    if total == 0:
+        return 1.0
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    hit = b[at] == a if len(b) else np.zeros(len(a), dtype=bool)
+    both = float(np.minimum(wa[hit], wb[at[hit]]).sum())
+    return both / (total - both)
+
+
+def pair_scores(sets: DataFrame):
+    """A scorer of pairs (a, b) from sets (node, keys, weights): exact weighted Jaccard similarity."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = []
+        for ka, wa, kb, wb in zip(*(batch.column(c).to_pylist() for c in ("ka", "wa", "kb", "wb")), strict=True):
+            got.append(weighted_jaccard(np.frombuffer(ka, np.uint64), np.frombuffer(wa, np.float32), np.frombuffer(kb, np.uint64), np.frombuffer(wb, np.float32)))
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
+
+    def score(pairs: DataFrame) -> DataFrame:
+        kind = pairs.schema["a"].dataType.simpleString()
+        left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("weights").alias("wa"))
+        right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
+        return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "wa", "kb", "wb"), rows, f"a {kind}, b {kind}, similarity double")
+
+    return score
+
+
 def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     joined = left.withColumnRenamed("node", "x").join(right.withColumnRenamed("node", "y"), on).where("x <> y")
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def link_components(scratch: Scratch, members: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, hub_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Components of the links among members (node, key) of common buckets, and the scored pairs.
+# ---------------------------------------------------------------- differences from a center
+
+
+def difference(x: tuple[np.ndarray, np.ndarray], h: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys on which two weighted sets differ, and by how much."""
+    keys = np.union1d(x[0], h[0])
+    off = np.zeros(len(keys), dtype=np.float64)
+    off[np.searchsorted(keys, x[0])] += x[1]
+    off[np.searchsorted(keys, h[0])] -= h[1]
+    off = np.abs(off)
+    return keys[off > 1e-9], off[off > 1e-9]
+
+
+def _decoded(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, np.uint64), np.frombuffer(weights, np.float32)
+
 
-    ``score(pairs)`` turns distinct (a, b) into (a, b, similarity). Members must be distinct and all their buckets
-    must have two members at least.
+def centers(rows: DataFrame, sets: DataFrame, most: int = 15) -> DataFrame:
+    """(key, ck, cw): what the majority of up to ``most`` members of each bucket hold.
+
+    Any set would do as a reference, so taking it from a few members costs no exactness; a typical one prunes best.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    few = rows.select("key", "node").withColumn("place", place).where(F.col("place") <= most).join(sets, "node").select("key", "keys", "weights")
+
+    def run(table: pa.Table) -> pa.Table:
+        own = [_decoded(k, w) for k, w in zip(table.column("keys").to_pylist(), table.column("weights").to_pylist(), strict=True)]
+        keys, at, n = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True, return_counts=True)
+        mean = np.bincount(at, np.concatenate([w for _, w in own]), minlength=len(keys)) / n
+        held = 2 * n > len(own)
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()], pa.int64()), "ck": pa.array([keys[held].tobytes()], pa.binary()), "cw": pa.array([mean[held].astype(np.float32).tobytes()], pa.binary())})
+
+    return few.groupBy("key").applyInArrow(run, "key long, ck binary, cw binary")
+
+
+def differences(rows: DataFrame, around: DataFrame, sets: DataFrame, tau: float) -> DataFrame:
+    """(key, node, elements, ws, total, excess) of rows (key, node): the difference from the bucket's center.
+
+    total is its weight; excess is total - tau * the member's own weight.
+    """
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            keys, weights, totals, excess = [], [], [], []
+            for ka, wa, kb, wb in zip(*(batch.column(c).to_pylist() for c in ("keys", "weights", "ck", "cw")), strict=True):
+                own = _decoded(ka, wa)
+                k, w = difference(own, _decoded(kb, wb))
+                keys.append(k.view(np.int64)), weights.append(w)
+                totals.append(float(w.sum())), excess.append(float(w.sum()) - tau * float(own[1].sum()))
+            offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, d), *x]))) for d, x in ((np.int64, keys), (np.float64, weights))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), *lists, pa.array(totals, pa.float64()), pa.array(excess, pa.float64())], names=["key", "node", "elements", "ws", "total", "excess"])
+
+    joined = rows.join(around, "key").join(sets, "node").select("key", "node", "keys", "weights", "ck", "cw")
+    return joined.mapInArrow(run, f"key long, node {kind}, elements array<long>, ws array<double>, total double, excess double")
+
+
+def undecided_pairs(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """(a, b): a superset of the pairs of one bucket and different components that can still be linked.
+
+    rows: (key, node, label, elements, ws, total, excess, low, low_label), low being the bucket's least excess.
+
+    With D the difference from any center, |a - b| >= |D_a| + |D_b| - 2 * (what both share), so a link asks D_a and
+    D_b to share at least (excess_a + excess_b) / 2; and where that is not above zero, the two are linked for sure.
+    The latter pairs are both linked to the member of least excess, so they are in one component already. All others
+    differ from the center in common elements: ordered from rare to frequent, the elements up to a tail that weighs
+    less than the bound must meet (prefix filtering), and what many copies have in common stays in the tail.
+    """
+    flat = rows.select("key", "node", "label", "total", "excess", "low", "low_label", F.inline(F.arrays_zip(F.col("elements").alias("element"), F.col("ws").alias("w"))))
+    common = flat.groupBy("key", "element").agg(F.count("*").alias("df"), F.min("label").alias("one"), F.max("label").alias("other"))
+    shared = flat.join(common.where("one <> other").select("key", "element", "df"), ["key", "element"])
+    before = Window.partitionBy("key", "node").orderBy("df", "element").rowsBetween(Window.unboundedPreceding, -1)
+    # elements that meet no other component's come first, as the rarest: their weight is spent, the rest is the tail
+    tail = F.sum("w").over(Window.partitionBy("key", "node")) - F.coalesce(F.sum("w").over(before), F.lit(0.0)) + 1e-6
+    ranked = scratch.save(shared.withColumn("tail", tail).select("key", "element", "node", "label", "tail", "excess", "low", "low_label"), f"{name}_ranked")
+    far = ranked.where("excess > 0")
+    lesser = far.where("tail >= excess").select("key", "element", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("excess").alias("ex"))
+    greater = far.where("tail >= excess / 2").select("key", "element", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("excess").alias("ey"))
+    both = lesser.join(greater, ["key", "element"]).where("lx <> ly and (ex < ey or ex = ey and x < y)").select("x", "y")
+    outside = far.where("label <> low_label and tail >= (excess + low) / 2").select("key", "element", F.col("node").alias("x"))
+    inside = ranked.where("excess <= 0 and tail >= (excess - low) / 2").select("key", "element", F.col("node").alias("y"))
+    across = outside.join(inside, ["key", "element"]).select("x", "y")
+    return both.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+# ---------------------------------------------------------------- components of a bucketed similarity join
+
+
+def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Components of the links among members (node, key) of common buckets, and the scored pairs (a, b, similarity).
+
+    sets: (node, keys, weights) of every member, as ``pair_scores`` takes them. Members must be distinct and all their
+    buckets must have two members at least.
     """
+    score = pair_scores(sets)
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     sized = scratch.save(members.join(counts, "key"), "sized")
     small, large = sized.where(F.col("n") <= SMALL).select("key", "node"), sized.where(F.col("n") > SMALL).select("key", "node")
-
-    def drawn(rows: DataFrame) -> DataFrame:
-        """One member of each key, by a hash, so that a node's buckets differ in their hubs."""
-        return rows.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"))
-
-    hubs = scratch.save(drawn(large), "hubs_1")
-    first = _pairs(small, small.select("key", "node"), ["key"]).where("a <> b").unionByName(large.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-    scored = scratch.save(score(first.distinct()), "scored_1")
-    labels = components(scratch, scored.where(F.col("similarity") >= threshold), "round_1")
-    if large.limit(1).count() == 0:
-        return labels, scored
-    # distance of each member of a large bucket from its first hub
-    far = scored.select("a", "b", (1 - F.col("similarity")).alias("far"))
-    spread = large.join(hubs, "key").withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(far, ["a", "b"], "left")
-    spread = scratch.save(spread.select("key", "node", "hub", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far")), "spread")
-    reach = 1 - threshold + 1e-6
-    all_scored = scored
-    for number in range(2, hub_rounds + 2):
-        now = spread.join(labels, "node", "left").select("key", "node", "far", F.coalesce("label", "node").alias("label"))
-        split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_rows = scratch.save(now.join(split, "key"), f"open_{number}")
-        if open_rows.limit(1).count() == 0:
-            break
-        hub_label = open_rows.where("far = 0").groupBy("key").agg(F.min("label").alias("hub_label"))
-        if number <= hub_rounds:  # another hub, from outside the first hub's component
-            outside = open_rows.join(hub_label, "key").where("label <> hub_label")
-            hub = outside.groupBy("key").agg(F.min_by(F.struct("node", "label", "far"), F.xxhash64("key", "node", F.lit(number))).alias("hub"))
-            rows = open_rows.join(hub, "key").where((F.col("label") != F.col("hub.label")) & (F.abs(F.col("far") - F.col("hub.far")) <= reach))
-            pairs = rows.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        else:  # all that is still undecided, by cells of the distance from the hub
-            cell = open_rows.withColumn("cell", F.floor(F.col("far") / reach))
-            left = cell.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-            rows = left.join(cell, ["key", "cell"]).where((F.col("x") < F.col("node")) & (F.col("lx") != F.col("label")) & (F.abs(F.col("fx") - F.col("far")) <= reach))
-            pairs = rows.select(F.col("x").alias("a"), F.col("node").alias("b"))
-        fresh = pairs.distinct().join(all_scored.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.save(score(fresh), f"scored_{number}")
-        all_scored = all_scored.unionByName(more)
-        linked = more.where(F.col("similarity") >= threshold)
-        if linked.limit(1).count():
-            labels = components(scratch, all_scored.where(F.col("similarity") >= threshold), f"round_{number}")
-    return labels, all_scored
+    # one member of each key, by a hash, so that a node's buckets differ in their hubs
+    hubs = large.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"))
+    to_hub = large.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    known = {"scored": scratch.save(score(_pairs(small, small, ["key"]).unionByName(to_hub).distinct()), "scored_1")}
+    known["labels"] = components(scratch, known["scored"].where(F.col("similarity") >= threshold), "round_1")
+
+    def undecided(rows: DataFrame, name: str) -> DataFrame | None:
+        """Rows (key, node, ...) of buckets with more than one component, with the label; None if there are none."""
+        now = rows.join(known["labels"], "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = now.groupBy("key").agg(F.min("label").alias("_one"), F.max("label").alias("_other")).where("_one <> _other").select("key")
+        saved = scratch.save(now.join(split, "key"), name)
+        return saved if saved.limit(1).count() else None
+
+    def compare(pairs: DataFrame, name: str) -> None:
+        fresh = scratch.save(score(pairs.distinct().join(known["scored"].select("a", "b"), ["a", "b"], "left_anti")), f"scored_{name}")
+        known["scored"] = known["scored"].unionByName(fresh)
+        if fresh.where(F.col("similarity") >= threshold).limit(1).count():
+            known["labels"] = components(scratch, known["scored"].where(F.col("similarity") >= threshold), f"round_{name}")
+
+    rows = undecided(large, "open_2")
+    if rows is None:
+        return known["labels"], known["scored"]
+    # a second hub: of all members the one of least excess over its bucket's center
+    apart = scratch.save(differences(rows.select("key", "node"), scratch.save(centers(rows, sets), "centers"), sets, (1 - threshold) / (1 + threshold)), "apart")
+    least = scratch.save(apart.groupBy("key").agg(F.min_by("node", F.struct("excess", "node")).alias("hub"), F.min("excess").alias("low")), "least")
+    named = rows.select("key", "node", "label").join(least.join(rows.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")), ["key", "hub"]), "key")
+    compare(named.where("label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), "2")
+    rows = undecided(apart, "open_3")
+    if rows is not None:
+        hub_labels = least.join(known["labels"].withColumnRenamed("node", "hub"), "hub", "left").select("key", "low", F.coalesce("label", "hub").alias("low_label"))
+        compare(undecided_pairs(scratch, rows.join(hub_labels, "key"), "last"), "3")
+    return known["labels"], known["scored"]
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """The rows (node, key) whose key at least two different nodes have. Counted before anything is gathered."""
     many = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     return rows.join(many, "key").distinct()
-
-
-def first_of(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """The first row of each group; partial limits come before the shuffle."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_place = 1").drop("_place")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, bitmap_of, map_batches, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
-from shapelake.llm.graph import link_components, shared_keys
+from shapelake.llm.common import Scratch, bitmap_of, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
+from shapelake.llm.graph import link_components, shared_keys, weighted_jaccard  # noqa: F401
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -143,25 +143,14 @@ class Sampler:
 
 
 def bands(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A key per band."""
-    table = samples.reshape(-1, rows)
-    key = np.arange(1, len(table) + 1, dtype=np.uint64)
+    """A key per band, for one (samples,) or many (n, samples) signatures."""
+    table = samples.reshape(*samples.shape[:-1], -1, rows)
+    key = np.broadcast_to(np.arange(1, table.shape[-2] + 1, dtype=np.uint64), table.shape[:-1])
     for i in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[:, i])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[..., i])
     return key
 
 
-def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Of two sorted sets of keys with weights."""
-    total = float(wa.sum() + wb.sum())
-    if total == 0:
-        return 1.0
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    hit = b[at] == a if len(b) else np.zeros(len(a), dtype=bool)
-    both = float(np.minimum(wa[hit], wb[at[hit]]).sum())
-    return both / (total - both)
-
-
 # ---------------------------------------------------------------- Spark
 
 
@@ -171,24 +160,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return own.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
-def pair_scores(scratch: Scratch, sets: DataFrame):
-    """A scorer of pairs (a, b) from sets (node, keys, weights): exact weighted Jaccard similarity."""
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = []
-        for ka, wa, kb, wb in zip(*(batch.column(c).to_pylist() for c in ("ka", "wa", "kb", "wb")), strict=True):
-            got.append(weighted_jaccard(np.frombuffer(ka, np.uint64), np.frombuffer(wa, np.float32), np.frombuffer(kb, np.uint64), np.frombuffer(wb, np.float32)))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
-
-    def score(pairs: DataFrame) -> DataFrame:
-        kind = pairs.schema["a"].dataType.simpleString()
-        left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("weights").alias("wa"))
-        right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
-        return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "wa", "kb", "wb"), rows, f"a {kind}, b {kind}, similarity double")
-
-    return score
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, digest, class_id (smallest doc_id of the class) and whether it is an exact copy."""
     scratch = scratch or Scratch(docs.sparkSession, "near_dup")
@@ -214,7 +185,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
     wanted = scratch.save(members.select("node").distinct().join(signed.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id")), "node"), "wanted")
     sets = scratch.save(shingle_sets(texts, wanted, idf), "sets")
-    labels, _ = link_components(scratch, members, pair_scores(scratch, sets), threshold)
+    labels, _ = link_components(scratch, members, sets, threshold)
     rows = signed.select("doc_id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     rows = scratch.save(rows, "labelled")
     heads = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, as_long, bitmap_of, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_spans
+from shapelake.llm.common import Scratch, as_long, bitmap_of, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, powers, text_rows, word_spans
 from shapelake.llm.graph import link_components, shared_keys
-from shapelake.llm.near_dup import bands, pair_scores
+from shapelake.llm.near_dup import bands
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -94,9 +94,15 @@ class Cuts:
         """Ordinals of the lines that are long enough to be compared."""
         return np.flatnonzero(self.per_line >= LEAST)
 
-    def line_key(self, i: int) -> int:
-        own = self.hash[self.line_start[i] : self.line_start[i + 1]]
-        return int(ngrams(own, len(own))[0])
+    def line_keys(self) -> np.ndarray:
+        """A hash of each line's words in order; 0 for a line without any."""
+        out = np.zeros(len(self.per_line), dtype=np.uint64)
+        full = np.flatnonzero(self.per_line)
+        if len(full):
+            within = np.arange(len(self.hash)) - self.line_start[self.line_of]
+            sums = np.add.reduceat(mix(self.hash) * powers(int(self.per_line.max()))[within], self.line_start[full])
+            out[full] = mix(sums + self.per_line[full].astype(np.uint64))
+        return out
 
     def line_shingles(self, i: int) -> np.ndarray:
         return np.unique(ngrams(self.hash[self.line_start[i] : self.line_start[i + 1]], SHINGLE))
@@ -167,9 +173,9 @@ def units(rows: DataFrame) -> DataFrame:
                 if len(lines):
                     table = own.signatures(lines)
                     kinds.append(np.ones(len(lines), np.int8))
-                    keys.append(np.array([own.line_key(i) for i in lines], dtype=np.uint64))
+                    keys.append(own.line_keys()[lines])
                     places.append(occurrences(rid, lines))
-                    values.append(np.concatenate([bands(s, ROWS) for s in table]))
+                    values.append(bands(table, ROWS).ravel())
                     offsets += [offsets[-1] + (k + 1) * tune_bands() for k in range(len(lines))]
                 if sum(map(len, keys)) > 200_000:
                     yield _unit_batch(kinds, keys, places, offsets, values)
@@ -201,9 +207,10 @@ def line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             nodes, keys = [], []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 own = Cuts(text)
+                line_keys = own.line_keys()
                 for x in lines:
                     for i in range(x["line"], len(own.per_line), 1 << ORDINAL_BITS):
-                        if own.per_line[i] >= LEAST and own.line_key(i) == x["node"] & (1 << 64) - 1:
+                        if own.per_line[i] >= LEAST and int(line_keys[i]) == x["node"] & (1 << 64) - 1:
                             nodes.append(x["node"]), keys.append(own.line_shingles(i))
                             break
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([np.ones(len(k), np.float32).tobytes() for k in keys], pa.binary())], names=["node", "keys", "weights"])
@@ -229,7 +236,7 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(shared_keys(banded), "members")
     wanted = lines.select(F.col("key").alias("node"), "occurrence").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("occurrence").alias("occurrence"))
     sets = scratch.save(line_sets(rows, scratch.save(wanted, "wanted")), "sets")
-    labels, _ = link_components(scratch, members, pair_scores(scratch, sets), THRESHOLD)
+    labels, _ = link_components(scratch, members, sets, THRESHOLD)
     clustered = lines.select("key", "occurrence").join(labels.select(F.col("node").alias("key"), "label"), "key")
     firsts = clustered.groupBy("label").agg(F.min("occurrence").alias("first"))
     near = clustered.join(firsts, "label").where("occurrence <> first").select("key", "occurrence")
@@ -241,11 +248,11 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def apply(text: str, gone: list[dict]) -> tuple[str, int]:
     """The text without what is named, as far as it is really there: whole lines, and groups of cuts of ``LEAST`` words."""
     own = Cuts(text)
-    lines, mask = set(), np.zeros(len(own.key), dtype=bool)
+    lines, mask, line_keys = set(), np.zeros(len(own.key), dtype=bool), own.line_keys()
     for x in gone:
         key = x["key"] & (1 << 64) - 1
         if x["kind"]:
-            lines |= {i for i in range(x["at"], len(own.per_line), 1 << ORDINAL_BITS) if own.per_line[i] >= LEAST and own.line_key(i) == key}
+            lines |= {i for i in range(x["at"], len(own.per_line), 1 << ORDINAL_BITS) if own.per_line[i] >= LEAST and int(line_keys[i]) == key}
         else:
             at = np.arange(x["at"], len(mask), 1 << ORDINAL_BITS)
             mask[at[own.key[at] == np.uint64(key)]] = True

@@ -50,30 +50,55 @@ def test_components(spark):
     assert got == union(edges, {n for e in edges for n in e})
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_links_of_buckets_lose_nothing(spark, seed):
-    """Points on a line with similarity 1 - distance: a metric, so hubs may rule pairs out; chains and gaps abound."""
-    rng = np.random.default_rng(seed)
-    place = np.round(np.concatenate([rng.random(60) * 0.9, rng.random(30) * 3, rng.random(12) * 0.05]), 4)
-    keys = defaultdict(set)
-    for i in range(len(place)):
-        keys[0 if i < 90 else 1].add(i)
-        keys[10 + i % 9].add(i)
-    members = spark.createDataFrame([(int(n), int(k)) for k, own in keys.items() for n in own], "node long, key long")
-    where = spark.createDataFrame([(i, float(p)) for i, p in enumerate(place)], "node long, p double")
-    asked = []
-
-    def score(pairs):
-        asked.append(pairs.count())
-        a, b = (where.withColumnRenamed("node", s).withColumnRenamed("p", f"p{s}") for s in "ab")
-        return pairs.join(a, "a").join(b, "b").selectExpr("a", "b", "greatest(0.0, 1 - abs(pa - pb)) as similarity")
-
-    labels, _ = link_components(Scratch(spark, "t"), shared_keys(members), score, 0.8)
+def link_case(spark, sets, keys, weights=None):
+    """Components by link_components and by brute force, and how many pairs were compared and were possible."""
+    weights = weights or {i: [1.0] * len(own) for i, own in sets.items()}
+    members = spark.createDataFrame([(n, k) for k, own in keys.items() for n in own], "node long, key long")
+    rows = []
+    for n, own in sets.items():
+        order = np.argsort(np.array(own, dtype=np.uint64))
+        rows.append((n, np.array(own, dtype=np.uint64)[order].tobytes(), np.array(weights[n], dtype=np.float32)[order].tobytes()))
+    table = spark.createDataFrame(rows, "node long, keys binary, weights binary")
+    labels, scored = link_components(Scratch(spark, "t"), shared_keys(members), table, 0.8)
     got = {r["node"]: r["label"] for r in labels.collect()}
-    edges = [(a, b) for own in keys.values() for a in own for b in own if a < b and abs(place[a] - place[b]) <= 0.2 + 1e-9]
-    want = union(edges, range(len(place)))
+
+    def similar(a, b):
+        x, y = (dict(zip(sets[i], weights[i], strict=True)) for i in (a, b))
+        both = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+        return both / (sum(x.values()) + sum(y.values()) - both)
+
+    edges = {(a, b) for own in keys.values() for a in own for b in own if a < b and similar(a, b) >= 0.8}
+    want = union(edges, sets)
     assert {n: got.get(n, n) for n in want} == want
-    assert sum(asked) < sum(len(o) * (len(o) - 1) // 2 for o in keys.values())
+    return scored.count(), sum(len(o) * (len(o) - 1) // 2 for o in keys.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_buckets_lose_nothing(spark, seed):
+    """Copies of one set with a few elements changed, chained copies of copies, and strangers, in large buckets."""
+    rng = random.Random(seed)
+    base = list(range(1, 37))
+    sets, weights = {}, {}
+    for i in range(120):
+        own = list(base if i < 60 or i % 3 else sets[rng.randrange(i)])
+        for _ in range(rng.randrange(0, 5)):
+            own[rng.randrange(len(own))] = 1000 + rng.randrange(60 if i % 2 else 10**6)
+        sets[i] = sorted(set(own))[: rng.randrange(30, 40)]
+        weights[i] = [1.0 + (k % 5) / 4 for k in sets[i]]
+    keys = {0: set(range(90)), 1: set(range(70, 120)), **{10 + j: {i for i in range(120) if i % 11 == j} for j in range(11)}}
+    link_case(spark, sets, keys)
+    link_case(spark, sets, keys, weights)
+
+
+def test_copies_with_one_change_each_cost_no_square(spark):
+    """400 paragraphs that share a bucket, none similar enough to another."""
+    rng = random.Random(3)
+    sets = {}
+    for i in range(400):
+        at = rng.randrange(32)
+        sets[i] = sorted({k for k in range(1, 37) if not at < k <= at + 5} | {10_000 + 10 * i + j for j in range(5)})
+    compared, possible = link_case(spark, sets, {0: set(range(400))})
+    assert compared < possible / 10
 
 
 def test_consistent_samples_estimate_weighted_jaccard():
@@ -216,5 +241,5 @@ def test_meeting_owners_remove_nothing_else():
     own = substring_dedup.Cuts(text)
     wrong = [{"kind": 0, "at": i, "key": 12345} for i in range(len(own.key))] + [{"kind": 1, "at": 0, "key": 99}]
     assert substring_dedup.apply(text, wrong) == (text, 0)
-    key = int(np.uint64(own.line_key(0)).astype(np.int64))
+    key = int(np.uint64(own.line_keys()[0]).astype(np.int64))
     assert substring_dedup.apply(text, [{"kind": 1, "at": 0, "key": key}]) == ("", 60)
