@@ -159,12 +159,17 @@ def undecided_pairs(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     tail = F.sum("w").over(Window.partitionBy("key", "node")) - F.coalesce(F.sum("w").over(before), F.lit(0.0)) + 1e-6
     ranked = scratch.save(shared.withColumn("tail", tail).select("key", "element", "node", "label", "tail", "excess", "low", "low_label"), f"{name}_ranked")
     far = ranked.where("excess > 0")
-    lesser = far.where("tail >= excess").select("key", "element", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("excess").alias("ex"))
-    greater = far.where("tail >= excess / 2").select("key", "element", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("excess").alias("ey"))
-    both = lesser.join(greater, ["key", "element"]).where("lx <> ly and (ex < ey or ex = ey and x < y)").select("x", "y")
-    outside = far.where("label <> low_label and tail >= (excess + low) / 2").select("key", "element", F.col("node").alias("x"))
-    inside = ranked.where("excess <= 0 and tail >= (excess - low) / 2").select("key", "element", F.col("node").alias("y"))
-    across = outside.join(inside, ["key", "element"]).select("x", "y")
+
+    def side(rows: DataFrame, n: str) -> DataFrame:
+        return rows.select("key", "element", F.col("node").alias(f"x{n}"), F.col("label").alias(f"l{n}"), F.col("excess").alias(f"e{n}"), F.col("tail").alias(f"t{n}"))
+
+    # at the first element that a pair has in common, both tails must still hold what it has to share
+    enough = "least(t1, t2) >= (e1 + e2) / 2"
+    lesser, greater = side(far.where("tail >= excess"), "1"), side(far.where("tail >= excess / 2"), "2")
+    both = lesser.join(greater, ["key", "element"]).where(f"l1 <> l2 and (e1 < e2 or e1 = e2 and x1 < x2) and {enough}")
+    outside, inside = side(far.where("label <> low_label and tail >= (excess + low) / 2"), "1"), side(ranked.where("excess <= 0 and tail >= (excess - low) / 2"), "2")
+    across = outside.join(inside, ["key", "element"]).where(enough)
+    both, across = (p.select(F.col("x1").alias("x"), F.col("x2").alias("y")) for p in (both, across))
     return both.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
