@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import map_batches, text_rows, texts_of
+from shapelake.llm.common import Scratch, map_batches, text_rows, texts_of
 
 SUFFIX = "</w>"
 #: The characters that the vocabulary's pattern takes for blanks (Unicode White_Space).
@@ -63,9 +63,17 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
+        self.numbers = {i: str(i) for i in self.tokens}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.first = [self.ids[letter] for letter in byte_letters()]
         self.last = [self.ids[letter + SUFFIX] for letter in byte_letters()]
+        self.first_of, self.last_of, self.joined_of = (np.array(x, dtype=np.int64) for x in (self.first, self.last, self.joined))
+        self.table_keys, self.table_ranks = np.full(1 << 18, -1, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
+        for (a, b), i in self.rank.items():
+            at = ((a << 16 | b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - 18)
+            while self.table_keys[at] >= 0:
+                at = (at + 1) & ((1 << 18) - 1)
+            self.table_keys[at], self.table_ranks[at] = a << 16 | b, i
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest-ranked adjacent pair, leftmost first, is joined until none is left."""
@@ -88,6 +96,74 @@ class Vocabulary:
                 ranks[i] = rank((own[i], own[i + 1]), none)
         return own
 
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of many words: all of them take their next merge together, on flat arrays."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[list[int]] = [[]] * len(raw)
+        usual = [i for i, r in enumerate(raw) if 0 < len(r) <= 200]
+        for i, r in enumerate(raw):
+            if len(r) > 200:
+                out[i] = self.merge(words[i])
+        if not usual:
+            return out
+        length = np.fromiter((len(raw[i]) for i in usual), dtype=np.int64, count=len(usual))
+        letters = np.frombuffer(b"".join([raw[i] for i in usual]), dtype=np.uint8)
+        ends = np.cumsum(length)
+        own = self.first_of[letters]
+        own[ends - 1] = self.last_of[letters[ends - 1]]
+        none = len(self.joined)
+        ranks = np.full(len(own), none, dtype=np.int64)
+        ranks[:-1] = self.ranks_of(own[:-1], own[1:])
+        ranks[ends - 1] = none  # a pair never spans two words
+        number = np.array(usual)
+        while len(number):
+            starts = np.cumsum(length) - length
+            low = np.minimum.reduceat(ranks, starts)
+            live = low < none
+            if not live.all():
+                kept = np.repeat(live, length)
+                flat = own[~kept].tolist()
+                at = 0
+                for i, n in zip(number[~live].tolist(), length[~live].tolist(), strict=True):
+                    out[i] = flat[at : at + n]
+                    at += n
+                own, ranks, number, length, low = own[kept], ranks[kept], number[live], length[live], low[live]
+                if not len(number):
+                    break
+                starts = np.cumsum(length) - length
+            of = np.repeat(np.arange(len(number)), length)
+            hits = np.flatnonzero(ranks == low[of])
+            place = hits[np.concatenate([[True], of[hits[1:]] != of[hits[:-1]]])]  # leftmost in each word
+            own[place] = self.joined_of[low]
+            kept = np.ones(len(own), dtype=bool)
+            kept[place + 1] = False
+            own, ranks = own[kept], ranks[kept]
+            place = place - np.arange(len(place))  # one symbol went in each word before
+            length = length - 1
+            ends = np.cumsum(length)
+            starts = ends - length
+            right = place < ends - 1
+            ranks[place] = none
+            ranks[place[right]] = self.ranks_of(own[place[right]], own[place[right] + 1])
+            left = place[place > starts]
+            ranks[left - 1] = self.ranks_of(own[left - 1], own[left])
+        return out
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, the number of merges where there is none, from an open-addressed table."""
+        key = a << 16 | b
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)).astype(np.int64)
+        found = self.table_keys[at]
+        out = np.where(found == key, self.table_ranks[at], len(self.joined))
+        more = np.flatnonzero((found != key) & (found >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << 18) - 1)
+            found = self.table_keys[at[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.table_ranks[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
     def _merge_long(self, own: list[int]) -> list[int]:
         """The same with a queue, for words of any length in n log n."""
         n = len(own)
@@ -226,19 +302,15 @@ class Coder:
         split = [WORDS.findall(c) for c in fresh]
         words = list(dict.fromkeys(w for own in split for w in own))
         ranks = self.automaton.ranks([w.encode("utf-8", "surrogatepass") for w in words]) if self.automaton else np.full(len(words), -1)
-        ids = {}
-        for word, rank in zip(words, ranks.tolist(), strict=True):
-            ids[word] = self.automaton.word_ids(rank) if rank >= 0 else self.vocabulary.merge(word)
+        ids = {w: self.automaton.word_ids(r) for w, r in zip(words, ranks.tolist(), strict=True) if r >= 0}
+        unseen = [w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0]
+        ids.update(zip(unseen, self.vocabulary.merge_all(unseen), strict=True))
         self.found += int((ranks >= 0).sum())
         self.merged += int((ranks < 0).sum())
-        tokens = self.vocabulary.tokens
-        as_text = {w: (" ".join(map(str, own)), " ".join([tokens[i] for i in own])) for w, own in ids.items()}
+        number, token = self.vocabulary.numbers.__getitem__, self.vocabulary.tokens.__getitem__
         for chunk, own in zip(fresh, split, strict=True):
-            if len(own) == 1:
-                self.ids_of[chunk], self.tokens_of[chunk] = as_text[own[0]]
-            else:
-                self.ids_of[chunk] = " ".join([as_text[w][0] for w in own])
-                self.tokens_of[chunk] = " ".join([as_text[w][1] for w in own])
+            every = ids[own[0]] if len(own) == 1 else [i for w in own for i in ids[w]]
+            self.ids_of[chunk], self.tokens_of[chunk] = " ".join(map(number, every)), " ".join(map(token, every))
 
     def _prepare(self, every: set[str]) -> None:
         """Sees to it that all these chunks are known. What was met lately outlives a change of generation."""
@@ -287,7 +359,10 @@ def _coder(source: bytes, image: bytes) -> Coder:
 
 
 def frequent_words(docs: DataFrame, most: int = 131_072, flush: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The ``most`` most frequent words of all texts; ties go to the smaller word. Tasks count before they shuffle."""
+    """The most frequent words of all texts, ``most`` at most; words of equal count go in or stay out together.
+
+    Tasks count before they shuffle. The count to reach is found from a histogram, so only chosen words are collected.
+    """
 
     def run(batches):
         counted: Counter = Counter()
@@ -307,9 +382,19 @@ def frequent_words(docs: DataFrame, most: int = 131_072, flush: int = 400_000, i
                     yield emit()
         yield emit()
 
+    scratch = Scratch(docs.sparkSession, "bpe")
     found = text_rows(docs, id_col, text_col).select("text").mapInArrow(run, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect()]
+    counted = scratch.save(found.groupBy("word").agg(F.sum("n").alias("n")), "counted")
+    # how many words have each count, counts of 1024 and more in steps of a thousandth: under 40,000 rows at any size
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log(F.col("n") / 1024) * 1000)).cast("long")
+    left, least = most, None
+    for row in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        if row["words"] > left:
+            break
+        left, least = left - row["words"], row["n"]
+    words = [] if least is None else [r["word"] for r in counted.where(F.col("n") >= least).select("word").collect()]
+    scratch.drop("counted")
+    return sorted(words)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
