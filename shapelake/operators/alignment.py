@@ -48,14 +48,24 @@ def _needs(mode: str) -> list[str]:
 FIELDS = {"atoms": ["x", "y", "z", "q", "radius"], "surface": ["x", "y", "z", "q"], "pharm": ["ptype", "x", "y", "z", "vx", "vy", "vz"]}
 
 
-def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float | None, seeds: int, steps: int, lr: float, weight: float, probe: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best score, quaternion and shift for each pair of a chunk. ref and fit: column -> (mask, fields)."""
+def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float | None, seeds: int, steps: int, lr: float, weight: float, probe: float, similarity: str = "tanimoto", trans_init: bool = False, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best score, quaternion and shift for each pair of a chunk. ref and fit: column -> (mask, fields).
+
+    ``trans_init`` adds ten turns about each reference point; ``avoid`` names reference points that cost where the
+    fit's atoms come nearer than ``avoid_min_dist`` (scores can then fall below 0).
+    """
     main = "surface" if mode.startswith("surf") else "pharm" if mode == "pharm" else "atoms"
     (ma, a), (mb, b) = ref[main], fit[main]
     pa_, pb = _xyz(a), _xyz(b)
-    start = [K.seeds(x[m > 0], y[n > 0], seeds) if (m > 0).any() and (n > 0).any() else (np.tile([1.0, 0, 0, 0], (seeds, 1)), np.zeros((seeds, 3))) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
-    count = min(len(s[0]) for s in start)
-    q, t = np.stack([s[0][:count] for s in start]), np.stack([s[1][:count] for s in start])
+
+    def poses(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(x) or not len(y):
+            return np.array([[1.0, 0, 0, 0]]), np.zeros((1, 3))
+        return K.seeds_at(x, y, x) if trans_init else K.seeds(x, y, seeds)
+
+    start = [poses(x[m > 0], y[n > 0]) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
+    count = max(len(s[0]) for s in start)  # pairs with fewer poses repeat their first
+    q, t = (np.stack([np.concatenate([s[i], np.repeat(s[i][:1], count - len(s[i]), axis=0)]) for s in start]) for i in range(2))
     final = None
     if mode in ("vol", "surf"):
         channels = [(1.0, K.shape_channel(pa_, pb, ma, mb, alpha))]
@@ -81,17 +91,26 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
             n = (ms.sum(1) + mz.sum(1))[:, None]
             return weight * (e1 + e2) / np.maximum(n, 1) + (1 - weight) * own
 
-    return K.optimise(K.channel_score(channels), q, t, steps, lr, final=final)
+    penalty = None
+    if avoid is not None:
+        (mv, v), (mf, f) = ref[avoid], fit["atoms"]
+        spots, own = _xyz(v), _xyz(f)
+
+        def penalty(q, t):
+            return tuple(avoid_weight * x for x in K.clash(spots, mv, own, mf, avoid_min_dist, q, t))
+
+    return K.optimise(K.channel_score(channels, similarity, penalty), q, t, steps, lr, final=final)
 
 
-def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, lam: float | None = None, num_repeats: int | None = None, max_num_steps: int | None = None, lr: float = 0.1, weight: float = 0.5, probe: float = 1.0) -> DataFrame:
+def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, lam: float | None = None, num_repeats: int | None = None, max_num_steps: int | None = None, lr: float = 0.1, weight: float = 0.5, probe: float = 1.0, similarity: str = "tanimoto", trans_init: bool = False, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> DataFrame:
     """Best pose of every pair (ref_id, fit_id, ref_<column>, fit_<column>), as score, quaternion and shift."""
     name = canonical(mode)
     alpha = SHAPE_ALPHA if alpha is None else alpha
     lam = {"vol_esp": 0.1, "surf_esp": 0.3, "vol_and_surf_esp": 0.001}.get(name) if lam is None else lam
     spec = resolve(name, alpha, lam)
     options = {"alpha": alpha, "lam": lam, "seeds": num_repeats or spec.seeds, "steps": max_num_steps or spec.steps, "lr": lr, "weight": weight, "probe": probe}
-    columns = _needs(name)
+    options |= {"similarity": similarity, "trans_init": trans_init, "avoid": avoid, "avoid_min_dist": avoid_min_dist, "avoid_weight": avoid_weight}
+    columns = list(dict.fromkeys([*_needs(name), *([avoid, "atoms"] if avoid else [])]))
 
     def run(batches):
         for batch in batches:
@@ -108,7 +127,8 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
 
 def align_panel(panel: DataFrame, library: DataFrame, mode: str = "vol", **options) -> DataFrame:
     """Every panel molecule against every library molecule. The work is spread by row, not by the scan's files."""
-    return align(panel_pairs(panel, library, _needs(canonical(mode))), mode, **options)
+    more = [options["avoid"], "atoms"] if options.get("avoid") else []
+    return align(panel_pairs(panel, library, list(dict.fromkeys([*_needs(canonical(mode)), *more]))), mode, **options)
 
 
 def with_transform(poses: DataFrame) -> DataFrame:

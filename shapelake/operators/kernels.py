@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from shapelake.constants import ANTIPARALLEL, COULOMB_SCALING, DIRECTIONAL, DUMMY, LAM_SCALING, PHARM_ALPHAS
+from shapelake.constants import ANTIPARALLEL, COULOMB_SCALING, DIRECTIONAL, DUMMY, LAM_SCALING, PHARM_ALPHAS, TVERSKY_SIGMA
 
 
 @dataclass
@@ -214,6 +214,29 @@ def tanimoto(value: np.ndarray, c: Channel) -> tuple[np.ndarray, np.ndarray]:
     return np.where(total > 0, value / below, 0.0), np.where(total > 0, total / below**2, 0.0)
 
 
+def tversky(value: np.ndarray, c: Channel, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Held to at most 1, where the slope ends."""
+    below = (sigma * c.aa + (1 - sigma) * c.bb)[:, None]
+    raw = np.where(below > 0, value / np.maximum(below, 1e-12), 0.0)
+    return np.minimum(raw, 1.0), np.where((below > 0) & (raw < 1), 1 / np.maximum(below, 1e-12), 0.0)
+
+
+def similarity(name: str, value: np.ndarray, c: Channel) -> tuple[np.ndarray, np.ndarray]:
+    return tanimoto(value, c) if name == "tanimoto" else tversky(value, c, TVERSKY_SIGMA[name])
+
+
+def clash(avoid: np.ndarray, mask: np.ndarray, b: np.ndarray, mb: np.ndarray, reach: float, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far the posed points go into spheres around the points to avoid, with gradients over q and t."""
+    posed = moved(b, q, t)
+    diff = posed[:, :, None, :, :] - avoid[:, None, :, None, :]
+    d = np.sqrt(np.einsum("ksnmi,ksnmi->ksnm", diff, diff))
+    real = (mask[:, :, None] * mb[:, None, :])[:, None]
+    near = (d < reach) & (d > 0) & (real > 0)
+    value = (np.maximum((reach - d) / reach, 0) * real).sum(axis=(2, 3))
+    force = (np.where(near, -1 / (reach * np.where(d > 0, d, 1.0)), 0.0)[..., None] * diff).sum(axis=2)
+    return value, to_quaternion_gradient(q, np.einsum("ksmi,kmj->ksij", force, b)), force.sum(axis=2)
+
+
 def esp_agreement(points, own, mask, centers, charges, radii, cmask, probe: float, lam: float) -> np.ndarray:
     """(K, S): points (K, S, P, 3) against posed centers (K, S, M, 3). Masked points never enter a quotient."""
     d = np.linalg.norm(points[..., :, None, :] - centers[..., None, :, :], axis=-1)
@@ -258,15 +281,18 @@ def optimise(score, q: np.ndarray, t: np.ndarray, steps: int, lr: float = 0.075,
     return best[k, at], best_q[k, at], best_t[k, at]
 
 
-def channel_score(channels: list[tuple[float, Channel]]):
-    """Weighted sum of the channels' Tanimoto similarities, with its gradients."""
+def channel_score(channels: list[tuple[float, Channel]], name: str = "tanimoto", penalty=None):
+    """Weighted sum of the channels' similarities, less a penalty ``(q, t) -> (value, dq, dt)``, with its gradients."""
 
     def score(q, t):
         total, gq, gt = 0.0, 0.0, 0.0
         for weight, c in channels:
             value, dq, dt = overlap(c, q, t)
-            s, slope = tanimoto(value, c)
+            s, slope = similarity(name, value, c)
             total, gq, gt = total + weight * s, gq + (weight * slope)[..., None] * dq, gt + (weight * slope)[..., None] * dt
+        if penalty is not None:
+            value, dq, dt = penalty(q, t)
+            total, gq, gt = total - value, gq - dq, gt - dt
         return total, gq, gt
 
     return score

@@ -134,3 +134,29 @@ def test_surface_alpha_nodes_and_range():
     assert surface_alpha(75) == pytest.approx(0.748778, abs=1e-5)
     with pytest.raises(ValueError):
         surface_alpha(20)
+
+
+def test_avoided_points_push_the_pose_away_and_their_gradient_holds():
+    a, b, ma, mb, rng = clouds(8)
+    q = rng.normal(size=(2, 3, 4))
+    q /= np.linalg.norm(q, axis=-1, keepdims=True)
+    t = rng.normal(size=(2, 3, 3))
+    value, _, dt = K.clash(a, ma, b, mb, 2.0, q, t)
+    for i in range(3):
+        e = np.zeros(3)
+        e[i] = 1e-6
+        fd = (K.clash(a, ma, b, mb, 2.0, q, t + e)[0] - K.clash(a, ma, b, mb, 2.0, q, t - e)[0]) / 2e-6
+        assert np.allclose(fd, dt[..., i], atol=1e-4)
+    assert np.all(value >= 0)
+    ref, fit = sides(1), sides(2)
+    free = align_arrays("vol", ref, fit, **OPTIONS, seeds=10, steps=30)[0]
+    pushed = align_arrays("vol", ref, fit, **OPTIONS, seeds=10, steps=30, avoid="surface")[0]
+    assert np.all(pushed <= free + 1e-9)
+
+
+def test_other_similarities_and_more_starts():
+    ref, fit = sides(4), sides(5)
+    plain = align_arrays("pharm", ref, fit, **OPTIONS, seeds=8, steps=20)[0]
+    wide = align_arrays("pharm", ref, fit, **OPTIONS, seeds=8, steps=20, trans_init=True)[0]
+    assert np.all(np.isfinite(plain)) and np.all(wide >= plain - 0.2)
+    assert np.all(align_arrays("pharm", ref, ref, **OPTIONS, seeds=8, steps=20, similarity="tversky_ref")[0] > 0.99)
