@@ -125,10 +125,16 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
     return pairs.select("ref_id", "fit_id", *[f"{s}_{c}" for s in ("ref", "fit") for c in columns]).mapInArrow(run, POSE)
 
 
+def spread(rows: DataFrame, key: str = "mol_id") -> DataFrame:
+    """Enough partitions for all cores: a few files of molecules are days of alignment. Larger scans stay as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(2 * n, key)
+
+
 def align_panel(panel: DataFrame, library: DataFrame, mode: str = "vol", **options) -> DataFrame:
-    """Every panel molecule against every library molecule. The work is spread by row, not by the scan's files."""
+    """Every panel molecule against every library molecule. The work is spread by molecule, not by the scan's files."""
     more = [options["avoid"], "atoms"] if options.get("avoid") else []
-    return align(panel_pairs(panel, library, list(dict.fromkeys([*_needs(canonical(mode)), *more]))), mode, **options)
+    return align(panel_pairs(panel, spread(library), list(dict.fromkeys([*_needs(canonical(mode)), *more]))), mode, **options)
 
 
 def with_transform(poses: DataFrame) -> DataFrame:
