@@ -205,9 +205,14 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
         if fresh.where(F.col("similarity") >= threshold).limit(1).count():
             known["labels"] = components(scratch, known["scored"].where(F.col("similarity") >= threshold), f"round_{name}")
 
+    def done() -> tuple[DataFrame, DataFrame]:
+        labels = scratch.save(known["labels"], "labels")
+        scratch.drop("sized", "open_2", "centers", "apart", "least", "open_3", "last_ranked")
+        return labels, known["scored"]
+
     rows = undecided(large, "open_2")
     if rows is None:
-        return known["labels"], known["scored"]
+        return done()
     # a second hub: of all members the one of least excess over its bucket's center
     apart = scratch.save(differences(rows.select("key", "node"), scratch.save(centers(rows, sets), "centers"), sets, (1 - threshold) / (1 + threshold)), "apart")
     least = scratch.save(apart.groupBy("key").agg(F.min_by("node", F.struct("excess", "node")).alias("hub"), F.min("excess").alias("low")), "least")
@@ -217,7 +222,7 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
     if rows is not None:
         hub_labels = least.join(known["labels"].withColumnRenamed("node", "hub"), "hub", "left").select("key", "low", F.coalesce("label", "hub").alias("low_label"))
         compare(undecided_pairs(scratch, rows.join(hub_labels, "key"), "last"), "3")
-    return known["labels"], known["scored"]
+    return done()
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:

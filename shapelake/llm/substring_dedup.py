@@ -242,7 +242,9 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     near = clustered.join(firsts, "label").where("occurrence <> first").select("key", "occurrence")
     both = cuts.withColumn("kind", F.lit(0)).unionByName(near.withColumn("kind", F.lit(1)))
     low = F.expr(f"cast(occurrence & {(1 << ORDINAL_BITS) - 1} as int)")
-    return scratch.save(both.groupBy(owner("occurrence").alias("owner")).agg(F.collect_list(F.struct("kind", low.alias("at"), "key")).alias("gone")), "gone")
+    gone = scratch.save(both.groupBy(owner("occurrence").alias("owner")).agg(F.collect_list(F.struct("kind", low.alias("at"), "key")).alias("gone")), "gone")
+    scratch.drop("units", "members", "wanted", "sets", "labels")
+    return gone
 
 
 def apply(text: str, gone: list[dict]) -> tuple[str, int]:
