@@ -33,7 +33,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_ROWS, SKETCH_BITS = 2, 19
-DAMPING = 0.25
+DAMPING = 0.1
 POOL_BITS = 16
 
 
