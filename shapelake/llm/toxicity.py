@@ -42,41 +42,68 @@ STEMS = (4, 5, 6, 7)
 MOST_COUNT = 4  # a feature counts at most so often in a text
 
 
-def words_of(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
-
-
 def parts(word: str) -> list[str]:
     """A word's features: itself and its beginnings (marked by a trailing *)."""
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
 
 
-def features_of(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for word, n in words.items():
-        for part in parts(word):
-            out[part] += n
-    return out
+class Corpus:
+    """Training texts as numbers: per text its distinct words and their counts, per word its features.
+
+    Words and features are held once each; a text costs eight bytes a distinct word.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        number: dict[str, int] = {}
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        for text in texts:
+            own = Counter(WORD.findall(text.lower()))
+            ids = np.fromiter((number.setdefault(w, len(number)) for w in own), dtype=np.int32, count=len(own))
+            self.docs.append((ids, np.fromiter(own.values(), dtype=np.int32, count=len(own))))
+        self.words = list(number)
+        feature: dict[str, int] = {}
+        self.parts = np.full((max(len(self.words), 1), 1 + len(STEMS)), -1, dtype=np.int32)
+        for i, word in enumerate(self.words):
+            for j, part in enumerate(parts(word)):
+                self.parts[i, j] = feature.setdefault(part, len(feature))
+        self.features = list(feature)
+
+    def presence(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen texts each feature stands."""
+        out = np.zeros(len(self.features) + 1, dtype=np.int64)
+        for (ids, _), take in zip(self.docs, chosen, strict=True):
+            if take:
+                out[np.unique(self.parts[ids])] += 1  # -1, no feature, falls on the last place
+        return out[:-1]
+
+    def matrix(self, names: list[str]) -> np.ndarray:
+        """(texts, names): counts of some features, MOST_COUNT at most."""
+        at = {k: i for i, k in enumerate(names)}
+        column = np.array([at.get(f, -1) for f in self.features] + [-1], dtype=np.int64)
+        out = np.zeros((len(self.docs), len(names)))
+        for row, (ids, counts) in zip(out, self.docs, strict=True):
+            own = column[self.parts[ids]]
+            hit = own >= 0
+            np.add.at(row, own[hit], np.broadcast_to(counts[:, None], own.shape)[hit])
+        return np.minimum(out, MOST_COUNT)
 
 
 # ---------------------------------------------------------------- voters
 
 
-def mine(features: list[Counter], y: np.ndarray, most: int, least_toxic: int = 4) -> list[tuple[str, float]]:
-    """Features whose presence or repetition speaks most for the toxic label, strongest first, with their log odds."""
-    toxic, clean = Counter(), Counter()
-    for f, label in zip(features, y, strict=True):
-        (toxic if label else clean).update(k for k, n in f.items() if n)
-    t, c = float(y.sum()) + 1, float((1 - y).sum()) + 1
-    scored = [(np.log((n + 0.5) / t) - np.log((clean[k] + 0.5) / c), n, k) for k, n in toxic.items() if n >= least_toxic]
-    scored = [(odds, n, k) for odds, n, k in scored if odds > 1.5]
+def mine(corpus: Corpus, y: np.ndarray, most: int, least_toxic: int = 4) -> list[tuple[str, float]]:
+    """Features whose presence speaks most for the toxic label, strongest first, with their log odds."""
+    toxic, clean = corpus.presence(y == 1), corpus.presence(y == 0)
+    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
+    scored = [(float(odds[i]), int(toxic[i]), corpus.features[i]) for i in np.flatnonzero((toxic >= least_toxic) & (odds > 1.5))]
     scored.sort(key=lambda s: (-s[0] * np.sqrt(s[1]), s[2]))
     chosen: list[tuple[str, float]] = []
     seen: set[tuple[int, str]] = set()
-    for odds, n, k in scored:  # of nested beginnings in the same texts one is enough
+    for own, n, k in scored:  # of nested beginnings in the same texts one is enough
         if (n, k[: STEMS[0]]) not in seen and len(chosen) < most:
             seen.add((n, k[: STEMS[0]]))
-            chosen.append((k, float(odds)))
+            chosen.append((k, own))
     return chosen
 
 
@@ -89,22 +116,22 @@ def voter_lexicons(mined: list[tuple[str, float]]) -> dict[str, set[str]]:
     return sets
 
 
-def votes(texts: list[str], words: list[Counter], sets: dict[str, set[str]]) -> np.ndarray:
+def votes(corpus: Corpus, sets: dict[str, set[str]]) -> np.ndarray:
     """(texts, voters): 1 toxic, 0 clean, -1 abstains. A lexicon votes twice: one hit, and two or more. Words hit, not features."""
     patterns = [re.compile(p) for p in PATTERNS.values()]
-    memo = Memo(lambda word: tuple(i for i, own in enumerate(sets.values()) if not own.isdisjoint(parts(word))))
+    member = np.zeros((max(len(corpus.words), 1), len(sets)), dtype=bool)
+    for i, word in enumerate(corpus.words):
+        own = parts(word)
+        member[i] = [not s.isdisjoint(own) for s in sets.values()]
     rows = []
-    for text, found in zip(texts, words, strict=True):
-        hits, any_hit = [0] * len(sets), 0
-        for word, n in found.items():
-            for i in memo[word]:
-                hits[i] += n
-            any_hit += n * bool(memo[word])
+    for text, (ids, counts) in zip(corpus.texts, corpus.docs, strict=True):
+        own = member[ids]
+        hits, any_hit = counts @ own, int(counts @ own.any(axis=1))
         row = [1 if h else -1 for h in hits] + [1 if h >= 2 else -1 for h in hits]
         row += [1 if p.search(text.lower()) else -1 for p in patterns]
         row += [0 if any_hit == 0 else -1, 0 if any_hit <= 1 else 1, 0 if any_hit < 3 else 1]
         rows.append(row)
-    return np.array(rows, dtype=np.int8).reshape(len(texts), -1)
+    return np.array(rows, dtype=np.int8).reshape(len(corpus.texts), -1)
 
 
 # ---------------------------------------------------------------- label model
@@ -241,19 +268,16 @@ def train(texts: list[str], y: np.ndarray, n_features: int = 600) -> tuple[Model
     hand = {w: 1.5 for words in LEXICONS.values() for w in words.split()}
     if len(y) == 0 or y.min() == y.max():
         return Model(hand, -2.0), None
-    words = [words_of(t) for t in texts]
-    features = [features_of(w) for w in words]
-    mined = mine(features, y, n_features)
-    v = votes(texts, words, voter_lexicons(mined))
+    corpus = Corpus(texts)
+    mined = mine(corpus, y, n_features)
+    v = votes(corpus, voter_lexicons(mined))
     observed = np.hstack([y[:, None].astype(np.int8), v])
     label_model = fit_label_model(observed, 0.9 * y + 0.1 * (v == 1).any(axis=1))
     q = label_model.posterior(observed)
-    names = list(dict.fromkeys([k for k, _ in mined] + [w for w in hand if any(w in f for f in features)]))
-    at = {k: i for i, k in enumerate(names)}
-    x = np.zeros((len(texts), len(names)))
-    for i, f in enumerate(features):
-        for k in f.keys() & at.keys():
-            x[i, at[k]] = min(f[k], MOST_COUNT)
+    found = set(corpus.words)
+    names = list(dict.fromkeys([k for k, _ in mined] + [w for w in hand if w in found]))
+    at = set(names)
+    x = corpus.matrix(names)
     w, bias = fit_linear(x, q)
     weights = {k: float(a) for k, a in zip(names, w, strict=True) if abs(a) > 1e-4}
     return Model({**{k: a for k, a in hand.items() if k not in at}, **weights}, bias), label_model
@@ -263,9 +287,17 @@ def train(texts: list[str], y: np.ndarray, n_features: int = 600) -> tuple[Model
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 6_000) -> Model:
-    """Train on at most ``bound`` labelled rows; only these texts come to the driver."""
-    got = labelled_sample(docs, labels, "toxic", bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train([t or "" for t in got.column("text").to_pylist()], np.array(got.column("y").to_pylist(), dtype=np.int64))[0]
+    """Train on at most ``bound`` labelled rows. They meet in one task; only the weights come to the driver."""
+
+    def fit(batches):
+        rows = [r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("y").to_pylist(), strict=True)]
+        rows.sort()
+        model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], dtype=np.int64))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(["", *model.weights], pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
+
+    got = labelled_sample(docs, labels, "toxic", bound).repartition(1).mapInArrow(fit, "feature string, weight double").collect()
+    weights = {r["feature"]: r["weight"] for r in got}
+    return Model({k: w for k, w in weights.items() if k}, weights[""]) if got else train([], np.zeros(0, dtype=np.int64))[0]
 
 
 def score_docs(docs: DataFrame, model: Model, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
