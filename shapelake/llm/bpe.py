@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, map_batches, text_rows, texts_of
+from shapelake.llm.common import Scratch, frugal, map_batches, text_rows, texts_of
 
 SUFFIX = "</w>"
 #: The characters that the vocabulary's pattern takes for blanks (Unicode White_Space).
@@ -364,6 +364,7 @@ def frequent_words(docs: DataFrame, most: int = 131_072, flush: int = 400_000, i
     Tasks count before they shuffle. The count to reach is found from a histogram, so only chosen words are collected.
     """
 
+    @frugal
     def run(batches):
         counted: Counter = Counter()
 

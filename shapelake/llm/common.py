@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -75,9 +77,32 @@ class Scratch:
 # ---------------------------------------------------------------- Arrow maps
 
 
+def release() -> None:
+    """Give freed memory back: Python workers are used again by later stages, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
+def frugal(run):
+    """A map over batches that gives memory back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return wrapped
+
+
 def map_batches(df: DataFrame, fn, schema: str | T.StructType, finish=None) -> DataFrame:
     """``fn(batch) -> batch | list of batches | None`` for each Arrow batch; ``finish()`` at the end of a task."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             out = fn(batch)
@@ -91,6 +116,7 @@ def map_batches(df: DataFrame, fn, schema: str | T.StructType, finish=None) -> D
 def filter_batches(df: DataFrame, keep_fn, column: str = "text") -> DataFrame:
     """Rows for which ``keep_fn(list of texts) -> bool array`` holds; every column passes through untouched."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             mask = keep_fn(texts_of(batch, column))

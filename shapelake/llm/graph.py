@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, map_batches
+from shapelake.llm.common import Scratch, frugal, map_batches
 
 SMALL = 4
 
@@ -124,6 +124,7 @@ def differences(rows: DataFrame, around: DataFrame, sets: DataFrame, tau: float)
     """
     kind = rows.schema["node"].dataType.simpleString()
 
+    @frugal
     def run(batches):
         for batch in batches:
             keys, weights, totals, excess = [], [], [], []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, labelled_sample, ngrams, text_rows, texts_of, word_hashes
+from shapelake.llm.common import Scratch, frugal, labelled_sample, ngrams, text_rows, texts_of, word_hashes
 
 BITS = 16
 SHARE = 0.8
@@ -34,6 +34,7 @@ def buckets(text: str) -> np.ndarray:
 def counts(texts: DataFrame) -> np.ndarray:
     """n-grams per bucket over all texts. Each task counts for itself; what they send has one row per used bucket."""
 
+    @frugal
     def run(batches):
         total = np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
@@ -101,6 +102,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, bound: in
     target = counts(labelled_sample(docs, labels, "quality", bound).where("y = 1"))
     ratio = spark.sparkContext.broadcast(log_ratio(target, counts(own)))
 
+    @frugal
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)

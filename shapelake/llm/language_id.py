@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, map_batches, mix, word_hashes
+from shapelake.llm.common import Scratch, frugal, map_batches, mix, word_hashes
 
 BITS = 15
 TEMPER = 0.15
@@ -65,6 +65,7 @@ def train(docs: DataFrame, languages: list[str] | None = None) -> tuple[list[str
     """Languages and log P(bucket | language), counted over all documents that name one."""
     named = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
 
+    @frugal
     def run(batches):
         total = {}
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, bitmap_of, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
+from shapelake.llm.common import Scratch, bitmap_of, frugal, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
 from shapelake.llm.graph import link_components, shared_keys, weighted_jaccard  # noqa: F401
 
 SHINGLE = 5
@@ -65,6 +65,7 @@ def document_frequencies(texts: DataFrame, parts: int = 16) -> np.ndarray:
     """Count-min sketch (SKETCH_ROWS, 2^SKETCH_BITS) of how many documents hold each shingle. 4 MB at any size."""
     size = 1 << SKETCH_BITS
 
+    @frugal
     def run(batches):
         count = np.zeros((SKETCH_ROWS, size), dtype=np.int64)
         for batch in batches:
@@ -75,6 +76,7 @@ def document_frequencies(texts: DataFrame, parts: int = 16) -> np.ndarray:
         flat = count.reshape(parts, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in flat], pa.binary())], names=["part", "count"])
 
+    @frugal
     def gather(batches):  # tasks' sketches meet a few at a time, never all in one task
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -167,6 +169,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     n = docs.count()
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(texts), n))
 
+    @frugal
     def sign(batches):
         sampler = Sampler()
         for batch in batches:
@@ -189,6 +192,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows = signed.select("doc_id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     rows = scratch.save(rows, "labelled")
     scratch.drop("signed", "banded", "members", "wanted", "sets", "labels")
+    idf.unpersist()
     heads = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(heads, "label").select("doc_id", "digest", "label", "class_id", "class_size")
 
@@ -199,6 +203,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, idf) -> DataFrame:
     near = texts.where(maybe_in(texts.sparkSession, F.col("digest"), bitmap))
     chosen = near.join(wanted.withColumnRenamed("node", "digest").withColumnRenamed("doc_id", "first"), "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
 
+    @frugal
     def run(batches):
         for batch in batches:
             made = [counted(t) for t in batch.column("text").to_pylist()]

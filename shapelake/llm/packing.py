@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, map_batches, text_rows, texts_of
+from shapelake.llm.common import Scratch, frugal, map_batches, text_rows, texts_of
 
 CAPACITY = 2048
 END_MARK = 0
@@ -156,6 +156,7 @@ STAGE = PACKED + ", released boolean, bound long"
 def first_round(pieces: DataFrame, share: float, capacity: int = CAPACITY) -> DataFrame:
     """Packs each scanned partition in blocks. Sequence ids join the partition and a counter, so they never meet."""
 
+    @frugal
     def run(batches):
         base = TaskContext.get().partitionId() << 34
         state = {"next": 0}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, as_long, bitmap_of, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, powers, text_rows, word_spans
+from shapelake.llm.common import Scratch, as_long, bitmap_of, frugal, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, powers, text_rows, word_spans
 from shapelake.llm.graph import link_components, shared_keys
 from shapelake.llm.near_dup import bands
 
@@ -161,6 +161,7 @@ UNITS = "kind byte, key long, occurrence long, keys array<long>"
 def units(rows: DataFrame) -> DataFrame:
     """Every cut (kind 0: key, occurrence) and every long line (kind 1: key, occurrence, band keys)."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             kinds, keys, places, offsets, values = [], [], [], [0], []
@@ -202,6 +203,7 @@ def line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     lists = wanted.groupBy(owner("occurrence").alias("owner")).agg(F.collect_list(F.struct("node", F.expr(f"cast(occurrence & {(1 << ORDINAL_BITS) - 1} as int) as line"))).alias("lines"))
     chosen = owners(rows, lists, "lines")[0].select("text", "lines")
 
+    @frugal
     def run(batches):
         for batch in batches:
             nodes, keys = [], []
@@ -267,6 +269,7 @@ def apply(text: str, gone: list[dict]) -> tuple[str, int]:
 
 
 def _apply_batches(columns: list[str], text_at: str, gone_at: str, count_at: str | None):
+    @frugal
     def run(batches):
         for batch in batches:
             made = [apply(t or "", gone) for t, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True)]

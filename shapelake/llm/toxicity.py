@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shapelake.llm.common import Memo, filter_batches, held_out, labelled_sample, map_batches, text_rows, texts_of
+from shapelake.llm.common import Memo, filter_batches, frugal, held_out, labelled_sample, map_batches, text_rows, texts_of
 
 #: Hand-written lexicons; each is a voter.
 LEXICONS = {
@@ -243,7 +243,7 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.memo = Memo(self._known, 200_000)
+        self.memo = Memo(self._known, 100_000)
 
     def __reduce__(self):
         return type(self), (self.weights, self.bias)
@@ -289,6 +289,7 @@ def train(texts: list[str], y: np.ndarray, n_features: int = 600) -> tuple[Model
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 6_000) -> Model:
     """Train on at most ``bound`` labelled rows. They meet in one task; only the weights come to the driver."""
 
+    @frugal
     def fit(batches):
         rows = [r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("y").to_pylist(), strict=True)]
         rows.sort()
