@@ -203,8 +203,17 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
     def compare(pairs: DataFrame, name: str) -> None:
         fresh = scratch.save(score(pairs.distinct().join(known["scored"].select("a", "b"), ["a", "b"], "left_anti")), f"scored_{name}")
         known["scored"] = known["scored"].unionByName(fresh)
-        if fresh.where(F.col("similarity") >= threshold).limit(1).count():
-            known["labels"] = components(scratch, known["scored"].where(F.col("similarity") >= threshold), f"round_{name}")
+        links = fresh.where(F.col("similarity") >= threshold)
+        if links.limit(1).count() == 0:
+            return
+        # only components meet now: the links become edges between labels, few against all links so far
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        new = ends.join(known["labels"], "node", "left_anti").select("node", F.col("node").alias("label"))
+        every = scratch.save(known["labels"].unionByName(new), f"every_{name}")
+        edges = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(every.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        edges = edges.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = components(scratch, edges, f"round_{name}").select(F.col("node").alias("label"), F.col("label").alias("to"))
+        known["labels"] = every.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
     def done() -> tuple[DataFrame, DataFrame]:
         labels = scratch.save(known["labels"], "labels")
