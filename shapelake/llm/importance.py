@@ -1,7 +1,8 @@
 """Quality by importance resampling: how much likelier a text is under a target model than under the raw one.
 
-Two hashed n-gram models (one word and two words, ``2^BITS`` buckets) are counted: the raw one over all documents,
-the target one over a bounded sample of rows labelled good. A document's log weight is the mean over its n-grams of
+Two hashed n-gram models (one word and two words) are counted: the raw one over all documents, the target one over
+all rows labelled good that are not held out. Their buckets are a power of two, at least ``2^BITS`` and at least one
+for every ``PER_BUCKET`` n-grams of the raw model, so that they grow with the corpus. A document's log weight is the mean over its n-grams of
 log p_target - log p_raw, times the square root of their number (so that evidence adds up, but length does not rule).
 Adding Gumbel noise that a hash of the row gives, the k greatest keys are a sample without replacement in proportion
 to the weights. k is a share of all rows; its threshold is found exactly by histograms of the keys, never by
@@ -19,51 +20,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, frugal, labelled_sample, ngrams, text_rows, texts_of, word_hashes
+from shapelake.llm.common import Scratch, bitmap_of, frugal, held_out, maybe_in, ngrams, text_rows, texts_of, word_hashes
 
-BITS = 16
+BITS, PER_BUCKET = 16, 512
+CHUNK = 1 << 22
 SHARE = 0.8
 
 
-def buckets(text: str) -> np.ndarray:
+def bits_for(n_grams: int) -> int:
+    """log2 of the number of buckets for so many n-grams."""
+    return max(BITS, (-(-n_grams // PER_BUCKET) - 1).bit_length())
+
+
+def buckets(text: str, bits: int = BITS) -> np.ndarray:
     """Bucket of every word and of every pair of neighbouring words."""
     h = word_hashes(text)
-    return (np.concatenate([ngrams(h, 1), ngrams(h, 2) if len(h) > 1 else h[:0]]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (np.concatenate([ngrams(h, 1), ngrams(h, 2) if len(h) > 1 else h[:0]]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def n_grams(texts: DataFrame) -> int:
+    """How many words and pairs of neighbouring words all texts have."""
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
+    return texts.agg(F.sum(F.greatest(2 * words.cast("long") - 1, F.lit(0)))).first()[0] or 0
+
+
+def good_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows labelled good, none of them held out. A bitmap keeps the other texts out of the shuffle."""
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
+    good = y.groupBy("doc_id").agg(F.min("y").alias("y")).where("y = 1").select("doc_id")
+    near = text_rows(docs, id_col, text_col).where(maybe_in(docs.sparkSession, F.col("doc_id"), bitmap_of(good, "doc_id")))
+    return near.join(good, "doc_id")
 
 
-def counts(texts: DataFrame) -> np.ndarray:
-    """n-grams per bucket over all texts. Each task counts for itself; what they send has one row per used bucket."""
+def counts(texts: DataFrame, bits: int) -> DataFrame:
+    """(bucket, n): n-grams per bucket over all texts. Tasks add up a few million at a time, whatever the buckets."""
 
     @frugal
     def run(batches):
-        total = np.zeros(1 << BITS, dtype=np.int64)
+        held, size = [], 0
+
+        def out():
+            used, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(used), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
         for batch in batches:
             for text in texts_of(batch):
-                total += np.bincount(buckets(text), minlength=1 << BITS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
-
-    out = np.zeros(1 << BITS, dtype=np.int64)
-    for row in texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        out[row["bucket"]] = row["n"]
+                held.append(buckets(text, bits))
+                size += len(held[-1])
+                if size > CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def log_ratio(target: DataFrame, raw: DataFrame, bits: int, scratch: Scratch) -> np.ndarray:
+    """log p_target - log p_raw per bucket. The target is smoothed towards the raw model, so unseen buckets say little.
+
+    A bucket without target n-grams has one value whatever its raw count, so only the others come to the driver.
+    """
+    size, zero = 1 << bits, F.lit(0).cast("long")
+    both = target.select("bucket", F.col("n").alias("t"), zero.alias("r")).unionByName(raw.select("bucket", zero.alias("t"), F.col("n").alias("r")))
+    both = scratch.save(both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")), "counts")
+    n_target, n_raw = both.agg(F.sum("t"), F.sum("r")).first()
+    if not n_target or not n_raw:
+        return np.zeros(size, dtype=np.float32)
+    p_raw = (F.col("r") + 1.0) / float(n_raw + size)
+    value = F.log((F.col("t") + float(size) * p_raw) / float(n_target + size)) - F.log(p_raw)
+    out = np.full(size, np.log(size / (n_target + size)), dtype=np.float32)
+    for batch in both.where("t > 0").select(F.col("bucket").cast("int").alias("bucket"), value.cast("float").alias("value")).toArrow().to_batches():
+        out[batch.column("bucket").to_numpy()] = batch.column("value").to_numpy()
+    scratch.drop("counts")
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """log p_target - log p_raw per bucket. The target is smoothed towards the raw model, so unseen buckets say little."""
-    if target.sum() == 0 or raw.sum() == 0:
-        return np.zeros(len(raw))
-    p_raw = (raw + smooth) / (raw.sum() + smooth * len(raw))
-    weight = smooth * len(raw)
-    return np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw)
-
-
 def log_weights(texts: list[str], ratio: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(texts))
+    out, bits = np.zeros(len(texts)), len(ratio).bit_length() - 1
     for i, text in enumerate(texts):
-        own = ratio[buckets(text)]
+        own = ratio[buckets(text, bits)]
         if len(own):
-            out[i] = own.sum() / np.sqrt(len(own))
+            out[i] = own.sum(dtype=np.float64) / np.sqrt(len(own))
     return out
 
 
@@ -95,12 +133,12 @@ def top_threshold(keys: DataFrame, k: int, fan: int = 4096) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, bound: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, key and selected."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "importance")
     own = text_rows(docs, id_col, text_col)
-    target = counts(labelled_sample(docs, labels, "quality", bound).where("y = 1"))
-    ratio = spark.sparkContext.broadcast(log_ratio(target, counts(own)))
+    bits = bits_for(n_grams(own))
+    ratio = spark.sparkContext.broadcast(log_ratio(counts(good_texts(docs, labels, id_col, text_col), bits), counts(own, bits), bits, scratch))
 
     @frugal
     def run(batches):

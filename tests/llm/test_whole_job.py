@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
-from shapelake.llm import near_dup
+from shapelake.llm import importance, near_dup
 
 
 def test_bands_rarely_miss_a_pair_at_the_threshold():
@@ -15,3 +17,28 @@ def test_bands_rarely_miss_a_pair_at_the_threshold():
         a, b = keys[:180], keys[20:]
         missed += not (near_dup.bands(sampler(a, np.ones(180))) == near_dup.bands(sampler(b, np.ones(180)))).any()
     assert missed <= 4
+
+
+def test_target_model_counts_every_good_row(spark):
+    n, text = 15_000, [f"common w{i}" if i % 3 else f"w{i} rare" for i in range(50)]
+    docs = spark.createDataFrame([(i, text[i % 50]) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(n)], "doc_id long, quality int")
+    raw, target = np.zeros(1 << importance.BITS), np.zeros(1 << importance.BITS)
+    for i in range(n):
+        b = importance.buckets(text[i % 50])
+        np.add.at(raw, b, 1)
+        if i % 7 < 3 and zlib.crc32(str(i).encode()) % 5:
+            np.add.at(target, b, 1)
+    p = (raw + 1) / (raw.sum() + len(raw))
+    ratio = np.log((target + len(raw) * p) / (target.sum() + len(raw))) - np.log(p)
+    want = importance.log_weights(text, ratio)
+    for r in importance.resample(docs, labels).collect():
+        assert np.isclose(r["log_weight"], want[r["doc_id"] % 50], atol=1e-5)
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    assert [importance.bits_for(n) for n in (0, 1, 512 << 16, (512 << 16) + 1, 512 << 24)] == [16, 16, 16, 17, 24]
+    texts = spark.createDataFrame([("a b  a\n",), ("x",), ("",), (None,)], "text string")
+    assert importance.n_grams(texts) == 6
+    b = importance.buckets("a b a", 20)
+    assert b.max() >= 1 << 16 and {r["bucket"]: r["n"] for r in importance.counts(texts, 20).collect()}[b[0]] == 2
