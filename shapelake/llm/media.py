@@ -1,7 +1,10 @@
 """Media columns: Netpbm and BMP images as numpy arrays, resized by integral images, tiled as NPY, difference-hashed.
 
 ``encode`` and ``decode`` are exact inverses on 8-bit samples for PGM, PPM and 24-bit BMP. ``area_resize`` averages
-the source area under each target pixel through one summed-area table. ``tiles`` cuts an image into NPY blobs.
+the source area under each target pixel through one summed-area table. ``tiles`` cuts an image into NPY blobs;
+``tiled`` writes those of each stored image to the shared folder, and ``describe_tiles`` rereads them: the payload is
+rebuilt from the tiles, the media digests run over their blobs in order (rows first), and the feature is the tiles'
+difference hashes one after another.
 
 Defined cases: a null or empty text is one row of 192 blanks; equal texts give equal values whatever their row; an
 empty table gives an empty result; other columns are ignored.
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shapelake.llm.common import map_batches, text_rows, texts_of
+from shapelake.llm.common import Scratch, map_batches, text_rows, texts_of
 
 ROW = 192  # bytes: 64 pixels of three samples
 
@@ -130,6 +133,7 @@ def text_media(text: str, form: str = "ppm") -> tuple[bytes, int]:
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles int"
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
+TILED_SCHEMA = "doc_id long, n_bytes long, height int, width int, tiles array<binary>"
 TILE_SCHEMA = "doc_id long, tile_row int, tile_col int, npy binary, feature string"
 
 
@@ -168,6 +172,52 @@ def describe(media: DataFrame, side: int = 32) -> DataFrame:
     return map_batches(media, rows, SCHEMA)
 
 
+def untile(blobs: list[bytes], height: int, width: int, side: int = 32) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The image that ``tiles`` cut up, from its NPY blobs in order, and the tiles themselves."""
+    held = [np.load(io.BytesIO(b)) for b in blobs]
+    image = np.empty((height, width, *held[0].shape[2:]), dtype=held[0].dtype)
+    across = -(-width // side)
+    for i, tile in enumerate(held):
+        r, c = side * (i // across), side * (i % across)
+        image[r : r + side, c : c + side] = tile
+    return image, held
+
+
+def tiled(media: DataFrame, side: int = 32, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_bytes, height, width, tiles): stored images cut into NPY tiles, written and read again."""
+
+    def rows(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        for i in range(len(batch)):
+            pixels = decode(batch.column("media")[i].as_py())
+            own = [npy for _, _, npy in tiles(pixels, side)]
+            columns = [batch.column("doc_id").slice(i, 1), batch.column("n_bytes").slice(i, 1), pa.array([pixels.shape[0]], pa.int32()), pa.array([pixels.shape[1]], pa.int32()), pa.array([own], pa.list_(pa.binary()))]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "height", "width", "tiles"]))
+        return out
+
+    return (scratch or Scratch(media.sparkSession, "media")).save(map_batches(media, rows, TILED_SCHEMA), "tiles")
+
+
+def describe_tiles(stored: DataFrame, side: int = 32) -> DataFrame:
+    """Digests and features of tiled images, all taken from the NPY blobs as read."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for height, width, blobs in zip(*(batch.column(c) for c in ("height", "width", "tiles")), strict=True):
+            blobs = blobs.as_py()
+            pixels, held = untile(blobs, height.as_py(), width.as_py(), side)
+            payload, whole = pixels.tobytes(), hashlib.sha256()
+            for b in blobs:
+                whole.update(b)
+            feature = "".join(difference_hash(gray(t)) for t in held)
+            made.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), sum(map(len, blobs)), whole.hexdigest(), feature, len(blobs)))
+        columns = list(zip(*made, strict=True)) or [()] * 7
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return map_batches(stored, rows, SCHEMA)
+
+
 def tile_rows(media: DataFrame, side: int = 32) -> DataFrame:
     """NPY tiles of stored images (gray), each with its own difference hash."""
 

@@ -37,7 +37,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store(table(spark, sf_dir, "documents"))).drop("n_tiles")
+    return media.describe_tiles(media.tiled(media.store(table(spark, sf_dir, "documents")))).drop("n_tiles")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 
-from shapelake.llm import importance, near_dup
+from shapelake.llm import importance, media, near_dup, queries
 
 
 def test_bands_rarely_miss_a_pair_at_the_threshold():
@@ -42,3 +43,17 @@ def test_buckets_grow_with_the_corpus(spark):
     assert importance.n_grams(texts) == 6
     b = importance.buckets("a b a", 20)
     assert b.max() >= 1 << 16 and {r["bucket"]: r["n"] for r in importance.counts(texts, 20).collect()}[b[0]] == 2
+
+
+def test_media_query_goes_through_tiles(spark, tmp_path):
+    texts = ["a line of a text " * 900, "é", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op6_media(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        pixels = media.decode(media.text_media(text or "")[0])
+        found, r = media.tiles(pixels), rows[i]
+        blobs = [b for _, _, b in found]
+        assert (r["media_bytes"], r["media_sha256"]) == (sum(map(len, blobs)), hashlib.sha256(b"".join(blobs)).hexdigest())
+        assert r["payload_sha256"] == hashlib.sha256(pixels.tobytes()).hexdigest()
+        hashes = [media.difference_hash(media.gray(pixels[32 * a : 32 * a + 32, 32 * b : 32 * b + 32])) for a, b, _ in found]
+        assert r["feature"] == "".join(hashes) and len(r["feature"]) == 16 * len(blobs)
