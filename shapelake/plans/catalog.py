@@ -594,7 +594,7 @@ def docking_targets(spark, sf_dir):
 @query()
 def conformer_clusters(spark, sf_dir):
     """Representatives among each label's molecules, taken as conformers, by distance of their first points."""
-    rows = stand_in(spark, sf_dir).where("mol_id < 200").select("label", "mol_id", F.col("atoms")[0].alias("p"))
+    rows = stand_in(spark, sf_dir).select("label", "mol_id", F.col("atoms")[0].alias("p"))
     numbered = rows.withColumn("n", (F.row_number().over(Window.partitionBy("label").orderBy("mol_id")) - 1).cast("int"))
     a, b = (numbered.select("label", F.col("n").alias(n), F.col("p").alias(f"p{n}")) for n in "ij")
     pairs = a.join(b, "label").where("i < j").select(F.col("label").cast("long").alias("mol_id"), "i", "j", F.sqrt(V.square_distance(F.col("pi"), F.col("pj"))).alias("rmsd"))
@@ -699,12 +699,12 @@ def accessible_features(spark, sf_dir):
 
 @query()
 def clustered_features(spark, sf_dir):
-    return pharmacophores.cluster_features(stand_in(spark, sf_dir).where("mol_id < 500"), 4.0, keep_single=True)
+    return pharmacophores.cluster_features(stand_in(spark, sf_dir), 4.0, keep_single=True)
 
 
 @query()
 def smooth_surface(spark, sf_dir):
-    return surfaces.smooth_surface(stand_in(spark, sf_dir).where("mol_id < 64"), 60, per_atom=8)
+    return surfaces.smooth_surface(stand_in(spark, sf_dir), 60, per_atom=8)
 
 
 @query()
@@ -714,7 +714,7 @@ def farthest_point_order(spark, sf_dir):
 
 @query()
 def volume_samples(spark, sf_dir):
-    return surfaces.volume_samples(stand_in(spark, sf_dir).where("mol_id < 100"), 15, seed=1)
+    return surfaces.volume_samples(stand_in(spark, sf_dir), 15, seed=1)
 
 
 @query()
@@ -725,20 +725,20 @@ def surface_summary(spark, sf_dir):
 # ---------------------------------------------------------------- alignment (iterative: no SQL form)
 
 
-def _aligned(mode: str, panel_size: int = 4, **options):
+def _aligned(mode: str, **options):
     def run(spark, sf_dir):
-        library = stand_in(spark, sf_dir)
-        return alignment.align_panel(library.where(F.col("mol_id") < panel_size), library, mode, **options)
+        panel, library = panel_and_library(spark, sf_dir)
+        return alignment.align_panel(panel, library, mode, **options)
 
     run.__name__ = f"align_{mode}"
     return run
 
 
-for _mode, _panel in (("vol", 4), ("vol_esp", 2), ("surf", 4), ("surf_esp", 2), ("pharm", 1), ("vol_color", 2), ("vol_and_surf_esp", 1)):
-    query()(_aligned(_mode, _panel))
+for _mode in ("vol", "vol_esp", "surf", "surf_esp", "pharm", "vol_color", "vol_and_surf_esp"):
+    query()(_aligned(_mode))
 
 
 @query()
 def screen_aligned_topk(spark, sf_dir):
-    library = stand_in(spark, sf_dir)
-    return alignment.screen_aligned(library.where("mol_id < 4"), library, "vol", 10)
+    panel, library = panel_and_library(spark, sf_dir)
+    return alignment.screen_aligned(panel, library, "vol", 10)
