@@ -7,35 +7,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def butina(n: int, distance: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    """Clusters around the items with most neighbours within the threshold; ties go to the greater index."""
-    near = [{j for j in range(n) if j != i and distance.get((min(i, j), max(i, j)), np.inf) <= threshold} for i in range(n)]
-    order = sorted(range(n), key=lambda i: (len(near[i]), i), reverse=True)
-    taken: set[int] = set()
-    out = []
-    for i in order:
-        if i not in taken:
-            own = [i, *sorted(near[i] - taken)]
-            taken.update(own)
-            out.append(own)
+def adjacency(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, threshold: float) -> np.ndarray:
+    """(n, n): which items lie within the threshold; pairs that are not listed do not."""
+    near = np.zeros((n, n), dtype=bool)
+    hit = np.asarray(distance) <= threshold
+    near[i[hit], j[hit]] = near[j[hit], i[hit]] = True
+    np.fill_diagonal(near, False)
+    return near
+
+
+def butina(near: np.ndarray) -> list[list[int]]:
+    """Clusters, each around the free item with most free neighbours; ties go to the greater index.
+
+    Neighbours are counted anew once a cluster has taken its members away.
+    """
+    n = len(near)
+    free, out = np.ones(n, dtype=bool), []
+    count = near.sum(axis=1)
+    while free.any():
+        center = int(n - 1 - np.where(free, count, -1)[::-1].argmax())
+        taken = np.flatnonzero(near[center] & free)
+        out.append([center, *taken.tolist()])
+        gone = np.append(taken, center)
+        free[gone] = False
+        count = count - near[:, gone].sum(axis=1)
     return out
 
 
-def representatives(n: int, distance: dict[tuple[int, int], float], threshold: float = 0.2, most: int = 100, step: float = 0.1) -> list[int]:
+def representatives(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, threshold: float = 0.2, most: int = 100, step: float = 0.1) -> list[int]:
     """Cluster centers, the threshold raised until there are at most ``most``."""
-    clusters = butina(n, distance, threshold)
-    while len(clusters) > most:
+    while True:
+        clusters = butina(adjacency(n, i, j, distance, threshold))
+        if len(clusters) <= most:
+            return [c[0] for c in clusters]
         threshold += step
-        clusters = butina(n, distance, threshold)
-    return [c[0] for c in clusters]
 
 
 def cluster_conformers(distances: DataFrame, threshold: float = 0.2, most: int = 100) -> DataFrame:
-    """(mol_id, conf): representatives of each molecule's conformers, from (mol_id, i, j, rmsd)."""
+    """(mol_id, conf): representatives of each molecule's conformers, from (mol_id, i, j, rmsd).
+
+    A molecule's conformers are some hundreds by nature, and their distances one group.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(frame["i"].max(), frame["j"].max())) + 1
-        table = {(min(i, j), max(i, j)): d for i, j, d in zip(frame["i"], frame["j"], frame["rmsd"], strict=True)}
-        return pd.DataFrame({"mol_id": frame["mol_id"].iloc[0], "conf": representatives(n, table, threshold, most)})
+        i, j = frame["i"].to_numpy(), frame["j"].to_numpy()
+        found = representatives(int(max(i.max(), j.max())) + 1, i, j, frame["rmsd"].to_numpy(), threshold, most)
+        return pd.DataFrame({"mol_id": frame["mol_id"].iloc[0], "conf": found})
 
     return distances.groupBy("mol_id").applyInPandas(run, "mol_id long, conf int")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapelake.operators import scoring
+
 #: Properties of an unconditional evaluation; ``i`` numbers the samples. Those of later evaluations follow.
 UNCONDITIONAL = "i long, is_valid boolean, is_valid_post_opt boolean, is_graph_consistent boolean, smiles string, smiles_post_opt string, molblock string, molblock_post_opt string, strain_energy double, rmsd double, SA_score double, QED double, logP double, fsp3 double, SA_score_post_opt double, QED_post_opt double, logP_post_opt double, fsp3_post_opt double, error string"
 
@@ -115,6 +117,13 @@ def resample_bound(scores: DataFrame, group: str) -> DataFrame:
     return scores.groupBy(group).agg(F.avg("score").alias("upper_bound"), F.count("*").alias("n_pairs"))
 
 
+def group_scores(profiles: DataFrame, group: str, kind: str = "long") -> DataFrame:
+    """(group, ref_id, fit_id, score): shape scores of all unordered pairs of a group's profiles, resampled ones of one
+    reference and so few by nature. A pair is scored in its row, and means are partial before they shuffle."""
+    ref, fit = (profiles.select(group, F.col("mol_id").alias(f"{s}_id"), F.col("atoms").alias(f"{s}_atoms")) for s in ("ref", "fit"))
+    return scoring.shape_of_pairs(ref.join(fit, group).where("ref_id < fit_id"), keep=f"{group} {kind}")
+
+
 def lower_bound(scores: DataFrame, group: str, item: str, seed: int) -> DataFrame:
     """The score against one member drawn by a seeded hash, the same whatever the partitions."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), item), item))

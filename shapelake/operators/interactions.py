@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelake.constants import BAD_CHARGES
 
 
-def matrix(rows: DataFrame, keys: list[str], reference: int | None = None) -> DataFrame:
-    """One row per pose, one column per key, 0 where an interaction is missing; the reference is pose -1.
+def matrix(rows: DataFrame, keys: list[str], reference: Column | None = None) -> DataFrame:
+    """One row per pose, one column per key, 0 where an interaction is missing; the reference (a Column) is pose -1.
 
     ``keys`` is given, so the pivot needs no pass of its own and the schema is known.
     """
@@ -19,25 +19,25 @@ def matrix(rows: DataFrame, keys: list[str], reference: int | None = None) -> Da
     return rows.withColumn("pose", pose).groupBy("pose").pivot("key", keys).agg(F.sum("n")).fillna(0, keys)
 
 
-def _reference(rows: DataFrame, reference: int) -> DataFrame:
+def _reference(rows: DataFrame, reference: Column) -> DataFrame:
     return rows.where((F.col("pose") == reference) & (F.col("n") > 0)).select("key", F.col("n").alias("r"))
 
 
-def similarity(rows: DataFrame, reference: int) -> DataFrame:
+def similarity(rows: DataFrame, reference: Column) -> DataFrame:
     """Tanimoto of each pose's set of interactions with the reference's."""
     ref = _reference(rows, reference)
     size = ref.agg(F.count("*").alias("_size"))
-    found = rows.where((F.col("pose") != reference) & (F.col("n") > 0)).join(F.broadcast(ref), "key", "left")
+    found = rows.where((F.col("pose") != reference) & (F.col("n") > 0)).join(ref, "key", "left")
     sets = found.groupBy("pose").agg(F.count("*").alias("_own"), F.count("r").alias("_both")).crossJoin(F.broadcast(size))
     return sets.select("pose", F.try_divide(F.col("_both"), F.col("_own") + F.col("_size") - F.col("_both")).alias("similarity"))
 
 
-def recovery(rows: DataFrame, reference: int) -> DataFrame:
+def recovery(rows: DataFrame, reference: Column) -> DataFrame:
     """Share of the reference's interactions, counted, that each pose has. Others cost nothing."""
     ref = _reference(rows, reference)
     size = ref.agg(F.sum("r").alias("_size"))
     poses = rows.where(F.col("pose") != reference)
-    met = poses.join(F.broadcast(ref), "key", "left").groupBy("pose").agg(F.sum(F.coalesce(F.least("r", "n"), F.lit(0))).alias("_met"))
+    met = poses.join(ref, "key", "left").groupBy("pose").agg(F.sum(F.coalesce(F.least("r", "n"), F.lit(0))).alias("_met"))
     return met.crossJoin(F.broadcast(size)).select("pose", F.try_divide(F.col("_met"), F.col("_size")).alias("recovery"))
 
 

@@ -1,145 +1,148 @@
-"""Overlaps: all-pairs sums over the points of two clouds.
+"""Overlaps: sums over all point pairs of two clouds.
 
-A pair is one row with both clouds nested. It is exploded to its point pairs, the term is a code-generated
-expression, and the sum is partial before it shuffles: what crosses the network is one row per pair, however large
-the clouds. Self overlaps do not depend on a pose, so they are computed once per molecule, inside its row.
+A pair of molecules never leaves its row: the sums are numpy arrays over chunks of bounded size (see ``clouds``), so
+nothing is shuffled before a top-k, and a self overlap is found once a molecule. The same terms exist as Columns where
+a plan needs them inside an expression (self sums, potentials).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelake.constants import ANTIPARALLEL, COULOMB_SCALING, DIRECTIONAL, DUMMY, LAM_SCALING, PHARM_ALPHAS, kernel_scale
 from shapelake.functions.vectors import square_distance
+from shapelake.operators.clouds import Cloud, panel_pairs  # noqa: F401
 
-#: Rows that a broadcast panel may have at most; a larger one is joined without a hint.
-PANEL_ROWS = 10_000
+Fields = dict[str, np.ndarray]
+#: (fields of a (K, N), fields of b (K, M)) -> (K, N, M)
+Term = Callable[[Fields, Fields], np.ndarray]
+TYPE_ALPHA = np.array(PHARM_ALPHAS)
+TYPE_SCALE = np.array([kernel_scale(x) for x in PHARM_ALPHAS])
+TYPE_DIRECTED = np.isin(np.arange(len(PHARM_ALPHAS)), DIRECTIONAL)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = PANEL_ROWS) -> DataFrame:
-    """A broadcast hint for a side that is proved small; beyond that Spark plans a distributed product itself."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+# ---------------------------------------------------------------- terms
 
 
-def panel_pairs(panel: DataFrame, library: DataFrame, columns: list[str]) -> DataFrame:
-    """Each panel molecule with each library molecule: (ref_id, fit_id, ref_<c>, fit_<c>)."""
-    ref = panel.select(F.col("mol_id").alias("ref_id"), *[F.col(c).alias(f"ref_{c}") for c in columns])
-    fit = library.select(F.col("mol_id").alias("fit_id"), *[F.col(c).alias(f"fit_{c}") for c in columns])
-    return fit.crossJoin(bounded_broadcast(ref))
+def squares(a: Fields, b: Fields, shift: str | None = None) -> np.ndarray:
+    """Squared distances; with ``shift``, of the points that directions end at."""
+    total = 0.0
+    for c in "xyz":
+        p, q = (a[c] + a[shift + c], b[c] + b[shift + c]) if shift else (a[c], b[c])
+        step = p[:, :, None] - q[:, None, :]
+        total = total + step * step
+    return total
 
 
-def point_pairs(pairs: DataFrame, ref: str, fit: str, keep: list[str]) -> DataFrame:
-    """One row per point pair: the kept columns, a (of ref) and b (of fit)."""
-    half = pairs.select(*keep, F.explode(ref).alias("a"), F.col(fit).alias("_fit"))
-    return half.select(*keep, "a", F.explode("_fit").alias("b"))
+def gauss(alpha: float) -> Term:
+    return lambda a, b: kernel_scale(alpha) * np.exp(-alpha / 2 * squares(a, b))
 
 
-def summed(pairs: DataFrame, ref: str, fit: str, how, keys: list[str] | None = None, name: str = "ab") -> DataFrame:
-    """``how`` (an aggregate over a and b) for each pair."""
-    keys = keys or ["ref_id", "fit_id"]
-    return point_pairs(pairs, ref, fit, keys).groupBy(*keys).agg(how.alias(name))
+def esp_gauss(alpha: float, lam: float) -> Term:
+    """Damped by the squared difference of charges; ``lam`` as it stands, already scaled where it has to be."""
+    return lambda a, b: kernel_scale(alpha) * np.exp(-alpha / 2 * squares(a, b) - (a["q"][:, :, None] - b["q"][:, None, :]) ** 2 / lam)
 
 
-# ---------------------------------------------------------------- terms
+def free_gauss(a: Fields, b: Fields) -> np.ndarray:
+    """Each point with its own width ``w`` and weight ``p``."""
+    w, v = a["w"][:, :, None], b["w"][:, None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):  # padding has no width
+        return a["p"][:, :, None] * b["p"][:, None, :] * (np.pi / (w + v)) ** 1.5 * np.exp(-(w * v / (w + v)) * squares(a, b))
 
 
-def gauss(a: Column, b: Column, alpha: float) -> Column:
-    return F.lit(kernel_scale(alpha)) * F.exp(F.lit(-alpha / 2) * square_distance(a, b))
+def peak(alpha: float) -> Term:
+    """Between 0 and 1, whatever the width's scale."""
+    return lambda a, b: np.exp(-alpha / 2 * squares(a, b))
 
 
-def esp_gauss(a: Column, b: Column, alpha: float, lam: float) -> Column:
-    """Damped by the squared difference of charges; ``lam`` as it stands, already scaled where it has to be."""
-    return gauss(a, b, alpha) * F.exp(-(a["q"] - b["q"]) * (a["q"] - b["q"]) / lam)
+def hard_sphere(reach: float) -> Term:
+    return lambda a, b: np.maximum((reach - np.sqrt(squares(a, b))) / reach, 0.0)
 
 
-def free_gauss(a: Column, b: Column) -> Column:
-    """Each point with its own width ``w`` and weight ``p``."""
-    both = a["w"] + b["w"]
-    return a["p"] * b["p"] * F.pow(F.lit(3.141592653589793) / both, F.lit(1.5)) * F.exp(-(a["w"] * b["w"] / both) * square_distance(a, b))
+def pharm_term(directionless: bool = False, extended: bool = False, only_extended: bool = False) -> Term:
+    """Of two features: 0 unless they share a type that counts.
 
+    A cosine c between directions weighs (c + 2) / 3: its size where antiparallel counts, else held to [0, 1], and 0
+    for no direction. ``extended`` scores anchors and the points that directional features look at in its place;
+    ``only_extended`` the latter alone. Types without a direction are scored by their anchors.
+    """
 
-def hard_sphere(a: Column, b: Column, reach: float) -> Column:
-    return F.greatest((F.lit(reach) - F.sqrt(square_distance(a, b))) / reach, F.lit(0.0))
+    def term(a: Fields, b: Fields) -> np.ndarray:
+        ptype = a["ptype"]
+        alpha, scale, directed = (table[ptype][:, :, None] for table in (TYPE_ALPHA, TYPE_SCALE, TYPE_DIRECTED))
+        out = scale * np.exp(-alpha / 2 * squares(a, b))
+        if extended and not directionless:
+            ends = scale * np.exp(-alpha / 2 * squares(a, b, "v"))
+            out = np.where(directed, ends if only_extended else out + ends, out)
+        elif not directionless:
+            dot = sum(a[f"v{c}"][:, :, None] * b[f"v{c}"][:, None, :] for c in "xyz")
+            size = np.sqrt(sum(a[f"v{c}"] ** 2 for c in "xyz"))[:, :, None] * np.sqrt(sum(b[f"v{c}"] ** 2 for c in "xyz"))[:, None, :]
+            cosine = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+            cosine = np.where(np.isin(ptype, ANTIPARALLEL)[:, :, None], np.abs(cosine), np.clip(cosine, 0, 1))
+            out = np.where(directed, out * (cosine + 2) / 3, out)
+        return np.where((ptype[:, :, None] == b["ptype"][:, None, :]) & (ptype != DUMMY)[:, :, None], out, 0.0)
 
+    return term
 
-def _by_type(ptype: Column, values) -> Column:
-    """A type's value, as one CASE; folded where the type is constant."""
-    groups: dict[float, list[int]] = {}
-    for code, value in enumerate(values):
-        groups.setdefault(value, []).append(code)
-    (first, _), *rest = sorted(groups.items(), key=lambda g: -len(g[1]))
-    out = None
-    for value, codes in rest:
-        out = (out or F).when(ptype.isin(codes), F.lit(value))
-    return F.lit(first) if out is None else out.otherwise(F.lit(first))
 
+# ---------------------------------------------------------------- over a pair's clouds
 
-def typed_gauss(a: Column, b: Column) -> Column:
-    alpha = _by_type(a["ptype"], PHARM_ALPHAS)
-    scale = _by_type(a["ptype"], [kernel_scale(x) for x in PHARM_ALPHAS])
-    return scale * F.exp(-alpha / 2 * square_distance(a, b))
 
+def both(a: Cloud, b: Cloud) -> np.ndarray:
+    return a[0][:, :, None] & b[0][:, None, :]
 
-def direction_weight(a: Column, b: Column) -> Column:
-    """(c + 2) / 3 with the cosine c between directions: its size where antiparallel counts, else held to [0, 1]; 0 for no direction."""
-    size = F.sqrt(a["vx"] * a["vx"] + a["vy"] * a["vy"] + a["vz"] * a["vz"]) * F.sqrt(b["vx"] * b["vx"] + b["vy"] * b["vy"] + b["vz"] * b["vz"])
-    c = F.coalesce(F.try_divide(a["vx"] * b["vx"] + a["vy"] * b["vy"] + a["vz"] * b["vz"], size), F.lit(0.0))
-    weight = F.when(a["ptype"].isin(*ANTIPARALLEL), F.abs(c)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
-    return F.when(a["ptype"].isin(*DIRECTIONAL), (weight + 2) / 3).otherwise(F.lit(1.0))
 
+def total(term: Term, a: Cloud, b: Cloud) -> np.ndarray:
+    """(K,) sums of a term over real point pairs; a side of one row meets every row of the other."""
+    return np.where(both(a, b), term(a[1], b[1]), 0.0).sum(axis=(1, 2))
 
-def _end(p: Column) -> Column:
-    return F.struct((p["x"] + p["vx"]).alias("x"), (p["y"] + p["vy"]).alias("y"), (p["z"] + p["vz"]).alias("z"), p["ptype"].alias("ptype"))
 
+def greatest(term: Term, a: Cloud, b: Cloud) -> np.ndarray:
+    """(K,) greatest values; NaN where there is no point pair."""
+    best = np.where(both(a, b), term(a[1], b[1]), -np.inf).max(axis=(1, 2))
+    return np.where(np.isneginf(best), np.nan, best)
 
-def pharm_term(a: Column, b: Column, directionless: bool = False, extended: bool = False, only_extended: bool = False) -> Column:
-    """The term of two features: 0 unless they share a type that counts.
 
-    ``extended`` scores anchors and the points that directional features look at in place of the cosine;
-    ``only_extended`` the latter alone. Types without a direction are scored by their anchors.
-    """
-    base = typed_gauss(a, b)
-    if directionless:
-        term = base
-    elif extended:
-        ends = typed_gauss(_end(a), _end(b))
-        term = F.when(a["ptype"].isin(*DIRECTIONAL), ends if only_extended else base + ends).otherwise(base)
-    else:
-        term = base * direction_weight(a, b)
-    return F.when((a["ptype"] == b["ptype"]) & (a["ptype"] != DUMMY), term).otherwise(F.lit(0.0))
+def own_total(term: Term, a: Cloud, most: int = 2_000_000) -> np.ndarray:
+    """(K,) sums over all ordered pairs of each molecule's own points."""
+    step = max(1, most // a[0].shape[1] ** 2)
+    parts = [total(term, *[(a[0][at : at + step], {k: v[at : at + step] for k, v in a[1].items()})] * 2) for at in range(0, len(a[0]), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
-# ---------------------------------------------------------------- self overlaps
+def agreement(points: Cloud, atoms: Cloud, probe: float, lam: float) -> np.ndarray:
+    """(K,): over the points outside all of the atoms' spheres, sums of exp(-(own - potential there)^2 / (lam * LAM))."""
+    d = np.sqrt(squares(points[1], atoms[1]))
+    real = atoms[0][:, None, :]
+    outside = np.where(real, d >= atoms[1]["radius"][:, None, :] + probe, True).all(axis=2)
+    there = COULOMB_SCALING * np.divide(np.broadcast_to(atoms[1]["q"][:, None, :], d.shape), d, out=np.zeros_like(d), where=real & (d > 0)).sum(axis=2)
+    return np.where(points[0] & outside, np.exp(-((points[1]["q"] - there) ** 2) / (lam * LAM_SCALING)), 0.0).sum(axis=1)
 
 
-def self_sum(points: str, term) -> Column:
-    """Sum of ``term`` over all ordered pairs of one cloud, within its row: no join and no shuffle."""
-    return F.aggregate(
-        F.col(points), F.lit(0.0), lambda total, a: total + F.aggregate(F.col(points), F.lit(0.0), lambda inner, b: inner + F.coalesce(term(a, b), F.lit(0.0)))
-    )
+# ---------------------------------------------------------------- as Columns
 
 
-# ---------------------------------------------------------------- potentials
+def self_sum(points: str, alpha: float) -> Column:
+    """Self overlap of one cloud, within its row: no join and no shuffle."""
 
+    def term(a: Column, b: Column) -> Column:
+        return F.coalesce(F.lit(kernel_scale(alpha)) * F.exp(F.lit(-alpha / 2) * square_distance(a, b)), F.lit(0.0))
 
-def coulomb(points: DataFrame, atoms: DataFrame, key: list[str]) -> DataFrame:
-    """Potential at each point from charges, C * sum(q / d); 0 for a point that coincides with any atom.
+    return F.aggregate(F.col(points), F.lit(0.0), lambda sum_a, a: sum_a + F.aggregate(F.col(points), F.lit(0.0), lambda sum_b, b: sum_b + term(a, b)))
 
-    ``points``: key columns and p; ``atoms``: the pairing column ``mol_id`` and the nested ``atoms``.
-    """
-    each = points.join(atoms, "mol_id").select(*key, "p", F.explode("atoms").alias("b"))
-    d = F.sqrt(square_distance(F.col("p"), F.col("b")))
-    return each.groupBy(*key).agg(F.when(F.max((d == 0).cast("int")) == 1, F.lit(0.0)).otherwise(COULOMB_SCALING * F.sum(F.try_divide(F.col("b.q"), d))).alias("potential"))
-
-
-def esp_agreement(pairs: DataFrame, points: str, atoms: str, probe: float, lam: float, name: str) -> DataFrame:
-    """For each pair, over the points outside all of the other's spheres: sum of exp(-(own - other's potential)^2 / (lam * LAM))."""
-    keys = ["ref_id", "fit_id"]
-    each = pairs.select(*keys, F.explode(points).alias("a"), F.col(atoms).alias("_b")).select(*keys, "a", F.explode("_b").alias("b"))
-    d = F.sqrt(square_distance(F.col("a"), F.col("b")))
-    at_point = each.groupBy(*keys, F.col("a.idx").alias("idx")).agg(
-        F.first("a.q").alias("own"), F.min((d >= F.col("b.radius") + probe).cast("int")).alias("outside"), (COULOMB_SCALING * F.sum(F.try_divide(F.col("b.q"), d))).alias("there")
-    )
-    term = F.when(F.col("outside") == 1, F.exp(-(F.col("own") - F.col("there")) * (F.col("own") - F.col("there")) / (lam * LAM_SCALING))).otherwise(F.lit(0.0))
-    return at_point.groupBy(*keys).agg(F.sum(term).alias(name))
+
+def potential(p: Column, atoms: str = "atoms") -> Column:
+    """C * sum(q / d) at a point from the charges of its own row; 0 for a point that coincides with any atom."""
+    at = F.exists(atoms, lambda b: square_distance(p, b) == 0)
+    there = F.aggregate(F.col(atoms), F.lit(0.0), lambda s, b: s + F.coalesce(F.try_divide(b["q"], F.sqrt(square_distance(p, b))), F.lit(0.0)))
+    return F.when(at, F.lit(0.0)).otherwise(COULOMB_SCALING * there)
+
+
+def coulomb(profiles: DataFrame, points: str = "surface", atoms: str = "atoms") -> DataFrame:
+    """(mol_id, idx, potential) at each point of a molecule, from its own atoms: both clouds are in the row."""
+    rows = profiles.select("mol_id", atoms, F.explode(points).alias("p"))
+    return rows.select("mol_id", F.col("p.idx").alias("idx"), potential(F.col("p"), atoms).alias("potential"))

@@ -36,16 +36,14 @@ def split_by_priority(pharm: DataFrame, labels: DataFrame) -> DataFrame:
     return pharm.join(labels.select("mol_id", "idx", "label"), ["mol_id", "idx"])
 
 
-def accessible(features: DataFrame, atoms: DataFrame, samples: int = 200, reach: float = 1.8, slack: float = 0.8, least: int = 4) -> DataFrame:
+def accessible(features: DataFrame, samples: int = 200, reach: float = 1.8, slack: float = 0.8, least: int = 4) -> DataFrame:
     """Whether more than ``least`` of the points around a feature lie outside all other atoms' widened spheres.
 
-    features (mol_id, idx, p, atom_ids), atoms (mol_id, atoms nested). One hash join on the molecule; the points are
-    generated, tested and counted in the feature's row.
+    features (mol_id, idx, p, atom_ids, atoms): a feature's row holds its molecule's atoms, so the points are
+    generated, tested and counted there. No join.
     """
-    rows = features.join(atoms.select("mol_id", "atoms"), "mol_id")
     around = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: fibonacci_point(i.cast("double"), F.lit(float(samples))))
-    others = F.filter("atoms", lambda a: ~F.array_contains(F.col("atom_ids"), a["idx"]))
-    rows = rows.withColumn("_others", others)
+    rows = features.withColumn("_others", F.filter("atoms", lambda a: ~F.array_contains(F.col("atom_ids"), a["idx"])))
 
     def free(u):
         at = F.struct(*[(F.col(f"p.{c}") + reach * u[c]).alias(c) for c in "xyz"])

@@ -168,7 +168,7 @@ def pair_distances(spark, sf_dir):
 
 @query(f"WITH s AS ({with_cte(['atoms'], f'SELECT a.mol_id, sum({SHAPE}) AS v FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id GROUP BY 1')}) SELECT mol_id, round(v, 6) AS v_self FROM s")
 def self_overlap(spark, sf_dir):
-    return stand_in(spark, sf_dir).select("mol_id", r6(overlap.self_sum("atoms", lambda a, b: overlap.gauss(a, b, SHAPE_ALPHA))).alias("v_self"))
+    return stand_in(spark, sf_dir).select("mol_id", r6(overlap.self_sum("atoms", SHAPE_ALPHA)).alias("v_self"))
 
 
 # ---------------------------------------------------------------- potentials
@@ -196,9 +196,7 @@ def esp_tanimoto_surf(spark, sf_dir):
     )
 )
 def coulomb_potential(spark, sf_dir):
-    rows = stand_in(spark, sf_dir)
-    points = rows.select("mol_id", F.explode("surface").alias("p")).select("mol_id", F.col("p.idx").cast("int").alias("idx"), "p")
-    return overlap.coulomb(points, rows.select("mol_id", "atoms"), ["mol_id", "idx"]).select("mol_id", "idx", r6("potential").alias("potential"))
+    return overlap.coulomb(stand_in(spark, sf_dir)).select("mol_id", F.col("idx").cast("int").alias("idx"), r6("potential").alias("potential"))
 
 
 def _agreement_sql(points: str, atoms: str, ref: str, fit: str, name: str, lam: float = 0.5) -> str:
@@ -210,8 +208,7 @@ def _agreement_sql(points: str, atoms: str, ref: str, fit: str, name: str, lam:
 
 @query("WITH " + ", ".join(DUCK[n] for n in ("atoms", "surface")) + ", " + _agreement_sql("surface", "atoms", "am", "bm", "e") + " SELECT ref_id, fit_id, round(v, 6)+0.0 AS agreement FROM e")
 def shaep_esp_comparison(spark, sf_dir):
-    pairs = overlap.panel_pairs(*panel_and_library(spark, sf_dir), ["surface", "atoms"])
-    return overlap.esp_agreement(pairs, "ref_surface", "fit_atoms", 1.0, 0.5, "agreement").select("ref_id", "fit_id", r6("agreement").alias("agreement"))
+    return scoring.esp_agreement(*panel_and_library(spark, sf_dir), 1.0, 0.5).select("ref_id", "fit_id", r6("e_ref").alias("agreement"))
 
 
 @query(
@@ -477,21 +474,15 @@ def eval_failed_rows(spark, sf_dir):
     return _samples(spark, sf_dir).select("i", *flags, "error")
 
 
-PAIRED = f"""WITH {DUCK["atoms"]}, m AS (SELECT DISTINCT vec_id AS mol_id, label FROM embeddings WHERE vec_id < 100),
+PAIRED = f"""WITH {DUCK["atoms"]}, m AS (SELECT DISTINCT vec_id AS mol_id, label FROM embeddings),
     ab AS (SELECT a.mol_id AS i, b.mol_id AS j, ma.label, sum({SHAPE}) AS v FROM m ma JOIN m mb ON ma.label = mb.label AND ma.mol_id < mb.mol_id JOIN atoms a ON a.mol_id = ma.mol_id JOIN atoms b ON b.mol_id = mb.mol_id GROUP BY 1, 2, 3),
     own AS (SELECT a.mol_id, sum({SHAPE}) AS v FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id GROUP BY 1)"""
 
 
 @query(PAIRED + " SELECT label, round(avg(ab.v/(s.v+t.v-ab.v)), 6) AS upper_bound, count(*) AS n_pairs FROM ab JOIN own s ON s.mol_id = i JOIN own t ON t.mol_id = j GROUP BY 1")
 def resample_upper_bound(spark, sf_dir):
-    """Mean shape score over all pairs of each reference's resampled profiles: here the first 100 molecules, by label."""
-    rows = stand_in(spark, sf_dir).where("mol_id < 100").withColumn("own", overlap.self_sum("atoms", lambda a, b: overlap.gauss(a, b, SHAPE_ALPHA)))
-    ref = rows.select("label", F.col("mol_id").alias("ref_id"), F.col("atoms").alias("ref_atoms"), F.col("own").alias("aa"))
-    fit = rows.select("label", F.col("mol_id").alias("fit_id"), F.col("atoms").alias("fit_atoms"), F.col("own").alias("bb"))
-    pairs = ref.join(fit, "label").where("ref_id < fit_id")
-    ab = overlap.summed(pairs, "ref_atoms", "fit_atoms", F.sum(overlap.gauss(F.col("a"), F.col("b"), SHAPE_ALPHA)), ["label", "ref_id", "fit_id", "aa", "bb"])
-    scores = ab.withColumn("score", F.try_divide(F.col("ab"), F.col("aa") + F.col("bb") - F.col("ab")))
-    return evaluation.resample_bound(scores, "label").select("label", r6("upper_bound").alias("upper_bound"), "n_pairs")
+    """Mean shape score over all pairs of each reference's resampled profiles: here all molecules, by label."""
+    return evaluation.resample_bound(evaluation.group_scores(stand_in(spark, sf_dir), "label", "int"), "label").select("label", r6("upper_bound").alias("upper_bound"), "n_pairs")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(p_retailprice*2, 4) AS score FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -544,26 +535,24 @@ EVENT_KEYS = ["click", "error", "purchase", "signup", "view"]
 COUNTS = "c AS (SELECT user_id AS pose, event_type AS key, count(*) AS n FROM events GROUP BY 1, 2), ref AS (SELECT key, n AS r FROM c WHERE pose = (SELECT min(user_id) FROM events))"
 
 
-def _reference_pose(rows: DataFrame) -> int:
-    return rows.agg(F.min("pose")).first()[0]
+def _with_reference(rows: DataFrame) -> DataFrame:
+    """The smallest pose is the reference; it comes along as a column, from one row."""
+    return rows.crossJoin(F.broadcast(rows.agg(F.min("pose").alias("reference"))))
 
 
 @query("WITH c AS (SELECT CASE WHEN user_id = (SELECT min(user_id) FROM events) THEN -1 ELSE user_id END AS pose, event_type AS key, count(*) AS n FROM events GROUP BY 1, 2) SELECT pose, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (key = '{k}'), 0) AS BIGINT) AS {k}" for k in EVENT_KEYS) + " FROM c GROUP BY 1")
 def interaction_pivot(spark, sf_dir):
-    rows = _interactions(spark, sf_dir)
-    return interactions.matrix(rows, EVENT_KEYS, _reference_pose(rows))
+    return interactions.matrix(_with_reference(_interactions(spark, sf_dir)), EVENT_KEYS, F.col("reference"))
 
 
 @query(f"WITH {COUNTS} SELECT pose, round(sum(coalesce(least(r, n), 0))::DOUBLE/(SELECT sum(r) FROM ref), 6) AS recovery FROM c LEFT JOIN ref USING (key) WHERE pose <> (SELECT min(user_id) FROM events) GROUP BY 1")
 def interaction_recovery(spark, sf_dir):
-    rows = _interactions(spark, sf_dir)
-    return interactions.recovery(rows, _reference_pose(rows)).select("pose", r6("recovery").alias("recovery"))
+    return interactions.recovery(_with_reference(_interactions(spark, sf_dir)), F.col("reference")).select("pose", r6("recovery").alias("recovery"))
 
 
 @query(f"WITH {COUNTS} SELECT pose, round(count(r)::DOUBLE/(count(*)+(SELECT count(*) FROM ref)-count(r)), 6) AS similarity FROM c LEFT JOIN ref USING (key) WHERE pose <> (SELECT min(user_id) FROM events) GROUP BY 1")
 def interaction_tanimoto(spark, sf_dir):
-    rows = _interactions(spark, sf_dir)
-    return interactions.similarity(rows, _reference_pose(rows)).select("pose", r6("similarity").alias("similarity"))
+    return interactions.similarity(_with_reference(_interactions(spark, sf_dir)), F.col("reference")).select("pose", r6("similarity").alias("similarity"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT (" + " OR ".join(f"contains(text, '{b}')" for b in (*BAD_CHARGES, "idiot")) + ")")
@@ -648,35 +637,28 @@ def crimp_points(spark, sf_dir):
 @query(
     with_cte(
         ["atoms"],
-        f"""x AS (SELECT *, ceil(pow(4*(radius/1.7), 2))::INTEGER AS n FROM atoms WHERE mol_id < 100), g AS (SELECT mol_id, idx AS atom, unnest(range(n)) AS i, n, x AS ax, y AS ay, z AS az, radius+1.2 AS size FROM x),
+        f"""x AS (SELECT *, ceil(pow(4*(radius/1.7), 2))::INTEGER AS n FROM atoms), g AS (SELECT mol_id, idx AS atom, unnest(range(n)) AS i, n, x AS ax, y AS ay, z AS az, radius+1.2 AS size FROM x),
         u AS (SELECT *, i*(2.0::DOUBLE/n)-1+1.0::DOUBLE/n AS h, ((i+1)%n)*{math.pi * (3 - math.sqrt(5))!r} AS phi FROM g),
         a AS (SELECT mol_id, atom, i, cos(phi)*sqrt(greatest(0,1-h*h))*size+ax AS x, h*size+ay AS y, sin(phi)*sqrt(greatest(0,1-h*h))*size+az AS z FROM u)
         SELECT mol_id, atom::INTEGER AS atom, i::INTEGER AS idx, round(x, 6)+0.0 AS x, round(y, 6)+0.0 AS y, round(z, 6)+0.0 AS z FROM a WHERE NOT EXISTS (SELECT 1 FROM atoms b WHERE b.mol_id = a.mol_id AND sqrt({R2}) < b.radius+1.2-0.01)""",
     )
 )
 def surface_mask(spark, sf_dir):
-    """Exposed even samples of the first 100 molecules' spheres."""
-    rows = stand_in(spark, sf_dir).where("mol_id < 100")
-    out = surfaces.exposed(surfaces.sphere_samples(rows, 4), rows)
+    """Exposed even samples of all molecules' spheres."""
+    out = surfaces.exposed(stand_in(spark, sf_dir), 4)
     return out.select("mol_id", F.col("atom").cast("int").alias("atom"), F.col("idx").cast("int").alias("idx"), *[r6(f"p.{c}").alias(c) for c in "xyz"])
 
 
 @query(with_cte(["atoms", "surface"], f"SELECT a.mol_id, a.idx::INTEGER AS i, b.idx::INTEGER AS j, round(sqrt({R2}), 6)+0.0 AS d FROM surface a JOIN atoms b ON a.mol_id = b.mol_id WHERE sqrt({R2}) < 2.0"))
 def near_pairs(spark, sf_dir):
-    """Surface points and atoms of one molecule nearer than 2: a range join through grid cells."""
-    rows = stand_in(spark, sf_dir)
-
-    def points(c):
-        return rows.select("mol_id", F.explode(c).alias("p")).select("mol_id", F.col("p.idx").alias("idx"), "p")
-
-    out = surfaces.near_pairs(points("surface"), points("atoms"), 2.0)
+    """Surface points and atoms of one molecule nearer than 2."""
+    out = surfaces.near_in_row(stand_in(spark, sf_dir), "surface", "atoms", 2.0)
     return out.select("mol_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("d").alias("d"))
 
 
 @query(with_cte(["surface"], "x AS (SELECT mol_id, min(q) AS lo, max(q) AS hi FROM surface GROUP BY 1) SELECT a.mol_id, a.idx::INTEGER AS idx, round(CASE WHEN q < 0 THEN q/nullif(lo,0) ELSE 0 END, 6)+0.0 AS red, round(CASE WHEN q > 0 THEN q/nullif(hi,0) ELSE 0 END, 6)+0.0 AS blue FROM surface a JOIN x USING (mol_id)"))
 def esp_colours(spark, sf_dir):
-    points = stand_in(spark, sf_dir).select("mol_id", F.explode("surface").alias("p")).select("mol_id", "p.idx", "p.q")
-    return surfaces.esp_colours(points).select("mol_id", F.col("idx").cast("int").alias("idx"), r6("red").alias("red"), r6("blue").alias("blue"))
+    return surfaces.esp_colours(stand_in(spark, sf_dir)).select("mol_id", F.col("idx").cast("int").alias("idx"), r6("red").alias("red"), r6("blue").alias("blue"))
 
 
 @query("WITH f AS (SELECT l_orderkey AS mol_id, l_linenumber AS idx, CAST(l_partkey%4 AS INTEGER) AS ptype, [l_partkey%11, l_suppkey%11] AS ids FROM lineitem), r AS (SELECT l_orderkey AS mol_id, list_distinct(list(l_suppkey%11)) AS ring FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS mol_id, [o_custkey%11, o_custkey%5, o_custkey%3] AS ids FROM orders) SELECT f.mol_id, f.idx, f.ptype, CAST(CASE WHEN len(list_intersect(f.ids, p.ids)) > 0 AND (f.ptype NOT IN (2,3) OR (len(list_intersect(r.ring, f.ids)) > 0 AND len(list_intersect(list_distinct(r.ring), p.ids)) >= 2)) THEN 1 ELSE 0 END AS INTEGER) AS label FROM f JOIN r USING (mol_id) JOIN p USING (mol_id)")
@@ -692,9 +674,9 @@ def priority_labels(spark, sf_dir):
 
 @query()
 def accessible_features(spark, sf_dir):
-    rows = stand_in(spark, sf_dir)
-    features = rows.select("mol_id", F.explode("pharm").alias("f")).select("mol_id", F.col("f.idx").alias("idx"), F.struct("f.x", "f.y", "f.z").alias("p"), F.array(F.col("f.idx")).alias("atom_ids"))
-    return pharmacophores.accessible(features, rows.select("mol_id", "atoms"))
+    features = stand_in(spark, sf_dir).select("mol_id", "atoms", F.explode("pharm").alias("f"))
+    features = features.select("mol_id", "atoms", F.col("f.idx").cast("int").alias("idx"), F.struct("f.x", "f.y", "f.z").alias("p"), F.array(F.col("f.idx")).alias("atom_ids"))
+    return pharmacophores.accessible(features).select("mol_id", "idx", "accessible")
 
 
 @query()

@@ -77,6 +77,6 @@ def surface_markers(profiles: DataFrame) -> DataFrame:
     """Viewer commands for a surface coloured by potential, one marker a point."""
     from shapelake.operators.surfaces import esp_colours
 
-    points = esp_colours(profiles.select("mol_id", F.explode("surface").alias("p")).select("mol_id", "p.*"))
+    points = esp_colours(profiles)
     line = F.format_string(".color %.3f 0.0 %.3f\n.dot %.3f %.3f %.3f", "red", "blue", "x", "y", "z")
     return points.select("mol_id", "idx", line.alias("bild")).groupBy("mol_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bild"))), lambda p: p["bild"]), "\n").alias("bild"))

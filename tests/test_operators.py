@@ -50,8 +50,8 @@ def test_potential_on_an_atom_is_zero(spark):
     from shapelake.operators.overlap import coulomb
 
     atoms = cloud(spark, 1, [(0, 0, 0), (3, 0, 0)])
-    points = spark.createDataFrame([(1, 0, (0.0, 0.0, 0.0)), (1, 1, (0.0, 4.0, 0.0))], "mol_id long, idx int, p struct<x:double,y:double,z:double>")
-    got = {r["idx"]: r["potential"] for r in coulomb(points, atoms, ["mol_id", "idx"]).collect()}
+    points = spark.createDataFrame([(1, [(0, 0.0, 0.0, 0.0), (1, 0.0, 4.0, 0.0)])], "mol_id long, surface array<struct<idx:int,x:double,y:double,z:double>>")
+    got = {r["idx"]: r["potential"] for r in coulomb(points.join(atoms, "mol_id")).collect()}
     assert got[0] == 0 and got[1] == pytest.approx(14.399774088621262 * 0.1 / 5)
 
 
@@ -224,25 +224,149 @@ def test_clusters():
     line = np.array([[0.0, 0, 0], [1.5, 0, 0], [3.0, 0, 0], [9.0, 0, 0]])
     assert pharmacophores.cluster_once(line).tolist() == [0, 0, 0, 3]
     assert pharmacophores.density_clusters(line).tolist() == [0, 0, 0, -1]
-    d = {(i, j): abs(line[i, 0] - line[j, 0]) for i in range(4) for j in range(i + 1, 4)}
-    assert sorted(map(len, conformers.butina(4, d, 1.6))) == [1, 3]
-    assert len(conformers.representatives(4, d, 0.1, 2)) <= 2
+    i, j = np.triu_indices(4, 1)
+    d = np.abs(line[i, 0] - line[j, 0])
+    assert sorted(map(len, conformers.butina(conformers.adjacency(4, i, j, d, 1.6)))) == [1, 3]
+    assert len(conformers.representatives(4, i, j, d, 0.1, 2)) <= 2
 
 
-def test_surface_points():
+def plain_butina(n, near):
+    """The rule as a loop: neighbours of the free items are counted again before every choice."""
+    free, out = set(range(n)), []
+    while free:
+        center = max(free, key=lambda i: (len(near[i] & free), i))
+        out.append({center} | (near[center] & free))
+        free -= out[-1]
+    return out
+
+
+def test_butina_counts_again_after_each_cluster():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        p = rng.random((14, 2)) * 3
+        i, j = np.triu_indices(14, 1)
+        d = np.linalg.norm(p[i] - p[j], axis=1)
+        near = [{int(b) for a, b in [*zip(i, j), *zip(j, i)] if a == k and np.linalg.norm(p[a] - p[b]) <= 1.0} for k in range(14)]
+        assert [set(c) for c in conformers.butina(conformers.adjacency(14, i, j, d, 1.0))] == plain_butina(14, near)
+
+
+def test_surface_points(spark):
     centers, radii = np.array([[0.0, 0, 0], [1.5, 0, 0]]), np.array([1.7, 1.5])
     p = surfaces.smooth_surface_points(centers, radii, 50)
     assert p.shape == (50, 3) and np.allclose(p, surfaces.smooth_surface_points(centers, radii, 50))
     few = surfaces.project_smooth(p, centers, radii + 1.2, nearest=2)
     assert np.allclose(few, surfaces.project_smooth(p, centers, radii + 1.2, nearest=8))
+    one = {r["idx"]: (r["x"], r["y"], r["z"]) for r in surfaces.smooth_surface(molecule(spark, centers, radii, p[:1]), 50, per_atom=25).collect()}
+    assert np.allclose([one[i] for i in range(50)], p)
     order = surfaces.farthest_points(np.array([[0.0, 0, 0], [1.0, 0, 0], [5.0, 0, 0], [5.0, 0, 0]]), 4)
     assert sorted(order.tolist()) == [0, 1, 2, 3] and order[1] == 2
-    sharp = diagnostics.summary_of(surfaces.fibonacci_spheres(centers[:1], radii[:1], 1.2, 10), centers[:1], radii[:1])
-    assert sharp["median_residual"] < 1e-9 and sharp["median_center_error"] < 1e-6
     with pytest.raises(ValueError):
         surfaces.sphere_samples(None, 60)
 
 
+def test_projection_lands_on_the_soft_level():
+    rng = np.random.default_rng(5)
+    centers, reach = rng.normal(size=(6, 3)) * 1.5, np.full(6, 2.7)
+    p = surfaces.project_smooth(centers[0] + 3.0 * rng.normal(size=(40, 3)), centers, reach, steps=60)
+    gap = np.linalg.norm(p[:, None] - centers, axis=2) - reach
+    assert np.allclose(np.log(np.exp(-2.0 * gap).sum(axis=1)), 0, atol=1e-6)
+
+
+def test_farthest_points_of_a_batch():
+    rng = np.random.default_rng(6)
+    clouds = [rng.normal(size=(n, 3)) for n in (1, 5, 9)]
+    padded, real = np.zeros((3, 9, 3)), np.arange(9) < np.array([[1], [5], [9]])
+    for k, c in enumerate(clouds):
+        padded[k, : len(c)] = c
+    for k, (c, got) in enumerate(zip(clouds, surfaces.farthest(padded, real, 6, 2), strict=True)):
+        chosen = [2 % len(c)]
+        while len(chosen) < min(6, len(c)):
+            rest = [i for i in range(len(c)) if i not in chosen]
+            chosen.append(max(rest, key=lambda i: (min(((c[i] - c[x]) ** 2).sum() for x in chosen), -i)))
+        assert [x for x in got.tolist() if x >= 0] == chosen, k
+
+
+def molecule(spark, atoms, radii, points):
+    rows = [(1, [(i, *map(float, p), 0.0, float(r)) for i, (p, r) in enumerate(zip(atoms, radii, strict=True))], [(i, *map(float, p)) for i, p in enumerate(points)])]
+    return spark.createDataFrame(rows, f"mol_id long, atoms array<{POINT}>, surface array<struct<idx:int,x:double,y:double,z:double>>")
+
+
+def test_surface_summary_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    centers, radii = rng.normal(size=(4, 3)) * 2, np.array([1.7, 1.5, 1.2, 1.6])
+    points = surfaces.fibonacci_spheres(centers, radii, 1.2, 5)
+    points = points + rng.normal(size=points.shape) * 0.05
+    got = diagnostics.summarise(molecule(spark, centers, radii, points)).first()
+    residual = np.abs(np.linalg.norm(points[:, None] - centers, axis=2) - (radii + 1.2))
+    order, r = residual.argsort(axis=1), np.sort(residual, axis=1)
+    crimp = (r[:, 0] < 0.10) & (r[:, 1] < 0.35)
+    errors = []
+    for a in range(4):
+        own = points[order[:, 0] == a]
+        if len(own) >= 8:
+            fit = np.linalg.lstsq(np.column_stack([own * 2, np.ones(len(own))]), (own**2).sum(axis=1), rcond=None)[0]
+            errors.append(np.linalg.norm(fit[:3] - centers[a]))
+    bend = []
+    for p in points:
+        near = points[np.argsort(((points - p) ** 2).sum(axis=1))[:12]]
+        w = np.linalg.eigvalsh(np.cov(near.T, bias=True))
+        bend.append(w[0] / w.sum())
+    bend = np.array(bend)
+    want = [np.median(r[:, 0]), r[:, 0].mean(), (r[:, 0] < 0.05).mean() * 100, (r[:, 0] < 0.1).mean() * 100, np.median(errors), np.percentile(errors, 90), len(errors), crimp.mean(), bend[crimp].mean(), bend[~crimp].mean()]
+    assert [got[c] for c in diagnostics.SUMMARY[1:]] == pytest.approx(want, rel=1e-6)
+    sphere = surfaces.fibonacci_spheres(centers[:1], radii[:1], 1.2, 10)
+    sharp = diagnostics.summarise(molecule(spark, centers[:1], radii[:1], sphere)).first()
+    assert sharp["median_residual"] < 1e-9 and sharp["median_center_error"] < 1e-6 and sharp["curvature_at_crimps"] is None
+    few = diagnostics.summarise(molecule(spark, centers[:1], radii[:1], sphere[:2])).first()
+    assert few["median_center_error"] is None and few["n_atoms_tested"] == 0
+
+
+def test_random_sphere_samples_lie_on_their_spheres(spark):
+    rows = stand_in(spark, SF).where("mol_id < 3")
+    out = surfaces.sphere_samples(rows, 4, random_seed=9).toPandas()
+    assert len(out) == surfaces.sphere_samples(rows, 4).count() and out.equals(surfaces.sphere_samples(rows, 4, random_seed=9).toPandas())
+    at = {(r["mol_id"], a["idx"]): a for r in rows.collect() for a in r["atoms"]}
+    for r in out.itertuples():
+        a = at[r.mol_id, r.atom]
+        assert np.linalg.norm([r.p[c] - a[c] for c in "xyz"]) == pytest.approx(a["radius"] + 1.2)
+
+
+def test_volume_samples_fill_their_balls(spark):
+    rows = stand_in(spark, SF).where("mol_id < 4")
+    out = surfaces.volume_samples(rows, 50, seed=1).toPandas()
+    at = {(r["mol_id"], a["idx"]): a for r in rows.collect() for a in r["atoms"]}
+    share = [np.linalg.norm([getattr(r, c) - at[r.mol_id, r.atom][c] for c in "xyz"]) / at[r.mol_id, r.atom]["radius"] for r in out.itertuples()]
+    assert len(share) == 4 * 7 * 50 and max(share) <= 1 and np.mean(np.array(share) ** 3) == pytest.approx(0.5, abs=0.05)
+    some = surfaces.volume_samples(rows, 50, seed=1, total=10).toPandas()
+    assert some.groupby("mol_id").size().tolist() == [10] * 4
+
+
+def test_large_panels_are_joined_and_score_alike(spark, monkeypatch):
+    from shapelake.operators import clouds
+
+    rows = stand_in(spark, SF).where("mol_id < 5")
+    for score in (scoring.shape, lambda a, b: scoring.shaep(a, b, lam=0.5), scoring.pharm_combo, lambda a, b: scoring.shape_avoiding(a, b, "surface")):
+        small = {(r[0], r[1]): r["score"] for r in score(rows, rows).collect()}
+        monkeypatch.setattr(clouds, "PANEL_ROWS", 2)
+        large = {(r[0], r[1]): r["score"] for r in score(rows, rows).collect()}
+        monkeypatch.undo()
+        assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
+
+
+def test_points_without_a_position_are_left_out(spark):
+    schema = f"mol_id long, atoms array<{POINT}>"
+    whole = spark.createDataFrame([(1, [(0, 0.0, 0.0, 0.0, 0.1, 1.5), (1, 1.0, 0.0, 0.0, 0.2, 1.5)])], schema)
+    holed = spark.createDataFrame([(2, [(0, 0.0, 0.0, 0.0, 0.1, 1.5), (1, 1.0, 0.0, 0.0, 0.2, 1.5), (2, None, 0.0, 0.0, 0.1, 1.5)]), (3, []), (4, None)], schema)
+    got = {r["fit_id"]: r["score"] for r in scoring.shape(whole, holed).collect()}
+    assert got[2] == pytest.approx(1.0) and got[3] == 0 and got[4] == 0
+
+
+def test_posed_screening_shuffles_only_for_the_top_k(spark):
+    rows = stand_in(spark, SF)
+    plan = screening.screen(rows.where("mol_id < 8"), rows, "vol_and_surf_esp", 10, lam=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "HashAggregate" not in plan
+
+
 def test_streamed_screening_equals_batch(spark, tmp_path):
     from shapelake.streaming.arrivals import latest, screen_stream
 

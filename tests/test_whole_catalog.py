@@ -29,8 +29,8 @@ def test_conformers_by_brute_force(spark):
     want = set()
     for label, own in labels.items():
         at = np.array(own)
-        distance = {(i, j): float(np.linalg.norm(at[i] - at[j])) for j in range(len(at)) for i in range(j)}
-        want |= {(label, c) for c in conformers.representatives(len(at), distance, 1.0, 5)}
+        i, j = np.triu_indices(len(at), 1)
+        want |= {(label, c) for c in conformers.representatives(len(at), i, j, np.linalg.norm(at[i] - at[j], axis=1), 1.0, 5)}
     assert {(r["mol_id"], r["conf"]) for r in catalog.conformer_clusters(spark, SF).collect()} == want
 
 
