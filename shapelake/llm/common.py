@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of this machine only where it is unset (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only a local session may go without: it gets one in /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/shapelake-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/shapelake-shared"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -144,12 +145,37 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """At most ``bound`` labelled rows (doc_id, text, y), none of them held out, chosen by a hash of doc_id.
 
-    The chosen ids are at most ``bound`` rows, so that side is safe to broadcast; the texts are read in one scan.
+    A document with contradicting labels is not used; of several texts with one doc_id the least counts. The chosen
+    ids are at most ``bound`` rows, so that side is safe to broadcast; the texts are read in one scan.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     y = y.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound).dropDuplicates(["doc_id"])
-    return text_rows(docs).join(F.broadcast(y), "doc_id")
+    y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_high")).where("y = _high").select("doc_id", "y")
+    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = text_rows(docs).join(F.broadcast(y), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def within_bytes(rows: DataFrame, most: int, column: str = "text") -> DataFrame:
+    """Of a bounded sample, the rows by a hash of doc_id whose texts together stay within ``most`` bytes; one at least."""
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sized = rows.withColumn("_n", F.row_number().over(order)).withColumn("_b", F.sum(F.octet_length(column).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return sized.where((F.col("_b") <= most) | (F.col("_n") == 1)).drop("_n", "_b")
+
+
+# ---------------------------------------------------------------- joins with hot keys
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, total: int, parts: int = 256) -> DataFrame:
+    """Inner join of rows (many a key) with keyed (one row a key, ``n`` its number of rows, of ``total`` in all).
+
+    Keys with more than one in ``parts`` of all rows, so fewer than ``parts`` of them, are broadcast; the others are
+    dealt by hash, and none of those can fill a task. Both inputs are read twice: pass written tables.
+    """
+    hot = F.col("n") * parts > total
+    heavy, light = keyed.where(hot).drop("n"), keyed.where(~hot).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
 
 
 # ---------------------------------------------------------------- hashing
