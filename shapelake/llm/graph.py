@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, frugal, map_batches
+from shapelake.llm.common import Scratch, frugal, join_counted, map_batches
 
 SMALL = 4
 
@@ -235,7 +235,12 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
     return done()
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (node, key) whose key at least two different nodes have. Counted before anything is gathered."""
-    many = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    return rows.join(many, "key").distinct()
+def shared_keys(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """The rows (node, key) whose key at least two different nodes have. ``rows``: a written table.
+
+    Keys are counted before anything is gathered, and hot ones are not dealt by hash.
+    """
+    counts = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    many = scratch.save(counts.where("low <> high").select("key", "n"), "many")
+    found = scratch.save(join_counted(rows, many, "key", rows.count()).select("node", "key"), "found")
+    return found.distinct()

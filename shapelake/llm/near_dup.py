@@ -1,9 +1,11 @@
 """MinHash near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles are runs of five words (blank-delimited, lower case). Their document frequencies are counted over all
-   documents in a count-min sketch of fixed size. A shingle weighs tf * idf, where idf runs from 1 (in every
-   document) to 1 + ``DAMPING`` (in one): damped, so that a large group of near copies, whose shared shingles are
-   frequent, is not torn apart by its few rare ones.
+1. Shingles are runs of five words (blank-delimited, lower case). A shingle weighs tf * idf with
+   idf = 1 + ``DAMPING`` * ln(1 / share) / ln(1 / ``RARE``), share being the part of all documents that hold it and
+   ``RARE`` its least value that counts: whatever is rarer weighs 1 + ``DAMPING``. The frequent shingles are few (at
+   most a document's mean number of shingles, over ``RARE``) and their document frequencies are counted exactly, so a
+   weight depends on shares alone and means the same at every size of corpus. It is damped, so that a large group of
+   near copies, whose shared shingles are frequent, is not torn apart by its few rare ones (README has figures).
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples: with r, c ~ Gamma(2, 1) and b uniform for a shingle
    and a sample, t = floor(ln w / r + b) and the sample is the shingle with the least ln c - r (t - b + 1), and its t.
    Two texts share a sample with the probability of their weighted Jaccard similarity.
@@ -13,36 +15,33 @@
 At 0.8 one band agrees with probability 0.41, so 14 bands of 4 miss a pair with probability 0.0006.
 
 Defined cases: null and empty texts are exact copies of each other; texts under five words have one shingle, all
-their words; a null doc_id takes part, but represents its class only if no row has an id; repeated rows fall in one
+their words; very long texts are shingled whole; a class is named by its smallest doc_id, and of rows that tie for its
+place the one with the least digest, and then any of those equal in id and text, stays; a null doc_id takes part, but represents its class only if no row has an id; repeated rows fall in one
 class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, bitmap_of, frugal, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
+from shapelake.llm.common import Scratch, as_long, bitmap_of, frugal, join_counted, maybe_in, mix, ngrams, odd_multipliers, text_rows, word_hashes
 from shapelake.llm.graph import link_components, shared_keys, weighted_jaccard  # noqa: F401
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-SKETCH_ROWS, SKETCH_BITS = 2, 19
+RARE = 1e-3
 DAMPING = 0.1
 POOL_BITS = 16
+CHUNK = 1 << 21
 
 
 # ---------------------------------------------------------------- weights
 
 
-SKETCH_BY = odd_multipliers(SKETCH_ROWS, 101)
-
-
 def shingles(text: str) -> np.ndarray:
     return ngrams(word_hashes(text), SHINGLE)
 
@@ -56,53 +55,83 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return own[starts], np.diff(np.append(starts, len(own)))
 
 
-def sketch_slots(keys: np.ndarray) -> np.ndarray:
-    """(SKETCH_ROWS, n) slots of some shingles."""
-    return ((keys * SKETCH_BY[:, None]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def candidates(texts: DataFrame, documents: int, rare: float = RARE) -> np.ndarray:
+    """Sorted shingles that hold every one of document frequency ``rare * documents`` or more.
 
-
-def document_frequencies(texts: DataFrame, parts: int = 16) -> np.ndarray:
-    """Count-min sketch (SKETCH_ROWS, 2^SKETCH_BITS) of how many documents hold each shingle. 4 MB at any size."""
-    size = 1 << SKETCH_BITS
+    A chunk of texts reports what at least half that share of its documents hold. A frequent shingle goes unreported
+    in fewer than half as many documents as it needs, so its reports add up to the other half. That bounds the rest:
+    at most a document's mean number of shingles, times 2 / ``rare``, can have so many.
+    """
 
     @frugal
     def run(batches):
-        count = np.zeros((SKETCH_ROWS, size), dtype=np.int64)
+        held, size, n = [], 0, 0
+
+        def out():
+            keys, count = np.unique(np.concatenate(held), return_counts=True)
+            enough = 2 * count >= rare * n
+            return pa.RecordBatch.from_arrays([as_long(keys[enough]), pa.array(count[enough])], names=["key", "n"])
+
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                own = [counted(t or "")[0] for t in batch.column("text").slice(at, 500).to_pylist()]
-                for row, slots in enumerate(sketch_slots(np.concatenate(own))):
-                    count[row] += np.bincount(slots, minlength=size)
-        flat = count.reshape(parts, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in flat], pa.binary())], names=["part", "count"])
+            for text in batch.column("text").to_pylist():
+                held.append(counted(text or "")[0])
+                size, n = size + len(held[-1]), n + 1
+                if size > CHUNK:
+                    yield out()
+                    held, size, n = [], 0, 0
+        if n:
+            yield out()
+
+    reported = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = reported.where(2 * F.col("n") >= rare * documents).select("key").toArrow().column("key")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def document_frequencies(texts: DataFrame, documents: int, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, how many documents hold each) of those in at least ``rare`` of all documents. Exact at any size."""
+    wanted = candidates(texts, documents, rare)
+    if len(wanted) == 0:
+        return wanted, np.zeros(0, dtype=np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     @frugal
-    def gather(batches):  # tasks' sketches meet a few at a time, never all in one task
-        held: dict[int, np.ndarray] = {}
+    def run(batches):
+        total = np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for part, raw in zip(batch.column("part").to_pylist(), batch.column("count").to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), dtype="<i8")
-                held[part] = held[part] + own if part in held else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["part", "count"])
+            for text in batch.column("text").to_pylist():
+                own = counted(text or "")[0]
+                total[positions(own, shared.value)[1]] += 1  # distinct, so no place comes twice
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["at", "n"])
+
+    got = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= rare * documents).toArrow()
+    shared.unpersist()
+    at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(at)
+    return wanted[at[order]], n[order]
+
 
-    schema = "part int, count binary"
-    local = texts.select("text").mapInArrow(run, schema)
-    rows = local.repartition(parts, "part").mapInArrow(gather, schema).collect()
-    out = np.zeros((parts, SKETCH_ROWS * size // parts), dtype=np.int64)
-    for row in rows:
-        out[row["part"]] += np.frombuffer(zlib.decompress(row["count"]), dtype="<i8")
-    return out.reshape(SKETCH_ROWS, size)
+def positions(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the keys the sorted table holds, where)."""
+    if len(table) == 0:
+        return np.zeros(len(keys), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    hit = table[at] == keys
+    return hit, at[hit]
 
 
-def idf_table(sketch: np.ndarray, documents: int) -> np.ndarray:
-    """float32 per slot: 1 + DAMPING * ln(N / df) / ln N. The minimum over rows is taken on df, so the maximum here."""
-    n = max(documents, 2)
-    return (1 + DAMPING * np.log(n / np.clip(sketch, 1, n)) / np.log(n)).astype(np.float32)
+def idf_table(frequent: tuple[np.ndarray, np.ndarray], documents: int, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent shingles, float32 idf of each)."""
+    keys, df = frequent
+    share = np.clip(df / max(documents, 1), rare, 1.0)
+    return keys, (1 + DAMPING * np.log(share) / np.log(rare)).astype(np.float32)
 
 
-def weigh(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    slots = sketch_slots(keys)
-    return counts * np.max([idf[row][slots[row]] for row in range(SKETCH_ROWS)], axis=0)
+def weigh(keys: np.ndarray, counts: np.ndarray, idf: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.full(len(keys), np.float32(1 + DAMPING))
+    hit, at = positions(keys, idf[0])
+    out[hit] = idf[1][at]
+    return counts * out
 
 
 # ---------------------------------------------------------------- samples
@@ -167,7 +196,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     scratch = scratch or Scratch(docs.sparkSession, "near_dup")
     spark, texts = docs.sparkSession, keyed(docs, id_col, text_col)
     n = docs.count()
-    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(texts), n))
+    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(texts, n), n))
 
     @frugal
     def sign(batches):
@@ -184,17 +213,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     # exact copies have equal keys: one of them speaks for all
     distinct = signed.select("digest", "keys").dropDuplicates(["digest"])
     banded = scratch.save(distinct.select(F.col("digest").alias("node"), F.explode("keys").alias("key")), "banded")
-    members = scratch.save(shared_keys(banded), "members")
+    members = scratch.save(shared_keys(scratch, banded), "members")
 
     wanted = scratch.save(members.select("node").distinct().join(signed.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id")), "node"), "wanted")
     sets = scratch.save(shingle_sets(texts, wanted, idf), "sets")
     labels, _ = link_components(scratch, members, sets, threshold)
     rows = signed.select("doc_id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     rows = scratch.save(rows, "labelled")
-    scratch.drop("signed", "banded", "members", "wanted", "sets", "labels")
+    scratch.drop("signed", "banded", "many", "found", "members", "wanted", "sets", "labels")
     idf.unpersist()
-    heads = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(heads, "label").select("doc_id", "digest", "label", "class_id", "class_size")
+    heads = scratch.save(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.count("*").alias("n")), "heads")
+    return join_counted(rows, heads, "label", n).select("doc_id", "digest", "label", "class_id", "class_size")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, idf) -> DataFrame:

@@ -14,7 +14,9 @@ is one long: 44 bits of the row's hash and the ordinal modulo 2^20. A removal na
 checked when it is applied, so that neither rows with the same 44 bits nor ordinals 2^20 apart lose anything else;
 equal cuts of one document exactly 2^20 ordinals apart count as one.
 
-Defined cases: null and empty texts have no paragraphs and stay as they are; exact copies of a document lose all but
+Lines under ``LEAST`` words are not compared as paragraphs; their words are covered by the cuts, which ignore lines.
+
+Defined cases: null and empty texts have no paragraphs and stay as they are; very long texts are cut whole; exact copies of a document lose all but
 the paragraphs too short to count; rows that agree in doc_id and text are one document; an empty table gives an empty
 result; other columns are ignored (``remove_from`` keeps them).
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, as_long, bitmap_of, frugal, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, powers, text_rows, word_spans
+from shapelake.llm.common import Scratch, as_long, bitmap_of, frugal, join_counted, long_lists, lowered, maybe_in, mix, ngrams, odd_multipliers, powers, text_rows, word_spans
 from shapelake.llm.graph import link_components, shared_keys
 from shapelake.llm.near_dup import bands
 
@@ -192,10 +194,11 @@ def _unit_batch(kinds, keys, places, offsets, values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), as_long(np.concatenate(keys)), as_long(np.concatenate(places)), lists], names=["kind", "key", "occurrence", "keys"])
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Of rows (key, occurrence), all but each key's first. Keys that stand once never meet their row again."""
-    firsts = rows.groupBy("key").agg(F.min("occurrence").alias("first"), F.max("occurrence").alias("last")).where("first <> last").select("key", "first")
-    return rows.join(firsts, "key").where("occurrence <> first").select("key", "occurrence")
+def repeated(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Of rows (key, occurrence) of a written table, all but each key's first. Hot keys are not dealt by hash."""
+    counts = rows.groupBy("key").agg(F.min("occurrence").alias("first"), F.max("occurrence").alias("last"), F.count("*").alias("n"))
+    firsts = scratch.save(counts.where("first <> last").select("key", "first", "n"), "firsts")
+    return join_counted(rows, firsts, "key", rows.count()).where("occurrence <> first").select("key", "occurrence")
 
 
 def line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,11 +234,12 @@ def owners(rows: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, D
 def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(owner, gone): for a row, the cuts (kind 0) and lines (kind 1) that stand elsewhere first, with their keys."""
     found = scratch.save(units(rows), "units")
-    cuts = repeated(found.where("kind = 0").select("key", "occurrence"))
+    cuts = repeated(scratch, found.where("kind = 0").select("key", "occurrence"))
     lines = found.where("kind = 1")
     distinct = lines.groupBy("key").agg(F.min("occurrence").alias("occurrence"), F.first("keys").alias("keys"))
-    banded = distinct.select(F.col("key").alias("node"), F.explode("keys").alias("key"))
-    members = scratch.save(shared_keys(banded), "members")
+    banded = scratch.save(distinct.select(F.col("key").alias("node"), F.explode("keys").alias("key")), "banded")
+    members = scratch.save(shared_keys(scratch, banded), "members")
+    scratch.drop("banded", "many", "found")
     wanted = lines.select(F.col("key").alias("node"), "occurrence").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("occurrence").alias("occurrence"))
     sets = scratch.save(line_sets(rows, scratch.save(wanted, "wanted")), "sets")
     labels, _ = link_components(scratch, members, sets, THRESHOLD)
@@ -245,7 +249,7 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     both = cuts.withColumn("kind", F.lit(0)).unionByName(near.withColumn("kind", F.lit(1)))
     low = F.expr(f"cast(occurrence & {(1 << ORDINAL_BITS) - 1} as int)")
     gone = scratch.save(both.groupBy(owner("occurrence").alias("owner")).agg(F.collect_list(F.struct("kind", low.alias("at"), "key")).alias("gone")), "gone")
-    scratch.drop("units", "members", "wanted", "sets", "labels")
+    scratch.drop("units", "firsts", "members", "wanted", "sets", "labels")
     return gone
 
 

@@ -59,7 +59,8 @@ def link_case(spark, sets, keys, weights=None):
         order = np.argsort(np.array(own, dtype=np.uint64))
         rows.append((n, np.array(own, dtype=np.uint64)[order].tobytes(), np.array(weights[n], dtype=np.float32)[order].tobytes()))
     table = spark.createDataFrame(rows, "node long, keys binary, weights binary")
-    labels, scored = link_components(Scratch(spark, "t"), shared_keys(members), table, 0.8)
+    scratch = Scratch(spark, "t")
+    labels, scored = link_components(scratch, shared_keys(scratch, members), table, 0.8)
     got = {r["node"]: r["label"] for r in labels.collect()}
 
     def similar(a, b):
@@ -243,3 +244,31 @@ def test_meeting_owners_remove_nothing_else():
     assert substring_dedup.apply(text, wrong) == (text, 0)
     key = int(np.uint64(own.line_keys()[0]).astype(np.int64))
     assert substring_dedup.apply(text, [{"kind": 1, "at": 0, "key": key}]) == ("", 60)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of different texts with weighted similarity of 0.8 or more, found by an inverted index over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    first: dict[str, int] = {}
+    for i in sorted(rows):
+        first.setdefault(rows[i], i)
+    own = {i: near_dup.counted(t) for t, i in first.items()}
+    df = Counter(k for t in rows.values() for k in near_dup.counted(t)[0].tolist())
+    keys = np.array(sorted(k for k, n in df.items() if n >= near_dup.RARE * len(rows)), dtype=np.uint64)
+    idf = near_dup.idf_table((keys, np.array([df[int(k)] for k in keys])), len(rows))
+    weights = {i: near_dup.weigh(k, c, idf) for i, (k, c) in own.items()}
+    holders = defaultdict(list)
+    for i, (k, _) in own.items():
+        for x in k.tolist():
+            holders[x].append(i)
+    shared = Counter((a, b) for x in holders.values() for n, a in enumerate(x) for b in x[n + 1 :])
+    near = [(a, b) for a, b in shared if near_dup.weighted_jaccard(own[a][0], weights[a], own[b][0], weights[b]) >= near_dup.THRESHOLD]
+    classes = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    recall = np.mean([classes[a] == classes[b] for a, b in near])
+    print(len(near), recall)
+    assert len(near) >= 10 and recall >= 0.9
+    assert all(classes[i] == classes[first[t]] for i, t in rows.items())
+    truth = union(near, first.values())
+    merged = {i: truth[first[t]] for i, t in rows.items()}
+    assert all(merged[classes[i]] == merged[i] for i in rows)  # and nothing else is joined

@@ -57,3 +57,25 @@ def test_media_query_goes_through_tiles(spark, tmp_path):
         assert r["payload_sha256"] == hashlib.sha256(pixels.tobytes()).hexdigest()
         hashes = [media.difference_hash(media.gray(pixels[32 * a : 32 * a + 32, 32 * b : 32 * b + 32])) for a, b, _ in found]
         assert r["feature"] == "".join(hashes) and len(r["feature"]) == 16 * len(blobs)
+
+
+def test_document_frequencies_are_exact(spark):
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i}" for i in range(40)])
+    texts = [" ".join(rng.choice(words, 12)) + (" the same five words here" * (i % 3 == 0)) for i in range(900)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    df = {}
+    for t in texts:
+        for k in near_dup.counted(t or "")[0].tolist():
+            df[k] = df.get(k, 0) + 1
+    for rare in (0.002, 0.01, 0.2):
+        keys, n = near_dup.document_frequencies(docs, len(texts), rare)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {k: v for k, v in df.items() if v >= rare * len(texts)}
+
+
+def test_weights_depend_on_shares_alone():
+    keys = np.arange(5, dtype=np.uint64)
+    small, large = (near_dup.idf_table((keys, np.array([1, 10, 100, 500, 1000]) * m), 1000 * m) for m in (1, 1000))
+    assert np.array_equal(small[1], large[1]) and np.all(np.diff(small[1]) < 0)
+    own = near_dup.weigh(np.array([0, 4, 9], dtype=np.uint64), np.array([1, 1, 2]), small)
+    assert np.allclose(own, [1 + near_dup.DAMPING, 1.0, 2 * (1 + near_dup.DAMPING)])
