@@ -1,18 +1,23 @@
 """Toxicity by weak supervision.
 
 1. Voters: lexicons and patterns vote toxic, clean or abstain. Some lexicons are written down here; others (words and
-   word beginnings) are mined from labelled rows, never from held-out ones.
+   word beginnings) are mined from labelled rows, never from held-out ones, and dealt by strength to as many voters as
+   they fill.
 2. A generative label model estimates, by expectation maximisation, each voter's accuracy and, through a tree of the
-   strongest conditional dependencies, which voters only repeat each other. The observed label is one more voter.
-3. A linear classifier over word and word-beginning counts is trained on the posterior labels and scores every text.
-
-Defined cases: null and empty texts get the score of a text without any feature; repeated rows get equal scores; an
-empty table gives an empty result; labels, lang, source and doc_id never enter a score; without labelled rows of both
-kinds the hand-written lexicons alone decide.
+   strongest conditional dependencies, which voters only repeat each other. The observed label starts the estimation
+   and is one more voter, whose accuracy is estimated like the others'.
+3. A linear classifier over the logarithms of word and word-beginning counts is trained on the posterior labels and
+   scores every text.
+
+Defined cases: null and empty texts get the score of a text without any feature; very long texts are scored whole;
+features equally strong rank by name; repeated rows get equal scores, and of several texts with one doc_id the least is
+learned from; documents with contradicting labels are not learned from; an empty table gives an empty result; labels,
+lang, source and doc_id never enter a score; without labelled rows of both kinds the hand-written lexicons alone decide.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -21,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shapelake.llm.common import Memo, filter_batches, frugal, held_out, labelled_sample, map_batches, text_rows, texts_of
+from shapelake.llm.common import Memo, filter_batches, frugal, held_out, labelled_sample, map_batches, text_rows, texts_of, within_bytes
 
 #: Hand-written lexicons; each is a voter.
 LEXICONS = {
@@ -39,7 +44,8 @@ PATTERNS = {
 }
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
-MOST_COUNT = 4  # a feature counts at most so often in a text
+PRECISION = 0.3  # a mined feature's share of toxic texts is at least this, at the lower end of its confidence interval
+PER_VOTER = 10  # mined features that make up a voter
 
 
 def parts(word: str) -> list[str]:
@@ -78,7 +84,7 @@ class Corpus:
         return out[:-1]
 
     def matrix(self, names: list[str]) -> np.ndarray:
-        """(texts, names): counts of some features, MOST_COUNT at most."""
+        """(texts, names): logarithms of the counts of some features, 1 for one."""
         at = {k: i for i, k in enumerate(names)}
         column = np.array([at.get(f, -1) for f in self.features] + [-1], dtype=np.int64)
         out = np.zeros((len(self.docs), len(names)))
@@ -86,33 +92,34 @@ class Corpus:
             own = column[self.parts[ids]]
             hit = own >= 0
             np.add.at(row, own[hit], np.broadcast_to(counts[:, None], own.shape)[hit])
-        return np.minimum(out, MOST_COUNT)
+        return np.log2(1 + out)
 
 
 # ---------------------------------------------------------------- voters
 
 
-def mine(corpus: Corpus, y: np.ndarray, most: int, least_toxic: int = 4) -> list[tuple[str, float]]:
-    """Features whose presence speaks most for the toxic label, strongest first, with their log odds."""
+def mine(corpus: Corpus, y: np.ndarray, least: float = PRECISION, least_toxic: int = 4, z: float = 1.64) -> list[str]:
+    """Features that speak for the toxic label, strongest first: by the lower end of the Wilson interval of their precision."""
     toxic, clean = corpus.presence(y == 1), corpus.presence(y == 0)
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    scored = [(float(odds[i]), int(toxic[i]), corpus.features[i]) for i in np.flatnonzero((toxic >= least_toxic) & (odds > 1.5))]
-    scored.sort(key=lambda s: (-s[0] * np.sqrt(s[1]), s[2]))
-    chosen: list[tuple[str, float]] = []
+    n = np.maximum(toxic + clean, 1)
+    p = toxic / n
+    low = (p + z * z / (2 * n) - z * np.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    scored = sorted((-float(low[i]), corpus.features[i], int(toxic[i])) for i in np.flatnonzero((toxic >= least_toxic) & (low > least)))
+    chosen: list[str] = []
     seen: set[tuple[int, str]] = set()
-    for own, n, k in scored:  # of nested beginnings in the same texts one is enough
-        if (n, k[: STEMS[0]]) not in seen and len(chosen) < most:
-            seen.add((n, k[: STEMS[0]]))
-            chosen.append((k, own))
+    for _, k, n_toxic in scored:  # of nested beginnings in the same texts one is enough
+        if (n_toxic, k[: STEMS[0]]) not in seen:
+            seen.add((n_toxic, k[: STEMS[0]]))
+            chosen.append(k)
     return chosen
 
 
-def voter_lexicons(mined: list[tuple[str, float]]) -> dict[str, set[str]]:
-    """Named word sets: those written down, and mined ones dealt to three voters for words and three for beginnings."""
+def voter_lexicons(mined: list[str], size: int = PER_VOTER) -> dict[str, set[str]]:
+    """Named word sets: those written down, and all mined features, words and beginnings apart, ``size`` a voter by strength."""
     sets = {name: set(words.split()) for name, words in LEXICONS.items()}
-    for kind, own in (("words", [k for k, _ in mined if not k.endswith("*")]), ("stems", [k for k, _ in mined if k.endswith("*")])):
-        for i in range(3):
-            sets[f"mined_{kind}_{i}"] = set(own[i::3][:40])
+    for kind, own in (("words", [k for k in mined if not k.endswith("*")]), ("stems", [k for k in mined if k.endswith("*")])):
+        for i in range(0, len(own), size):
+            sets[f"mined_{kind}_{i // size}"] = set(own[i : i + size])
     return sets
 
 
@@ -180,15 +187,16 @@ def _tree(v: np.ndarray, q: np.ndarray) -> list[int]:
     return parent
 
 
-def fit_label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15, smooth: float = 1.0, trust: float = 0.998) -> LabelModel:
-    """Expectation maximisation from a first guess of the labels; the tree is drawn again every fifth round.
+def fit_label_model(v: np.ndarray, start: np.ndarray, rounds: int = 18, alone_for: int = 3, smooth: float = 1.0) -> LabelModel:
+    """Expectation maximisation from a first guess of the labels.
 
-    Column 0 is the observed label: the tree's root, with the accuracy ``trust`` as given.
+    The voters count as independent for the first rounds: under a poor guess whatever two good voters share would pass
+    for a dependency. Then the tree, with column 0 as its root, is drawn from the posteriors, and again every fifth round.
     """
-    q, parent = np.clip(start.astype(float), 0.02, 0.98), []
+    q, parent = np.clip(start.astype(float), 0.02, 0.98), [-1] * v.shape[1]
     model = None
     for step in range(rounds):
-        if step % 5 == 0:
+        if step >= alone_for and (step - alone_for) % 5 == 0:
             parent = _tree(v, q)
         tables, alone = [], []
         for j, p in enumerate(parent):
@@ -196,14 +204,12 @@ def fit_label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15, smooth:
             up = v[:, p] + 1 if p >= 0 else np.zeros(len(v), dtype=int)
             np.add.at(t[1], (up, v[:, j] + 1), q)
             np.add.at(t[0], (up, v[:, j] + 1), 1 - q)
-            if j == 0:
-                t[:, 0] = [[0.01, trust, 1 - trust], [0.01, 1 - trust, trust]]
             tables.append(t / t.sum(axis=2, keepdims=True))
             m = np.array([[((1 - q) * (v[:, j] == a)).sum() for a in (-1, 0, 1)], [(q * (v[:, j] == a)).sum() for a in (-1, 0, 1)]])
             alone.append((m + smooth / 3) / (m + smooth / 3).sum(axis=1, keepdims=True))
         model = LabelModel(float(np.clip(q.mean(), 0.005, 0.995)), parent, tables, alone)
         new = model.posterior(v)
-        if np.abs(new - q).max() < 1e-4:
+        if step > alone_for and np.abs(new - q).max() < 1e-4:
             break
         q = new
     return model
@@ -256,26 +262,26 @@ class Model:
         found: Counter = Counter()
         for known in filter(None, map(self.memo.__getitem__, text.lower().split())):
             found.update(known)
-        return self.bias + sum(self.weights[k] * min(n, MOST_COUNT) for k, n in found.items())
+        return self.bias + sum(self.weights[k] * math.log2(1 + n) for k, n in found.items())
 
     def score(self, texts: list[str]) -> np.ndarray:
         margins = np.array([self.margin(t) for t in texts], dtype=float)
         return 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
 
 
-def train(texts: list[str], y: np.ndarray, n_features: int = 600) -> tuple[Model, LabelModel | None]:
+def train(texts: list[str], y: np.ndarray) -> tuple[Model, LabelModel | None]:
     """Voters, label model and classifier from labelled texts."""
     hand = {w: 1.5 for words in LEXICONS.values() for w in words.split()}
     if len(y) == 0 or y.min() == y.max():
         return Model(hand, -2.0), None
     corpus = Corpus(texts)
-    mined = mine(corpus, y, n_features)
+    mined = mine(corpus, y)
     v = votes(corpus, voter_lexicons(mined))
     observed = np.hstack([y[:, None].astype(np.int8), v])
     label_model = fit_label_model(observed, 0.9 * y + 0.1 * (v == 1).any(axis=1))
     q = label_model.posterior(observed)
     found = set(corpus.words)
-    names = list(dict.fromkeys([k for k, _ in mined] + [w for w in hand if w in found]))
+    names = list(dict.fromkeys(mined + [w for w in hand if w in found]))
     at = set(names)
     x = corpus.matrix(names)
     w, bias = fit_linear(x, q)
@@ -286,8 +292,9 @@ def train(texts: list[str], y: np.ndarray, n_features: int = 600) -> tuple[Model
 # ---------------------------------------------------------------- Spark
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = 6_000) -> Model:
-    """Train on at most ``bound`` labelled rows. They meet in one task; only the weights come to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, bound: int = 6_000, most_bytes: int = 128 << 20) -> Model:
+    """Train on at most ``bound`` labelled rows of at most ``most_bytes``. They meet in one task; only the weights come
+    to the driver."""
 
     @frugal
     def fit(batches):
@@ -296,7 +303,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6_000) -> Model:
         model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], dtype=np.int64))[0]
         yield pa.RecordBatch.from_arrays([pa.array(["", *model.weights], pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
 
-    got = labelled_sample(docs, labels, "toxic", bound).repartition(1).mapInArrow(fit, "feature string, weight double").collect()
+    got = within_bytes(labelled_sample(docs, labels, "toxic", bound), most_bytes).repartition(1).mapInArrow(fit, "feature string, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in got}
     return Model({k: w for k, w in weights.items() if k}, weights[""]) if got else train([], np.zeros(0, dtype=np.int64))[0]
 
