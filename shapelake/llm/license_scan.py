@@ -1,16 +1,21 @@
 """License scans: fuzzy search for short notices.
 
-A text becomes its words (ASCII lower case; see ``TABLE``) joined by single spaces. A notice of m characters that may
-hold k edits is split into k + 1 pieces: by the pigeonhole principle one of them stands in any match unedited, so
-exact searches for the pieces find every candidate. The regex library's bounded-error matching then verifies the
-edits around each candidate and gives the span. Phrases that identify a license outright are counted exactly.
-
-Defined cases: null and empty texts have no words, no labels and score 0; repeated rows get equal results; an empty
-table gives an empty result; other columns are ignored.
+A text becomes its words (ASCII lower case; see ``TABLE``) joined by single spaces, and all places below are characters
+of that string. A notice of m characters may hold k = m // ``PER_CHARS`` edits. It is split into k + 1 pieces: by the
+pigeonhole principle one of them stands in any match unedited, so exact searches for the pieces find every candidate
+start, up to k characters away. The regex library's bounded-error matching then verifies the window around each
+candidate and gives the span with the fewest edits. Candidates are worked on one by one, so adjacent notices are all
+found and the time is linear in the text. Where notices overlap, those with the fewest edits explain the place.
+Phrases that identify a license outright are counted exactly.
+
+Defined cases: null and empty texts have no words, no labels and score 0; very long texts are searched whole; of equally
+good spans the first one counts, and overlapping notices with equal edits all do; repeated rows get equal results; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,8 +53,11 @@ NOTICES = {
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def edits_allowed(notice: str, per_chars: int = 12, most: int = 4) -> int:
-    return min(most, len(notice) // per_chars)
+PER_CHARS = 12
+
+
+def edits_allowed(notice: str, per_chars: int = PER_CHARS) -> int:
+    return len(notice) // per_chars
 
 
 def pieces(notice: str, k: int) -> list[tuple[int, str]]:
@@ -58,17 +66,26 @@ def pieces(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def places(needle: str, text: str) -> list[int]:
+    """Every place of a needle, overlapping ones too."""
+    out, at = [], text.find(needle)
+    while at >= 0:
+        out.append(at)
+        at = text.find(needle, at + 1)
+    return out
+
+
 class Scanner:
-    def __init__(self, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES, per_chars: int = 12):
+    def __init__(self, notices: dict[str, str] = NOTICES, phrases: dict[str, str] = PHRASES, per_chars: int = PER_CHARS):
         self.notices, self.phrases, self.per_chars = notices, phrases, per_chars
-        self.seeds: dict[bytes, list[tuple[int, int]]] = {}
+        self.seeds: dict[str, list[tuple[int, int]]] = {}
         self.plans = []
         for i, (notice, label) in enumerate(notices.items()):
             k = edits_allowed(notice, per_chars)
             self.plans.append((notice, label, k))
             for at, piece in pieces(notice, k):
-                self.seeds.setdefault(piece.encode(), []).append((i, at))
-        self.needles = [(f" {p} ".encode(), label) for p, label in phrases.items()]
+                self.seeds.setdefault(piece, []).append((i, at))
+        self.needles = [(f" {p} ", label) for p, label in phrases.items()]
 
     def __reduce__(self):
         return type(self), (self.notices, self.phrases, self.per_chars)
@@ -78,46 +95,72 @@ class Scanner:
         notice, _, k = self.plans[i]
         return regex.compile(rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")
 
-    def words(self, text: str) -> bytes:
+    def words(self, text: str) -> str:
         """The words, each between single spaces."""
-        return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(TABLE).split()) + b" "
+        return f" {b' '.join(text.encode('utf-8', 'surrogatepass').translate(TABLE).split()).decode('utf-8', 'surrogatepass')} "
 
-    def base(self, padded: bytes) -> list[tuple[int, str]]:
+    def base(self, padded: str) -> list[tuple[int, str]]:
         """(first word, label) of every place of a phrase."""
-        found = []
-        for needle, label in self.needles:
-            at = padded.find(needle)
-            while at >= 0:
-                found.append((padded.count(b" ", 0, at), label))
-                at = padded.find(needle, at + 1)
-        return sorted(found)
-
-    def fuzzy(self, padded: bytes) -> list[tuple[int, int, str, int, str]]:
-        """(start, end, label, edits, notice) of verified notices, as character places in the joined words."""
+        found, words, last = [], 0, 0
+        for at, label in sorted((at, label) for needle, label in self.needles for at in places(needle, padded)):
+            words += padded.count(" ", last, at)  # from the place before, so the text is counted through once
+            last = at
+            found.append((words, label))
+        return found
+
+    def candidates(self, padded: str) -> dict[int, list[int]]:
+        """notice -> sorted places where it may start, give or take its edits."""
         near: dict[int, set[int]] = {}
         for seed, uses in self.seeds.items():
-            at = padded.find(seed)
-            while at >= 0:
+            for at in places(seed, padded):
                 for i, offset in uses:
                     near.setdefault(i, set()).add(at - offset)
-                at = padded.find(seed, at + 1)
-        found = []
-        for i, starts in near.items():
-            notice, label, k = self.plans[i]
-            spans: list[list[int]] = []  # windows that hold every match around the candidates, merged
-            for at in sorted(starts):
-                a, b = max(0, at - 2 * k), at + len(notice) + 2 * k
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-            for a, b in spans:
-                window = padded[a:b].decode("utf-8", "replace")
-                for m in self.pattern(i).finditer(window):
-                    start = a + len(window[: m.start()].encode())
-                    found.append((start, start + len(m.group().encode()), label, sum(m.fuzzy_counts), notice))
-        # where notices overlap, those with the fewest edits explain the place
-        return sorted(f for f in found if not any(g[3] < f[3] and g[0] < f[1] and f[0] < g[1] for g in found))
+        return {i: sorted(own) for i, own in near.items()}
+
+    def verified(self, padded: str, i: int, starts: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the best match around each group of candidate starts that lie within 2k of its first."""
+        notice, _, k = self.plans[i]
+        found, n = set(), 0
+        while n < len(starts):
+            first = last = starts[n]
+            while n < len(starts) and starts[n] <= first + 2 * k:
+                last = starts[n]
+                n += 1
+            exact = padded.find(notice, max(first, 0), last + len(notice))
+            if exact >= 0:
+                found.add((exact, exact + len(notice), 0))
+                continue
+            # a match begins within k of its candidate and ends within k of where the notice would end
+            m = self.pattern(i).search(padded, max(0, first - k), last + len(notice) + k)
+            if m:
+                found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+        return sorted(found)
+
+    def fuzzy(self, padded: str) -> list[tuple[int, int, str, int, str]]:
+        """(start, end, label, edits, notice) of verified notices."""
+        found = [(a, b, self.plans[i][1], edits, self.plans[i][0]) for i, starts in self.candidates(padded).items() for a, b, edits in self.verified(padded, i, starts)]
+        return unexplained(found)
+
+
+def unexplained(found: list[tuple[int, int, str, int, str]]) -> list[tuple[int, int, str, int, str]]:
+    """The spans that overlap no span of fewer edits, in order of place. One sweep for each number of edits."""
+    out: list[tuple[int, int, str, int, str]] = []
+    starts: list[int] = []  # spans of fewer edits, merged
+    ends: list[int] = []
+    for edits in sorted({f[3] for f in found}):
+        level = sorted(f for f in found if f[3] == edits)
+        for f in level:
+            at = bisect_left(starts, f[1]) - 1  # the last merged span that begins before this one ends
+            if at < 0 or ends[at] <= f[0]:
+                out.append(f)
+        merged: list[list[int]] = []
+        for a, b in sorted([*zip(starts, ends, strict=True), *((f[0], f[1]) for f in level)]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        starts, ends = [m[0] for m in merged], [m[1] for m in merged]
+    return sorted(out)
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,edits:int>>"
@@ -129,7 +172,7 @@ def scan_text(scanner: Scanner, text: str) -> dict:
     base, fuzzy = scanner.base(padded), scanner.fuzzy(padded)
     own, closeness = {label for _, label in base}, [1 - edits / len(notice) for *_, edits, notice in fuzzy]
     return {
-        "n_words": len(padded.split()), "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
+        "n_words": padded.count(" ") - 1 if padded.strip(" ") else 0, "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
         "base_labels": ",".join(sorted(own)), "labels": ",".join(sorted(own | {f[2] for f in fuzzy})), "score": max([1.0 * bool(base), *closeness]),
         "spans": [{"start": a, "end": b, "label": label, "edits": edits} for a, b, label, edits, _ in fuzzy],
     }
