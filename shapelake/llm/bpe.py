@@ -6,10 +6,14 @@ points at the word's ids. The automaton is a few flat arrays in one file image,
 words walk it together, one byte a step. Words it does not hold are merged exactly, pair by pair.
 
 A text is split at blanks first: no word of the vocabulary's pattern spans one. Special tokens' strings in a text are
-those tokens, as in the tokenizers library.
-
-Defined cases: a null or empty text has no ids and decodes to the empty string; repeated rows get equal results; an
-empty table gives an empty result; other columns are ignored.
+those tokens, as in the tokenizers library. What is a letter, how letters compose and what their lower case is differ
+between Unicode versions; so a text with any character outside ``PLAIN``, on which all agree, is normalised and split
+into words by the tokenizers library's own classes, and only then looked up and merged here. Texts are decoded from
+their ids.
+
+Defined cases: a null or empty text has no ids and decodes to the empty string; very long texts and words are encoded
+whole; equal words have equal ids; repeated rows get equal results; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,10 @@ BLANKS = regex.compile(f"[{BLANK}]+")
 #: str.split() also splits at these, which the pattern does not.
 EXTRA = regex.compile("[\x1c-\x1f]")
 
-#: The vocabulary's own pattern. Letters that a later Unicode version adds may class differently in the two libraries.
+#: Latin, Greek, Cyrillic, punctuation, kana, Chinese and Korean as assigned long ago.
+PLAIN = regex.compile("[\x00-\u02af\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+
+#: The vocabulary's own pattern.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
 
 
@@ -62,6 +69,9 @@ class Vocabulary:
         self.joined = [self.ids[a + b] for a, b in merges]
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.rules = json.dumps({**whole, "added_tokens": [], "model": {**whole["model"], "vocab": {}, "merges": []}})
+        self._library = None
+        self.byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.tokens.update({i: t for t, i in self.special.items()})
         self.numbers = {i: str(i) for i in self.tokens}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -75,6 +85,15 @@ class Vocabulary:
                 at = (at + 1) & ((1 << 18) - 1)
             self.table_keys[at], self.table_ranks[at] = a << 16 | b, i
 
+    def library_words(self, text: str) -> list[str]:
+        """The words of a text by the tokenizers library's normaliser and pattern. Bytes that are no text stay surrogates."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.rules)
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "surrogatepass") for w, _ in found]
+
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest-ranked adjacent pair, leftmost first, is joined until none is left."""
         raw = word.encode("utf-8", "surrogatepass")
@@ -184,6 +203,17 @@ class Vocabulary:
         return [p for p, live in zip(own, alive, strict=True) if live]
 
 
+def plain(text: str) -> bool:
+    """Whether every character is one on which all Unicode versions agree."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
+    return True
+
+
 def normalise(text: str) -> str:
     """Canonical composition, then lower case letter by letter (so a capital sigma never turns into a final one)."""
     if text.isascii():
@@ -293,57 +323,63 @@ class Coder:
     def __init__(self, source: bytes, image: bytes | None = None, most: int = 200_000):
         self.vocabulary, self.automaton, self.most = Vocabulary(source), Automaton(image) if image else None, most
         self.ids_of: dict[str, str] = {}  # chunk -> its ids, joined by blanks
-        self.tokens_of: dict[str, str] = {}  # chunk -> its tokens, joined by blanks
-        self.older: tuple[dict, dict] = {}, {}  # those of the last generation, taken over again when met
+        self.older: dict[str, str] = {}  # those of the last generation, taken over again when met
+        self.token_of = {number: self.vocabulary.tokens[i] for i, number in self.vocabulary.numbers.items()}
         self.merged = self.found = 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        """One walk for all words of the chunks; the rest by merging."""
-        split = [WORDS.findall(c) for c in fresh]
-        words = list(dict.fromkeys(w for own in split for w in own))
+    def _ids(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of some distinct words: one walk for all of them, merging for those that are not held."""
         ranks = self.automaton.ranks([w.encode("utf-8", "surrogatepass") for w in words]) if self.automaton else np.full(len(words), -1)
         ids = {w: self.automaton.word_ids(r) for w, r in zip(words, ranks.tolist(), strict=True) if r >= 0}
         unseen = [w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0]
         ids.update(zip(unseen, self.vocabulary.merge_all(unseen), strict=True))
-        self.found += int((ranks >= 0).sum())
-        self.merged += int((ranks < 0).sum())
-        number, token = self.vocabulary.numbers.__getitem__, self.vocabulary.tokens.__getitem__
+        self.found, self.merged = self.found + int((ranks >= 0).sum()), self.merged + int((ranks < 0).sum())
+        return ids
+
+    def _learn(self, fresh: list[str]) -> None:
+        split = [WORDS.findall(c) for c in fresh]
+        ids, number = self._ids(list(dict.fromkeys(w for own in split for w in own))), self.vocabulary.numbers.__getitem__
         for chunk, own in zip(fresh, split, strict=True):
-            every = ids[own[0]] if len(own) == 1 else [i for w in own for i in ids[w]]
-            self.ids_of[chunk], self.tokens_of[chunk] = " ".join(map(number, every)), " ".join(map(token, every))
+            self.ids_of[chunk] = " ".join(map(number, ids[own[0]] if len(own) == 1 else [i for w in own for i in ids[w]]))
 
     def _prepare(self, every: set[str]) -> None:
         """Sees to it that all these chunks are known. What was met lately outlives a change of generation."""
         if len(self.ids_of) + len(every) > self.most:
-            self.older, self.ids_of, self.tokens_of = (self.ids_of, self.tokens_of), {}, {}
+            self.older, self.ids_of = self.ids_of, {}
         fresh = every - self.ids_of.keys()
-        for c in (met := fresh & self.older[0].keys()):
-            self.ids_of[c], self.tokens_of[c] = self.older[0][c], self.older[1][c]
+        for c in (met := fresh & self.older.keys()):
+            self.ids_of[c] = self.older[c]
         gc.disable()  # nothing here is cyclic, and full collections would walk every word each time
         try:
             self._learn(list(fresh - met))
         finally:
             gc.enable()
 
-    def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids, tokens) of each text, both joined by single blanks."""
-        vocabulary, cut = self.vocabulary, self.vocabulary.special_cut
-        split = [chunks(normalise(t)) if "<|" not in t else None for t in texts]
-        odd = {i: cut.split(texts[i]) if cut else [texts[i]] for i, own in enumerate(split) if own is None}
-        parts = {i: [[p] if k % 2 else chunks(normalise(p)) for k, p in enumerate(own)] for i, own in odd.items()}
-        self._prepare(set().union(*(own for own in split if own is not None), *(p for own in parts.values() for p in own[::2])))
-        a, b = self.ids_of.__getitem__, self.tokens_of.__getitem__
-        out = []
-        for i, own in enumerate(split):
-            if own is not None:
-                out.append((" ".join(map(a, own)), " ".join(map(b, own))))
-            else:  # special tokens stand at odd places
-                got = [(str(vocabulary.special[c]), c) if k % 2 else (a(c), b(c)) for k, p in enumerate(parts[i]) for c in p]
-                out.append((" ".join([x for x, _ in got]), " ".join([y for _, y in got])))
-        return out
+    def _unusual(self, text: str) -> str:
+        """The ids of a text that holds special tokens or characters outside PLAIN."""
+        cut, out = self.vocabulary.special_cut, []
+        for k, part in enumerate(cut.split(text) if cut else [text]):
+            if k % 2:  # special tokens stand at odd places
+                out.append(str(self.vocabulary.special[part]))
+            elif part:
+                words = [w for c in chunks(normalise(part)) for w in WORDS.findall(c)] if plain(part) else self.vocabulary.library_words(part)
+                ids = self._ids(list(dict.fromkeys(words)))
+                out += [self.vocabulary.numbers[i] for w in words for i in ids[w]]
+        return " ".join(out)
+
+    def encode_all(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by single blanks."""
+        split = [chunks(normalise(t)) if "<|" not in t and plain(t) else None for t in texts]
+        self._prepare(set().union(*(own for own in split if own is not None)))
+        known = self.ids_of.__getitem__
+        return [" ".join(map(known, own)) if own is not None else self._unusual(t) for t, own in zip(texts, split, strict=True)]
+
+    def decoded(self, ids: str) -> str:
+        """The text of ids joined by blanks: tokens joined by blanks, as the vocabulary file names no decoder."""
+        return " ".join(map(self.token_of.__getitem__, ids.split()))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_all([text])[0][0].split()]
+        return [int(i) for i in self.encode_all([text])[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks: the vocabulary file names no decoder. Unknown ids are skipped."""
@@ -416,8 +452,8 @@ def digests(docs: DataFrame, vocabulary_path: str, most: int = 131_072, id_col:
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder, texts, out = _coder(*shared.value), texts_of(batch), []
         for at in range(0, len(texts), 512):
-            for ids, tokens in coder.encode_all(texts[at : at + 512]):
-                out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()))
+            for ids in coder.encode_all(texts[at : at + 512]):
+                out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decoded(ids).encode()).hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string()], strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -433,7 +469,7 @@ def encode_docs(docs: DataFrame, vocabulary_path: str, most: int = 131_072, id_c
         out = []
         for at in range(0, len(texts), 512):
             got = coder.encode_all(texts[at : at + 512])
-            out.append(pa.RecordBatch.from_arrays([ids.slice(at, len(got)), pa.array([[int(i) for i in a.split()] for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.string())], names=["doc_id", "ids", "decoded"]))
+            out.append(pa.RecordBatch.from_arrays([ids.slice(at, len(got)), pa.array([[int(i) for i in a.split()] for a in got], pa.list_(pa.int32())), pa.array(map(coder.decoded, got), pa.string())], names=["doc_id", "ids", "decoded"]))
         return out
 
     return map_batches(text_rows(docs, id_col, text_col), rows, ENCODED)
