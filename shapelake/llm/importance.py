@@ -2,15 +2,15 @@
 
 Two hashed n-gram models (one word and two words) are counted: the raw one over all documents, the target one over
 all rows labelled good that are not held out. Their buckets are a power of two, at least ``2^BITS`` and at least one
-for every ``PER_BUCKET`` n-grams of the raw model, so that they grow with the corpus. A document's log weight is the mean over its n-grams of
-log p_target - log p_raw, times the square root of their number (so that evidence adds up, but length does not rule).
-Adding Gumbel noise that a hash of the row gives, the k greatest keys are a sample without replacement in proportion
-to the weights. k is a share of all rows; its threshold is found exactly by histograms of the keys, never by
-gathering rows.
-
-Defined cases: null and empty texts have log weight 0; repeated rows get equal keys, and ties at the threshold go to
-the smaller hash of the row, whole groups of equal rows sharing one fate (so the sample can be a little short); an
-empty table gives an empty result; without rows labelled good every log weight is 0; other columns are ignored.
+for every ``PER_BUCKET`` n-grams of the raw model, so that they grow with the corpus. A document's log weight is the
+log of the ratio of its two likelihoods, the sum over its n-grams of log p_target - log p_raw. Adding Gumbel noise
+that a hash of the row gives, the k greatest keys are a sample without replacement in proportion to the weights.
+k is a share of all rows; its threshold is found exactly by histograms of the keys, never by gathering rows.
+
+Defined cases: null and empty texts have log weight 0; very long texts are counted whole, and their weights, sums of
+many terms, are great either way; repeated rows get equal keys; all rows tied with the k-th key are selected, so
+the sample can be longer than k by the ties; documents with contradicting labels are not in the target; an empty table
+gives an empty result; without rows labelled good every log weight is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def n_grams(texts: DataFrame) -> int:
 
 
 def good_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows labelled good, none of them held out. A bitmap keeps the other texts out of the shuffle."""
+    """All rows labelled good and never otherwise, none of them held out. A bitmap keeps the other texts out of the shuffle."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     good = y.groupBy("doc_id").agg(F.min("y").alias("y")).where("y = 1").select("doc_id")
     near = text_rows(docs, id_col, text_col).where(maybe_in(docs.sparkSession, F.col("doc_id"), bitmap_of(good, "doc_id")))
@@ -100,8 +100,7 @@ def log_weights(texts: list[str], ratio: np.ndarray) -> np.ndarray:
     out, bits = np.zeros(len(texts)), len(ratio).bit_length() - 1
     for i, text in enumerate(texts):
         own = ratio[buckets(text, bits)]
-        if len(own):
-            out[i] = own.sum(dtype=np.float64) / np.sqrt(len(own))
+        out[i] = own.sum(dtype=np.float64)
     return out
 
 
@@ -134,7 +133,7 @@ def top_threshold(keys: DataFrame, k: int, fan: int = 4096) -> int | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_grams, log_weight, key and selected."""
+    """One row per document: doc_id, log_weight, key and selected."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "importance")
     own = text_rows(docs, id_col, text_col)
     bits = bits_for(n_grams(own))
