@@ -7,11 +7,16 @@ visible text, trained on ``documents``), the language its markup declares, the s
 * the first posteriors are summed by declared language and by suffix, which gives P(declared | language) and
   P(suffix | language): a declaration that the texts contradict loses its weight by itself;
 * they are summed by host, by registered domain and over all pages; the host's prior is shrunk towards the domain's,
-  and that towards the overall one. All sums are grouped aggregations with partial sums, so a host with a third of
-  all pages is no burden; a page's own share is taken out of its host's and domain's sums.
+  and that towards the overall one. All sums are grouped aggregations with partial sums, and go back to the pages with
+  hot keys apart (``join_counted``), so a host with a third of all pages is no burden; a page's own share is taken out
+  of its host's and domain's sums.
+
+The registered domain is the label before the public suffix, and the suffix. A suffix is the last label, or the last
+two where a country's last label follows one of ``SECOND_LEVEL``; a numeric address is its own domain.
 
 Defined cases: null or empty markup has no text evidence; a null address has no suffix and an empty host; pages with
-nothing at all get the overall prior; repeated rows get equal results; an empty table gives an empty result.
+nothing at all get the overall prior; very long pages are read whole; of equally likely languages the first by name
+counts; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelake.llm.common import Scratch, frugal, map_batches, mix, word_hashes
+from shapelake.llm.common import Scratch, frugal, join_counted, map_batches, mix, word_hashes
 
 BITS = 15
 TEMPER = 0.15
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 10.0
 SMOOTH = 0.5
-DROPPED = re.compile(r"<!--.*?-->|<(script|style|nav|footer|noscript|template)\b.*?</\1\s*>|<div class=\"ad\">.*?</div>", re.S | re.I)
+DROPPED = re.compile(r"<!--.*?-->|<(script|style|nav|footer|noscript|template)\b.*?</\1\s*>|<(div|aside|section)\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\b(?:ads?|advert(?:isement)?|sponsored|banner)\b[^>]*>.*?</\2\s*>", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+#: Labels under which countries register names.
+SECOND_LEVEL = frozenset("ac co com edu go gob gouv gov ltd mil ne net nom or org sch".split())
+NUMERIC = re.compile(r"^\d+(?:\.\d+){3}$")
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
@@ -42,12 +50,19 @@ def visible(page: str) -> str:
     return markup.unescape(TAG.sub(" ", DROPPED.sub(" ", page)))
 
 
+def registered_domain(host: str) -> str:
+    labels = host.split(".")
+    if len(labels) < 3 or NUMERIC.match(host):
+        return host
+    return ".".join(labels[-3 if len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL else -2 :])
+
+
 def evidence(url: str | None, page: str | None) -> tuple[str, str, str, str]:
     """(declared language, host, registered domain, address suffix); empty strings where there is none."""
     found = DECLARED.search((page or "")[:4096]) or DECLARED.search(page or "")
     host = m[1].lower().strip(".") if (m := HOST.match(url or "")) else ""
-    labels = host.split(".")
-    return found[1].lower()[:2] if found else "", host, ".".join(labels[-3:]) if len(labels) > 2 else host, labels[-1] if len(labels) > 1 else ""
+    suffix = host.rpartition(".")[2] if "." in host and not NUMERIC.match(host) else ""
+    return found[1].lower() if found else "", host, registered_domain(host), suffix
 
 
 def features(text: str) -> np.ndarray:
@@ -109,39 +124,37 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
 
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = scratch.save(map_batches(plain, read, "page_id long, declared string, host string, domain string, suffix string, loglik array<double>, post array<double>"), "read")
-    sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(k)]
-
-    def table(column: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """log P(value | language): declared languages and suffixes have few values; beyond 4096 the rarest share one."""
-        got = rows.groupBy(column).agg(*sums, F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(4096).collect()
-        counts = np.array([[r[f"s{i}"] for i in range(k)] for r in got]).reshape(-1, k) + SMOOTH
-        total = counts.sum(axis=0) + SMOOTH
-        return {r[column]: np.log(c / total) for r, c in zip(got, counts, strict=True)}, np.log(SMOOTH / total)
-
-    declared, suffix = table("declared"), table("suffix")
-    overall = np.array(rows.agg(*sums).first() or [None] * k, dtype=object)
-    overall = np.array([float(x or 0) for x in overall]) + 1.0
-    overall /= overall.sum()
-
-    def summed(column: str, prefix: str) -> DataFrame:
-        own = rows.groupBy(column).agg(*[F.sum(F.col("post")[i]).alias(f"{prefix}{i}") for i in range(k)])
-        return own.select(column, F.array(*[F.col(f"{prefix}{i}") for i in range(k)]).alias(prefix))
+    total = rows.count()
+    sums = F.array(*[F.sum(F.col("post")[i]) for i in range(k)])
+    overall = np.array(rows.agg(sums.alias("s")).first()["s"] if total else [0.0] * k, dtype=float) + 1.0
+    seen = {}
+    joined = rows
+    for column in ("declared", "suffix", "host", "domain"):
+        keyed = scratch.save(rows.groupBy(column).agg(sums.alias(f"by_{column}"), F.count("*").alias("n")), f"sums_{column}")
+        seen[column] = keyed.count()
+        joined = scratch.save(join_counted(joined, keyed, column, total), f"with_{column}")
+        scratch.drop(*[f"with_{c}" for c in seen if c != column])
+    everywhere, overall = overall - 1.0, overall / overall.sum()
+
+    def likelihood(by: np.ndarray, n: int) -> np.ndarray:
+        """log P(value | language) from a value's own sums and those over all values."""
+        return np.log(by + SMOOTH) - np.log(everywhere + SMOOTH * (n + 1))
 
     def fuse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        post, by_host, by_domain, loglik = (np.array(batch.column(c).to_pylist(), dtype=float).reshape(-1, k) for c in ("post", "by_host", "by_domain", "loglik"))
+        post, loglik, by_host, by_domain, by_declared, by_suffix = (np.array(batch.column(c).to_pylist(), dtype=float).reshape(-1, k) for c in ("post", "loglik", "by_host", "by_domain", "by_declared", "by_suffix"))
         others = np.maximum(by_domain - post, 0)
         domain = (others + DOMAIN_WEIGHT * overall) / (others.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
         others = np.maximum(by_host - post, 0)
         prior = (others + HOST_WEIGHT * domain) / (others.sum(axis=1, keepdims=True) + HOST_WEIGHT)
-        total = loglik + np.log(prior)
-        for name, (known, rest) in (("declared", declared), ("suffix", suffix)):
-            total += np.array([known.get(v, rest) if v else np.zeros(k) for v in batch.column(name).to_pylist()]).reshape(-1, k)
-        final = _softmax(total)
+        score = loglik + np.log(prior)
+        for name, by in (("declared", by_declared), ("suffix", by_suffix)):
+            given = np.array([bool(v) for v in batch.column(name).to_pylist()], dtype=bool)
+            score += np.where(given[:, None], likelihood(by, seen[name]), 0.0)
+        final = _softmax(score)
         best = final.argmax(axis=1)
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), pa.array([languages[i] for i in best], pa.string()), pa.array(np.round(final[np.arange(len(best)), best], 6)), batch.column("declared"), batch.column("suffix"), batch.column("host"), pa.array([languages[i] for i in loglik.argmax(axis=1)], pa.string())],
             names=["page_id", "lang", "confidence", "declared", "suffix", "host", "text_lang"],
         )
 
-    joined = rows.join(summed("host", "by_host"), "host").join(summed("domain", "by_domain"), "domain")
     return map_batches(joined, fuse, "page_id long, lang string, confidence double, declared string, suffix string, host string, text_lang string")
