@@ -5,12 +5,15 @@
 2. Each block of pieces is packed by best-fit decreasing. Dual-feasible functions give a lower bound on the block's
    bins; a block that meets it is certified and done.
 3. Blocks with a gap give their least filled bins to an exchange, are regrouped, and the documents are packed again;
-   a group takes the new packing only if it needs fewer bins. This repeats for a fixed number of rounds.
+   a group takes the new packing only if it needs fewer bins. Rounds go on while they save bins, ``rounds`` at most.
+4. What remains open is reported: each block's bound, and the bound on all bins from the whole histogram of lengths,
+   stand beside the number of sequences (``certificate``).
 
 Every piece of the search is bounded: blocks hold at most ``BLOCK`` pieces, whatever the size of the corpus.
 
-Defined cases: a null or empty text is the end mark alone; repeated rows are packed once each; an empty table gives
-an empty result; other columns are ignored.
+Defined cases: a null or empty text is the end mark alone; very long texts are tokenised whole and cut; equal pieces
+are packed in the order of doc_id, piece and ids; repeated rows are packed once each; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -212,28 +215,33 @@ def exchange(released: DataFrame, number: int, groups: int, share: float, capaci
     return dealt.groupBy("group").applyInArrow(run, STAGE)
 
 
-def pack(docs: DataFrame, ranks_path: str, rounds: int = 3, share: float = 0.4, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece with its sequence and its place there."""
+def pack(docs: DataFrame, ranks_path: str, rounds: int = 8, share: float = 0.4, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece with its sequence and its place there, and the bound on the bins of its block."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.save(tokenise(docs, ranks_path, capacity, id_col, text_col), "pieces")
     whole = pieces.where(F.col("length") == capacity)  # these are sequences by themselves
-    alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bound"))
     done = [scratch.save(alone, "whole")]
     now = scratch.save(first_round(pieces.where(F.col("length") < capacity), share, capacity), "round0")
+
+    def size(rows: DataFrame) -> tuple[int, int]:
+        return rows.agg(F.count("*"), F.countDistinct("sequence_id")).first()
+
     for number in range(1, rounds + 1):
-        done.append(now.where(~F.col("released")))
         released = now.where("released")
-        n = released.count()
+        n, before = size(released)
         if n == 0:
             break
+        done.append(now.where(~F.col("released")))
         now = scratch.save(exchange(released, number, max(1, -(-n // (BLOCK // 2))), share, capacity), f"round{number}")
-    else:
-        done.append(now)
+        if size(now)[1] == before:  # nothing was saved
+            break
+    done.append(now)
     names = [c.split()[0] for c in PACKED.split(", ")]
-    out = done[0].select(names)
+    out = done[0].select(*names, F.col("bound").alias("block_bound"))
     for part in done[1:]:
-        out = out.unionByName(part.select(names))
+        out = out.unionByName(part.select(*names, F.col("bound").alias("block_bound")))
     return out
 
 
@@ -244,3 +252,8 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         count[row["length"]] = row["count"]
     bound = lower_bound(count, capacity)
     return packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.lit(bound).cast("long").alias("bound"))
+
+
+def certified(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The packing with its certificate beside every piece: the gap is ``sequences - bound``."""
+    return packed.crossJoin(F.broadcast(certificate(packed, capacity)))
