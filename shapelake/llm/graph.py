@@ -184,8 +184,8 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
     buckets must have two members at least.
     """
     score = pair_scores(sets)
-    counts = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = scratch.save(members.join(counts, "key"), "sized")
+    counts = scratch.save(members.groupBy("key").agg(F.count("*").alias("n")).withColumn("size", F.col("n")), "counts")
+    sized = scratch.save(join_counted(members, counts, "key", members.count()).withColumnRenamed("size", "n"), "sized")
     small, large = sized.where(F.col("n") <= SMALL).select("key", "node"), sized.where(F.col("n") > SMALL).select("key", "node")
     # one member of each key, by a hash, so that a node's buckets differ in their hubs
     hubs = large.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"))
@@ -217,7 +217,7 @@ def link_components(scratch: Scratch, members: DataFrame, sets: DataFrame, thres
 
     def done() -> tuple[DataFrame, DataFrame]:
         labels = scratch.save(known["labels"], "labels")
-        scratch.drop("sized", "open_2", "centers", "apart", "least", "open_3", "last_ranked")
+        scratch.drop("counts", "sized", "open_2", "centers", "apart", "least", "open_3", "last_ranked")
         return labels, known["scored"]
 
     rows = undecided(large, "open_2")

@@ -36,7 +36,7 @@ BANDS, ROWS = 14, 4
 RARE = 1e-3
 DAMPING = 0.1
 POOL_BITS = 16
-CHUNK = 1 << 21
+CHUNK, BUFFER = 8, 1 << 21
 
 
 # ---------------------------------------------------------------- weights
@@ -60,29 +60,44 @@ def candidates(texts: DataFrame, documents: int, rare: float = RARE) -> np.ndarr
 
     A chunk of texts reports what at least half that share of its documents hold. A frequent shingle goes unreported
     in fewer than half as many documents as it needs, so its reports add up to the other half. That bounds the rest:
-    at most a document's mean number of shingles, times 2 / ``rare``, can have so many.
+    at most a document's mean number of shingles, times 2 / ``rare``, can have so many. Chunks have ``CHUNK / rare``
+    documents or more, so that a share of them is several; small partitions are read together for that.
     """
+    least = int(np.ceil(CHUNK / rare))
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
 
     @frugal
     def run(batches):
-        held, size, n = [], 0, 0
+        held, parts, size, n, ready = [], [], 0, 0, None
 
-        def out():
-            keys, count = np.unique(np.concatenate(held), return_counts=True)
-            enough = 2 * count >= rare * n
+        def out(keys, count, documents):
+            enough = 2 * count >= rare * documents
             return pa.RecordBatch.from_arrays([as_long(keys[enough]), pa.array(count[enough])], names=["key", "n"])
 
+        def settle():
+            return np.unique(np.concatenate(held), return_counts=True)
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.append(counted(text or "")[0])
                 size, n = size + len(held[-1]), n + 1
-                if size > CHUNK:
-                    yield out()
-                    held, size, n = [], 0, 0
-        if n:
-            yield out()
-
-    reported = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                if size > BUFFER or n == least:
+                    parts.append(settle())
+                    held, size = [], 0
+                if n == least:  # the chunk waits, so that a short rest can join it
+                    if ready is not None:
+                        yield out(*ready, least)
+                    ready, parts, n = merged(parts), [], 0
+        if held:
+            parts.append(settle())
+        if ready is not None or parts:
+            yield out(*merged(([ready] if ready is not None else []) + parts), n + least * (ready is not None))
+
+    large = texts.select("text").coalesce(max(1, documents // least))
+    reported = large.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = reported.where(2 * F.col("n") >= rare * documents).select("key").toArrow().column("key")
     return np.sort(found.to_numpy().view(np.uint64))
 
