@@ -1,9 +1,10 @@
 """Quality by importance resampling: how much likelier a text is under a target model than under the raw one.
 
 Two hashed n-gram models (one word and two words) are counted: the raw one over all documents, the target one over
-all rows labelled good that are not held out. Their buckets are a power of two, at least ``2^BITS`` and at least one
-for every ``PER_BUCKET`` n-grams of the raw model, so that they grow with the corpus. A document's log weight is the
-log of the ratio of its two likelihoods, the sum over its n-grams of log p_target - log p_raw. Adding Gumbel noise
+all rows labelled good that are not held out. Their buckets are a power of two that grows with the square root of the
+corpus, as the number of distinct words does by Heaps' law: ``2^BITS`` up to ``BASE_BYTES`` of text, and twice as many
+for every four times as much. So a task's counts, and what it sends, stay bounded by the buckets, and the whole table
+of ratios fits an executor (256 MB at 100 TB). A document's log weight is the log of the ratio of its two likelihoods, the sum over its n-grams of log p_target - log p_raw. Adding Gumbel noise
 that a hash of the row gives, the k greatest keys are a sample without replacement in proportion to the weights.
 k is a share of all rows; its threshold is found exactly by histograms of the keys, never by gathering rows.
 
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 
 from shapelake.llm.common import Scratch, bitmap_of, frugal, held_out, maybe_in, ngrams, text_rows, texts_of, word_hashes
 
-BITS, PER_BUCKET = 16, 512
-CHUNK = 1 << 22
+BITS, BASE_BYTES = 16, 1 << 27
+CHUNK = 1 << 20
+FILL, GRAM_BYTES = 32, 3  # a word of six bytes makes two n-grams
 SHARE = 0.8
 
 
-def bits_for(n_grams: int) -> int:
-    """log2 of the number of buckets for so many n-grams."""
-    return max(BITS, (-(-n_grams // PER_BUCKET) - 1).bit_length())
+def bits_for(text_bytes: int) -> int:
+    """log2 of the number of buckets for so much text."""
+    times = max(1, -(-text_bytes // BASE_BYTES))
+    return BITS + ((times - 1).bit_length() + 1) // 2
 
 
 def buckets(text: str, bits: int = BITS) -> np.ndarray:
@@ -38,42 +41,45 @@ def buckets(text: str, bits: int = BITS) -> np.ndarray:
     return (np.concatenate([ngrams(h, 1), ngrams(h, 2) if len(h) > 1 else h[:0]]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def n_grams(texts: DataFrame) -> int:
-    """How many words and pairs of neighbouring words all texts have."""
-    words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
-    return texts.agg(F.sum(F.greatest(2 * words.cast("long") - 1, F.lit(0)))).first()[0] or 0
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
 def good_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows labelled good and never otherwise, none of them held out. A bitmap keeps the other texts out of the shuffle."""
+    """All rows labelled good and never otherwise, none of them held out. A bitmap keeps the other texts out of the shuffle.
+
+    The labels grow with the corpus, so they are never broadcast: the join is the same one at every size.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     good = y.groupBy("doc_id").agg(F.min("y").alias("y")).where("y = 1").select("doc_id")
     near = text_rows(docs, id_col, text_col).where(maybe_in(docs.sparkSession, F.col("doc_id"), bitmap_of(good, "doc_id")))
-    return near.join(good, "doc_id")
+    return near.join(good.hint("merge"), "doc_id")
+
 
+def counts(texts: DataFrame, bits: int, total_bytes: int) -> DataFrame:
+    """(bucket, n): n-grams per bucket over all texts.
 
-def counts(texts: DataFrame, bits: int) -> DataFrame:
-    """(bucket, n): n-grams per bucket over all texts. Tasks add up a few million at a time, whatever the buckets."""
+    A task adds up all its texts before it sends anything, and has ``FILL`` n-grams or more for each bucket (small
+    partitions are read together for that), so what is sent stays in proportion to the corpus as the buckets grow.
+    """
 
     @frugal
     def run(batches):
-        held, size = [], 0
-
-        def out():
-            used, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(used), pa.array(n.astype(np.int64))], names=["bucket", "n"])
-
+        total, held, size = np.zeros(1 << bits, dtype=np.int64), [], 0
         for batch in batches:
             for text in texts_of(batch):
                 held.append(buckets(text, bits))
                 size += len(held[-1])
                 if size > CHUNK:
-                    yield out()
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, size = [], 0
         if held:
-            yield out()
+            total += np.bincount(np.concatenate(held), minlength=1 << bits)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    return texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = texts.select("text").coalesce(max(1, total_bytes // (FILL * GRAM_BYTES << bits)))
+    return large.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratio(target: DataFrame, raw: DataFrame, bits: int, scratch: Scratch) -> np.ndarray:
@@ -136,8 +142,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: s
     """One row per document: doc_id, log_weight, key and selected."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "importance")
     own = text_rows(docs, id_col, text_col)
-    bits = bits_for(n_grams(own))
-    ratio = spark.sparkContext.broadcast(log_ratio(counts(good_texts(docs, labels, id_col, text_col), bits), counts(own, bits), bits, scratch))
+    size = text_bytes(own)
+    bits = bits_for(size)
+    ratio = spark.sparkContext.broadcast(log_ratio(counts(good_texts(docs, labels, id_col, text_col), bits, size), counts(own, bits, size), bits, scratch))
 
     @frugal
     def run(batches):

@@ -38,11 +38,12 @@ def test_target_model_counts_every_good_row(spark):
 
 
 def test_buckets_grow_with_the_corpus(spark):
-    assert [importance.bits_for(n) for n in (0, 1, 512 << 16, (512 << 16) + 1, 512 << 24)] == [16, 16, 16, 17, 24]
-    texts = spark.createDataFrame([("a b  a\n",), ("x",), ("",), (None,)], "text string")
-    assert importance.n_grams(texts) == 6
+    base = importance.BASE_BYTES
+    assert [importance.bits_for(n) for n in (0, 1, base, base + 1, 4 * base, 4 * base + 1, 16 * base, 10**14)] == [16, 16, 16, 17, 17, 18, 18, 26]
+    texts = spark.createDataFrame([("a b  a\n",), ("x",), ("",), (None,), ("\u00e9",)], "text string")
+    assert importance.text_bytes(texts) == 10
     b = importance.buckets("a b a", 20)
-    assert b.max() >= 1 << 16 and {r["bucket"]: r["n"] for r in importance.counts(texts, 20).collect()}[b[0]] == 2
+    assert b.max() >= 1 << 16 and {r["bucket"]: r["n"] for r in importance.counts(texts, 20, 10).collect()}[b[0]] == 2
 
 
 def test_media_query_goes_through_tiles(spark, tmp_path):
