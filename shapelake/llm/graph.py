@@ -242,5 +242,4 @@ def shared_keys(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """
     counts = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     many = scratch.save(counts.where("low <> high").select("key", "n"), "many")
-    found = scratch.save(join_counted(rows, many, "key", rows.count()).select("node", "key"), "found")
-    return found.distinct()
+    return join_counted(rows, many, "key", rows.count()).select("node", "key").distinct()

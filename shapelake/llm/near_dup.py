@@ -235,7 +235,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     labels, _ = link_components(scratch, members, sets, threshold)
     rows = signed.select("doc_id", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     rows = scratch.save(rows, "labelled")
-    scratch.drop("signed", "banded", "many", "found", "members", "wanted", "sets", "labels")
+    scratch.drop("signed", "banded", "many", "members", "wanted", "sets", "labels")
     idf.unpersist()
     heads = scratch.save(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.count("*").alias("n")), "heads")
     return join_counted(rows, heads, "label", n).select("doc_id", "digest", "label", "class_id", "class_size")

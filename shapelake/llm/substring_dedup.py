@@ -239,7 +239,7 @@ def removals(rows: DataFrame, scratch: Scratch) -> DataFrame:
     distinct = lines.groupBy("key").agg(F.min("occurrence").alias("occurrence"), F.first("keys").alias("keys"))
     banded = scratch.save(distinct.select(F.col("key").alias("node"), F.explode("keys").alias("key")), "banded")
     members = scratch.save(shared_keys(scratch, banded), "members")
-    scratch.drop("banded", "many", "found")
+    scratch.drop("banded", "many")
     wanted = lines.select(F.col("key").alias("node"), "occurrence").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("occurrence").alias("occurrence"))
     sets = scratch.save(line_sets(rows, scratch.save(wanted, "wanted")), "sets")
     labels, _ = link_components(scratch, members, sets, THRESHOLD)
