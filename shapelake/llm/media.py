@@ -6,8 +6,9 @@ the source area under each target pixel through one summed-area table. ``tiles``
 rebuilt from the tiles, the media digests run over their blobs in order (rows first), and the feature is the tiles'
 difference hashes one after another.
 
-Defined cases: a null or empty text is one row of 192 blanks; equal texts give equal values whatever their row; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is one row of 192 blanks; very long texts are tall images, tiled whole; equal texts
+give equal values whatever their row; neighbouring pixels of equal brightness count as no rise; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,10 +81,15 @@ def decode(blob: bytes) -> np.ndarray:
     if kind == b"P1":
         bits = np.frombuffer(bytes(c for c in blob[at - 1 :] if c in b"01"), dtype=np.uint8) - 48
         return (255 * (1 - bits.reshape(shape))).astype(np.uint8)
+    top = numbers[2]
     if kind in (b"P2", b"P3"):
-        return np.array(blob[at:].split(), dtype=np.int64).astype(np.uint8 if numbers[2] < 256 else np.uint16).reshape(shape)
-    kind_of = np.dtype(np.uint8) if numbers[2] < 256 else np.dtype(">u2")
-    return np.frombuffer(blob, dtype=kind_of, count=int(np.prod(shape)), offset=at).reshape(shape)
+        samples = np.array(blob[at:].split(), dtype=np.int64).astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
+    else:
+        samples = np.frombuffer(blob, dtype=np.dtype(np.uint8) if top < 256 else np.dtype(">u2"), count=int(np.prod(shape)), offset=at).reshape(shape)
+    full = 255 if top < 256 else 65535
+    if top in (255, 65535):
+        return samples
+    return ((samples.astype(np.int64) * full + top // 2) // top).astype(np.uint8 if top < 256 else np.uint16)  # to the full range
 
 
 def gray(pixels: np.ndarray) -> np.ndarray:

@@ -186,6 +186,24 @@ def test_images_round_trip(form, shape):
     assert np.array_equal(media.decode(media.encode(pixels, form)), pixels)
 
 
+def test_samples_fill_the_range():
+    assert media.decode(b"P2 3 1 15 0 7 15 ").tolist() == [[0, 119, 255]]
+    assert media.decode(b"P5 2 1 1\n\x00\x01").tolist() == [[0, 255]]
+    assert media.decode(b"P5 2 1 1023\n\x00\x00\x03\xff").tolist() == [[0, 65535]]
+
+
+def test_resizing_and_hashes_by_brute_force():
+    rng = np.random.default_rng(7)
+    for rows, cols, height, width in ((5, 7, 3, 4), (32, 32, 8, 9), (3, 2, 8, 9), (17, 1, 8, 9)):
+        image = rng.integers(0, 256, (rows, cols)).astype(float)
+        fine = np.kron(image, np.ones((height, width)))  # every target pixel now covers whole cells
+        want = fine.reshape(height, rows, width, cols).mean(axis=(1, 3))
+        assert np.allclose(media.area_resize(image, height, width), want)
+        small = np.kron(image, np.ones((8, 9))).reshape(8, rows, 9, cols).mean(axis=(1, 3))
+        bits = "".join(str(int(small[r, c + 1] > small[r, c] + 1e-9)) for r in range(8) for c in range(8))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_other_netpbm_forms():
     assert media.decode(b"P2\n# note\n2 2\n255\n0 1\n2 3\n").tolist() == [[0, 1], [2, 3]]
     assert media.decode(b"P1\n3 1\n1 0 1\n").tolist() == [[0, 255, 0]]
