@@ -36,7 +36,7 @@ BANDS, ROWS = 14, 4
 RARE = 1e-3
 DAMPING = 0.1
 POOL_BITS = 16
-CHUNK, BUFFER = 8, 1 << 21
+CHUNK = 5
 
 
 # ---------------------------------------------------------------- weights
@@ -65,36 +65,37 @@ def candidates(texts: DataFrame, documents: int, rare: float = RARE) -> np.ndarr
     """
     least = int(np.ceil(CHUNK / rare))
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
-
     @frugal
     def run(batches):
-        held, parts, size, n, ready = [], [], 0, 0, None
+        held: list[np.ndarray] = []
+        ready = None  # the last full chunk waits, so that a short rest can join it
+
+        def settle() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            return keys[starts], np.diff(np.append(starts, len(keys))).astype(np.int32)
 
         def out(keys, count, documents):
             enough = 2 * count >= rare * documents
-            return pa.RecordBatch.from_arrays([as_long(keys[enough]), pa.array(count[enough])], names=["key", "n"])
-
-        def settle():
-            return np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([as_long(keys[enough]), pa.array(count[enough], pa.int64())], names=["key", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.append(counted(text or "")[0])
-                size, n = size + len(held[-1]), n + 1
-                if size > BUFFER or n == least:
-                    parts.append(settle())
-                    held, size = [], 0
-                if n == least:  # the chunk waits, so that a short rest can join it
+                if len(held) == least:
                     if ready is not None:
                         yield out(*ready, least)
-                    ready, parts, n = merged(parts), [], 0
-        if held:
-            parts.append(settle())
-        if ready is not None or parts:
-            yield out(*merged(([ready] if ready is not None else []) + parts), n + least * (ready is not None))
+                    ready = settle()
+        n, rest = len(held), settle() if held else None
+        if ready is None and rest is not None:
+            yield out(*rest, n)
+        elif ready is not None and rest is None:
+            yield out(*ready, least)
+        elif ready is not None:
+            keys, at = np.unique(np.concatenate([ready[0], rest[0]]), return_inverse=True)
+            yield out(keys, np.bincount(at, np.concatenate([ready[1], rest[1]])).astype(np.int64), n + least)
 
     large = texts.select("text").coalesce(max(1, documents // least))
     reported = large.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
