@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +15,8 @@ from shapelake.constants import LAM_SCALING, SHAPE_ALPHA
 from shapelake.functions.vectors import transform_matrix
 from shapelake.modes import canonical, resolve
 from shapelake.operators import kernels as K
-from shapelake.operators.overlap import panel_pairs
+from shapelake.operators import profiles
+from shapelake.operators.clouds import cloud, panel_pairs
 
 POSE = "ref_id long, fit_id long, score double, qw double, qx double, qy double, qz double, tx double, ty double, tz double"
 #: Floats that one chunk's point-pair arrays hold at most.
@@ -24,17 +24,9 @@ CHUNK = 4_000_000
 
 
 def _cloud(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Padded (rows, width) arrays of a list-of-structs column, straight from Arrow's buffers, and their mask."""
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    width = max(int(lengths.max(initial=0)), 1)
-    mask = np.arange(width)[None, :] < lengths[:, None]
-    flat = column.flatten()
-    out = {}
-    for f in fields:
-        own = np.zeros(mask.shape, dtype=np.int64 if f == "ptype" else np.float64)
-        own[mask] = np.nan_to_num(flat.field(f).to_numpy(zero_copy_only=False).astype(own.dtype))
-        out[f] = own
-    return mask.astype(np.float64), out
+    """A cloud with its mask as weights; what is not a number becomes 0."""
+    mask, values = cloud(column, fields)
+    return mask.astype(np.float64), {k: np.nan_to_num(v) for k, v in values.items()}
 
 
 def _xyz(c: dict[str, np.ndarray], prefix: str = "") -> np.ndarray:
@@ -66,7 +58,7 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
     start = [poses(x[m > 0], y[n > 0]) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
     count = max(len(s[0]) for s in start)  # pairs with fewer poses repeat their first
     q, t = (np.stack([np.concatenate([s[i], np.repeat(s[i][:1], count - len(s[i]), axis=0)]) for s in start]) for i in range(2))
-    final = None
+    bonus = None
     if mode in ("vol", "surf"):
         channels = [(1.0, K.shape_channel(pa_, pb, ma, mb, alpha))]
     elif mode in ("vol_esp", "surf_esp"):
@@ -76,20 +68,10 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
     elif mode == "vol_color":
         (mp, p), (mr, r) = ref["pharm"], fit["pharm"]
         channels = [(1 - weight, K.shape_channel(pa_, pb, ma, mb, alpha)), (weight, K.pharm_channel(_xyz(p), _xyz(r), mp, mr, p["ptype"], r["ptype"]))]
-    else:  # the shape leads the search, the potentials choose among its poses
-        shape = K.shape_channel(pa_, pb, ma, mb, alpha)
-        channels = [(1.0, shape)]
+    else:  # shape and the agreement of potentials are searched as one objective
+        channels = [(1 - weight, K.shape_channel(pa_, pb, ma, mb, alpha))]
         (ms, s), (mz, z) = ref["surface"], fit["surface"]
-        sa, sb = _xyz(s), _xyz(z)
-
-        def final(q, t):
-            own = K.tanimoto(K.overlap(shape, q, t, False)[0], shape)[0]
-            atoms, points = K.moved(pb, q, t), K.moved(sb, q, t)
-            ones = np.ones((1, q.shape[1], 1, 1))
-            e1 = K.esp_agreement(sa[:, None] * ones, s["q"], ms, atoms, b["q"], b["radius"], mb, probe, lam)
-            e2 = K.esp_agreement(points, z["q"], mz, pa_[:, None] * ones, a["q"], a["radius"], ma, probe, lam)
-            n = (ms.sum(1) + mz.sum(1))[:, None]
-            return weight * (e1 + e2) / np.maximum(n, 1) + (1 - weight) * own
+        bonus = K.esp_score(((_xyz(s), s["q"], ms), (_xyz(z), z["q"], mz)), ((pa_, a["q"], a["radius"], ma), (pb, b["q"], b["radius"], mb)), probe, lam, weight)
 
     penalty = None
     if avoid is not None:
@@ -99,7 +81,7 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
         def penalty(q, t):
             return tuple(avoid_weight * x for x in K.clash(spots, mv, own, mf, avoid_min_dist, q, t))
 
-    return K.optimise(K.channel_score(channels, similarity, penalty), q, t, steps, lr, final=final)
+    return K.optimise(K.channel_score(channels, similarity, penalty, bonus), q, t, steps, lr)
 
 
 def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, lam: float | None = None, num_repeats: int | None = None, max_num_steps: int | None = None, lr: float = 0.1, weight: float = 0.5, probe: float = 1.0, similarity: str = "tanimoto", trans_init: bool = False, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> DataFrame:
@@ -108,7 +90,7 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
     alpha = SHAPE_ALPHA if alpha is None else alpha
     lam = {"vol_esp": 0.1, "surf_esp": 0.3, "vol_and_surf_esp": 0.001}.get(name) if lam is None else lam
     spec = resolve(name, alpha, lam)
-    options = {"alpha": alpha, "lam": lam, "seeds": num_repeats or spec.seeds, "steps": max_num_steps or spec.steps, "lr": lr, "weight": weight, "probe": probe}
+    options = {"alpha": alpha, "lam": lam, "seeds": num_repeats or spec.seeds, "steps": spec.steps if max_num_steps is None else max_num_steps, "lr": lr, "weight": weight, "probe": probe}
     options |= {"similarity": similarity, "trans_init": trans_init, "avoid": avoid, "avoid_min_dist": avoid_min_dist, "avoid_weight": avoid_weight}
     columns = list(dict.fromkeys([*_needs(name), *([avoid, "atoms"] if avoid else [])]))
 
@@ -116,6 +98,8 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
         for batch in batches:
             sides = [{c: _cloud(batch.column(f"{side}_{c}"), FIELDS[c]) for c in columns} for side in ("ref", "fit")]
             work = options["seeds"] * max(s.shape[1] for s in (sides[0][c][0] for c in columns)) * max(s.shape[1] for s in (sides[1][c][0] for c in columns))
+            if name == "vol_and_surf_esp":  # its slopes hold three numbers for each surface point and atom
+                work *= 3
             step = max(1, CHUNK // (8 * work))
             for at in range(0, len(batch), step):
                 part = [{c: (m[at : at + step], {k: v[at : at + step] for k, v in f.items()}) for c, (m, f) in side.items()} for side in sides]
@@ -137,6 +121,21 @@ def align_panel(panel: DataFrame, library: DataFrame, mode: str = "vol", **optio
     return align(panel_pairs(panel, spread(library), list(dict.fromkeys([*_needs(canonical(mode)), *more]))), mode, **options)
 
 
+def align_preset(pairs: DataFrame, refs: DataFrame, fits: DataFrame, mode: str = "vol", center: bool = False, **options) -> DataFrame:
+    """Best pose of each listed pair (ref_id, fit_id) of molecules from two tables, with its 4 x 4 transform.
+
+    A pair is listed once; the molecules meet it by equi-joins, so a table of any size is dealt by molecule. ``center``
+    moves each molecule to the mean of its own atoms first, and the pose is between the centered ones.
+    """
+    more = [options["avoid"], "atoms"] if options.get("avoid") else []
+    columns = list(dict.fromkeys([*_needs(canonical(mode)), *more]))
+    made = pairs.select("ref_id", "fit_id")
+    for side, rows in (("ref", refs), ("fit", fits)):
+        own = profiles.center(rows, "atoms", tuple(columns)) if center else rows
+        made = made.join(own.select(F.col("mol_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}_id")
+    return with_transform(align(made, mode, **options))
+
+
 def with_transform(poses: DataFrame) -> DataFrame:
     return poses.withColumn("transform", transform_matrix([F.col(c) for c in ("qw", "qx", "qy", "qz")], [F.col(c) for c in ("tx", "ty", "tz")]))
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelake.operators import scoring
+from shapelake.constants import LAM_SCALING, SHAPE_ALPHA
+from shapelake.functions.similarity import tanimoto
+from shapelake.operators import alignment, overlap, profiles, scoring, surfaces
+from shapelake.operators.clouds import over_pairs
 
 #: Properties of an unconditional evaluation; ``i`` numbers the samples. Those of later evaluations follow.
 UNCONDITIONAL = "i long, is_valid boolean, is_valid_post_opt boolean, is_graph_consistent boolean, smiles string, smiles_post_opt string, molblock string, molblock_post_opt string, strain_energy double, rmsd double, SA_score double, QED double, logP double, fsp3 double, SA_score_post_opt double, QED_post_opt double, logP_post_opt double, fsp3_post_opt double, error string"
@@ -74,11 +79,39 @@ def similarity_matrix(prints: DataFrame, key: str = "mol_id", group: str | None
     return pairs.select(*on, "i", "j", bit_tanimoto(F.col("_a"), F.col("_b")).alias("similarity"))
 
 
-def diversity(prints: DataFrame, key: str = "mol_id", group: str | None = None) -> DataFrame:
-    """Mean of 1 - similarity over unordered pairs; NULL for fewer than two."""
-    pairs = similarity_matrix(prints, key, group)
-    grouped = pairs.groupBy(group) if group else pairs.groupBy()
-    return grouped.agg(F.avg(1 - F.col("similarity")).alias("diversity"), F.count("*").alias("n_pairs"))
+def diversity(prints: DataFrame, key: str = "mol_id", group: str | None = None, block: int = 1024) -> DataFrame:
+    """Mean of 1 - similarity over unordered pairs, and their number; NULL for fewer than two.
+
+    Rows are dealt to blocks of about ``block`` by a hash, and each pair of blocks is one task's group, whose pairs are
+    counted as bits and never become rows. A row goes to as many groups as its group of fingerprints has blocks.
+    """
+    on = [group] if group else []
+    rows = prints.where("bits is not null").select(*on, "bits", F.xxhash64(key).alias("_h"))
+    sizes = rows.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, on) if on else rows.crossJoin(F.broadcast(sizes))  # one row without groups
+    own = rows.withColumn("_own", F.pmod("_h", F.col("_blocks")).cast("int"))
+    each = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    dealt = each.select(*on, "bits", "_own", low.alias("_low"), high.alias("_high"))
+    kind = prints.schema[group].dataType.simpleString() if group else ""
+
+    def run(table: pa.Table) -> pa.Table:
+        bits, own, first = table.column("bits").to_numpy(), table.column("_own").to_numpy(), table.column("_low")[0].as_py()
+        a = bits[own == first]
+        b = bits[own != first] if table.column("_high")[0].as_py() != first else a
+        total, n = 0.0, 0
+        for i in range(len(a)):  # one row against a whole block
+            other = a[i + 1 :] if b is a else b
+            either = np.bitwise_count((a[i] | other).view(np.uint64)).astype(float)
+            alike = np.bitwise_count((a[i] & other).view(np.uint64))
+            real = either > 0
+            total, n = total + float((1 - alike[real] / either[real]).sum()), n + int(real.sum())
+        pairs = len(a) * (len(a) - 1) // 2 if b is a else len(a) * len(b)
+        return pa.table({**({group: table.column(group).slice(0, 1)} if group else {}), "total": [total], "real": pa.array([n], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
+
+    parts = dealt.groupBy(*on, "_low", "_high").applyInArrow(run, ", ".join([*([f"{group} {kind}"] if group else []), "total double, real long, pairs long"]))
+    found = parts.groupBy(*on).agg(F.try_divide(F.sum("total"), F.sum("real")).alias("diversity"), F.sum("pairs").alias("n_pairs"))
+    return found.where("n_pairs > 0") if on else found
 
 
 def diversity_to(prints: DataFrame, target: DataFrame) -> DataFrame:
@@ -86,9 +119,85 @@ def diversity_to(prints: DataFrame, target: DataFrame) -> DataFrame:
     return prints.crossJoin(F.broadcast(target.limit(1).select(F.col("bits").alias("_t")))).agg(F.avg(1 - bit_tanimoto(F.col("bits"), F.col("_t"))).alias("diversity"))
 
 
+# ---------------------------------------------------------------- against profiles
+
+
+def _named(scores: DataFrame, name: str, key: str) -> DataFrame:
+    return scores.select(F.col("fit_id").alias(key), F.col("score").alias(name))
+
+
+def conditional(target: DataFrame, generated: DataFrame, key: str = "mol_id", aligned: bool = False, lam: float = 0.3 * LAM_SCALING, **options) -> DataFrame:
+    """Generated molecules against the one profile they were asked for: similarity of surface, potential and features.
+
+    As posed, or with ``aligned`` at each mode's best pose. Every generated molecule has a row; the scores of one that
+    cannot be scored are NULL.
+    """
+    if aligned:
+        scores = {n: alignment.align_panel(target, generated, m, **options) for n, m in (("sim_surf_target_aligned", "surf"), ("sim_esp_target_aligned", "surf_esp"), ("sim_pharm_target_aligned", "pharm"))}
+    else:
+        scores = {"sim_surf_target": scoring.shape(target, generated, "surface"), "sim_esp_target": scoring.esp(target, generated, lam, "surface"), "sim_pharm_target": scoring.pharm(target, generated)}
+    out = generated.select(key)
+    for name, found in scores.items():
+        out = out.join(_named(found, name, key), key, "left")
+    return out
+
+
+def paired_variants(first: DataFrame, second: DataFrame, columns: tuple[str, ...] = ("surface", "pharm"), key: str = "mol_id") -> DataFrame:
+    """Two profiles of each molecule side by side: (ref_id, fit_id, ref_<c>, fit_<c>), the ids equal."""
+    sides = [rows.select(F.col(key).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s, rows in (("ref", first), ("fit", second))]
+    return sides[0].join(sides[1], F.col("ref_id") == F.col("fit_id"))
+
+
+def consistency(first: DataFrame, second: DataFrame, key: str = "mol_id", lam: float = 0.3 * LAM_SCALING) -> DataFrame:
+    """Each molecule's profile against another profile of itself (regenerated or relaxed), in one pass over the pairs."""
+    pairs = paired_variants(first, second, key=key)
+    terms = {"surf": ("surface", overlap.gauss(SHAPE_ALPHA)), "esp": ("surface", overlap.esp_gauss(SHAPE_ALPHA, lam)), "pharm": ("pharm", overlap.pharm_term())}
+    sums = over_pairs(
+        pairs, {"surface": [*scoring.XYZ, "q"], "pharm": scoring.DIRECTED},
+        lambda a, b: {n: overlap.total(term, a[c], b[c]) for n, (c, term) in terms.items()}, lambda a: {n: overlap.own_total(term, a[c]) for n, (c, term) in terms.items()},
+        [f"{side}{n}" for n in terms for side in ("", "ref_", "fit_")],
+    )
+    return sums.select(F.col("ref_id").alias(key), *[tanimoto(F.col(n), F.col(f"ref_{n}"), F.col(f"fit_{n}")).alias(f"sim_{n}_consistent") for n in terms])
+
+
+def resampled_scores(rows: DataFrame, samples: int = 5, per_atom: int = 4, probe: float = 1.2) -> DataFrame:
+    """(mol_id, ref_id, fit_id, score): shape scores between ``samples`` random surfaces of each molecule, seeded by number.
+
+    A molecule's samples are few by definition, and so are their pairs.
+    """
+    drawn = None
+    for n in range(samples):
+        points = surfaces.exposed(rows, per_atom, probe, random_seed=n).groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "idx", "p"))).alias("own"))
+        one = points.select("mol_id", F.lit(n).cast("long").alias("n"), F.transform("own", lambda s: s["p"]).alias("surface"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    ref, fit = (drawn.select("mol_id", F.col("n").alias(f"{s}_id"), F.col("surface").alias(f"{s}_surface")) for s in ("ref", "fit"))
+    return scoring.shape_of_pairs(ref.join(fit, "mol_id").where("ref_id < fit_id"), "surface", keep="mol_id long").select("mol_id", "ref_id", "fit_id", "score")
+
+
+def evaluate_all(target: DataFrame | None, generated: DataFrame, variants: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per molecule with every score that applies: against the target, posed, and against its own variants."""
+    out = generated.select("mol_id") if target is None else conditional(target, generated)
+    for name, other in (variants or {}).items():
+        own = consistency(generated, other)
+        out = out.join(own.select("mol_id", *[F.col(c).alias(f"{c}_{name}") for c in own.columns if c != "mol_id"]), "mol_id", "left")
+    return out
+
+
 # ---------------------------------------------------------------- objectives
 
 
+def objective_of_conformers(target: DataFrame, conformers: DataFrame, key: str, lam: float = 0.3, **options) -> DataFrame:
+    """Each conformer is aligned to the target by surface and potential; features are scored at that pose; of each ``key``
+    the conformer with the greatest sum counts: (key, esp, pharm, score)."""
+    poses = alignment.align_panel(target, conformers, "surf_esp", lam=lam, **options)
+    moved = conformers.join(poses.withColumnRenamed("fit_id", "mol_id"), "mol_id")
+    moved = profiles.transform(moved, [F.col(c) for c in ("qw", "qx", "qy", "qz")], [F.col(c) for c in ("tx", "ty", "tz")], ("pharm",))
+    features = scoring.pharm(target, moved).select(F.col("fit_id").alias("mol_id"), F.col("score").alias("pharm"))
+    scored = moved.select(key, "mol_id", F.round("score", 6).alias("esp")).join(features, "mol_id").select(key, "esp", F.round("pharm", 6).alias("pharm"))
+    return best_conformer(scored, key, ["esp", "pharm"])
+
+
+
 def memoised(requests: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``compute`` on distinct non-NULL keys, joined back: each key is worked on once, every request gets its row."""
     return requests.join(compute(requests.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
@@ -117,10 +226,10 @@ def resample_bound(scores: DataFrame, group: str) -> DataFrame:
     return scores.groupBy(group).agg(F.avg("score").alias("upper_bound"), F.count("*").alias("n_pairs"))
 
 
-def group_scores(profiles: DataFrame, group: str, kind: str = "long") -> DataFrame:
+def group_scores(rows: DataFrame, group: str, kind: str = "long") -> DataFrame:
     """(group, ref_id, fit_id, score): shape scores of all unordered pairs of a group's profiles, resampled ones of one
     reference and so few by nature. A pair is scored in its row, and means are partial before they shuffle."""
-    ref, fit = (profiles.select(group, F.col("mol_id").alias(f"{s}_id"), F.col("atoms").alias(f"{s}_atoms")) for s in ("ref", "fit"))
+    ref, fit = (rows.select(group, F.col("mol_id").alias(f"{s}_id"), F.col("atoms").alias(f"{s}_atoms")) for s in ("ref", "fit"))
     return scoring.shape_of_pairs(ref.join(fit, group).where("ref_id < fit_id"), keep=f"{group} {kind}")
 
 

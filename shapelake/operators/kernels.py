@@ -140,27 +140,85 @@ def moved(b: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.einsum("ksij,kmj->ksmi", matrices(q), b) + t[:, :, None, :]
 
 
-def overlap(c: Channel, q: np.ndarray, t: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+@dataclass
+class PairChannel:
+    """The same over the point pairs that can count at all: typed features meet few of the other cloud's. All (K, P, ...)."""
+
+    a: np.ndarray
+    b: np.ndarray
+    alpha: np.ndarray
+    weight: np.ndarray
+    aa: np.ndarray
+    bb: np.ndarray
+    ua: np.ndarray | None = None
+    ub: np.ndarray | None = None
+    directed: np.ndarray | None = None
+
+
+def paired(c: Channel) -> Channel | PairChannel:
+    """A channel's pairs of any weight, listed, if they are less than half of all."""
+    real = c.weight != 0
+    count = real.reshape(len(real), -1).sum(axis=1)
+    width = max(int(count.max(initial=0)), 1)
+    if 2 * width > real.shape[1] * real.shape[2]:
+        return c
+    k, n, m = np.nonzero(real)
+    place = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+
+    def listed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(real), width, *values.shape[1:]))
+        out[k, place] = values
+        return out
+
+    directed = c.ua is not None
+    return PairChannel(listed(c.a[k, n]), listed(c.b[k, m]), listed(c.alpha[k, n, m]), listed(c.weight[k, n, m]), c.aa, c.bb, listed(c.ua[k, n]) if directed else None, listed(c.ub[k, m]) if directed else None, listed(c.directed[k, n, m]) if directed else None)
+
+
+def _facing(raw: np.ndarray, directed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of two directions with cosine ``raw``, and its slope over the cosine."""
+    both, one = directed == 2, directed > 0
+    cosine = np.where(both, np.abs(raw), np.clip(raw, 0, 1))
+    slope = np.where(both, np.sign(raw), ((raw > 0) & (raw < 1)).astype(float)) / 3
+    return np.where(one, (cosine + 2) / 3, 1.0), np.where(one, slope, 0.0)
+
+
+def overlap(c: Channel | PairChannel, q: np.ndarray, t: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """(value (K, S), gradient over q, gradient over t) of a channel at some poses; q are unit quaternions."""
     m = matrices(q)
     b = np.einsum("ksij,kmj->ksmi", m, c.b) + t[:, :, None, :]
-    diff = c.a[:, None, :, None, :] - b[:, :, None, :, :]
-    term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * np.einsum("ksnmi,ksnmi->ksnm", diff, diff))
+    if isinstance(c, PairChannel):
+        return _overlap_pairs(c, q, m, b, gradient)
+    square = (c.a**2).sum(-1)[:, None, :, None] + (b**2).sum(-1)[:, :, None, :] - 2 * (c.a[:, None] @ np.swapaxes(b, 2, 3))
+    term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * np.maximum(square, 0))
     turn = None
     if c.ua is not None:
-        ub = np.einsum("ksij,kmj->ksmi", m, c.ub)
-        raw = np.einsum("kni,ksmi->ksnm", c.ua, ub)
-        cosine = np.where(c.directed[:, None] == 2, np.abs(raw), np.clip(raw, 0, 1))
-        factor = np.where(c.directed[:, None] > 0, (cosine + 2) / 3, 1.0)
+        factor, slope = _facing(np.einsum("kni,ksmi->ksnm", c.ua, np.einsum("ksij,kmj->ksmi", m, c.ub)), c.directed[:, None])
         if gradient:
-            slope = np.where(c.directed[:, None] == 2, np.sign(raw), ((raw > 0) & (raw < 1)).astype(float)) * (c.directed[:, None] > 0) / 3
-            turn = np.einsum("ksnm,kni,kmj->ksij", term * slope, c.ua, c.ub)
+            turn = np.einsum("ksnm,kni,kmj->ksij", term * slope, c.ua, c.ub, optimize=True)
         term = term * factor
     value = term.sum(axis=(2, 3))
     if not gradient:
         return value, None, None
-    force = np.einsum("ksnm,ksnmi->ksmi", term * c.alpha[:, None], diff)
-    g = np.einsum("ksmi,kmj->ksij", force, c.b)
+    pull = term * c.alpha[:, None]
+    force = np.swapaxes(pull, 2, 3) @ c.a[:, None] - pull.sum(axis=2)[..., None] * b
+    g = np.swapaxes(force, 2, 3) @ c.b[:, None]
+    return value, to_quaternion_gradient(q, g if turn is None else g + turn), force.sum(axis=2)
+
+
+def _overlap_pairs(c: PairChannel, q: np.ndarray, m: np.ndarray, b: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    diff = c.a[:, None] - b
+    term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * (diff * diff).sum(axis=3))
+    turn = None
+    if c.ua is not None:
+        factor, slope = _facing((c.ua[:, None] * np.einsum("ksij,kpj->kspi", m, c.ub)).sum(axis=3), c.directed[:, None])
+        if gradient:
+            turn = np.swapaxes((term * slope)[..., None] * c.ua[:, None], 2, 3) @ c.ub[:, None]
+        term = term * factor
+    value = term.sum(axis=2)
+    if not gradient:
+        return value, None, None
+    force = (term * c.alpha[:, None])[..., None] * diff
+    g = np.swapaxes(force, 2, 3) @ c.b[:, None]
     return value, to_quaternion_gradient(q, g if turn is None else g + turn), force.sum(axis=2)
 
 
@@ -189,7 +247,7 @@ def shape_channel(a, b, ma, mb, alpha: float, qa=None, qb=None, lam: float | Non
     return Channel(a, b, width(a, b), weight(a, b, ma, mb, qa, qb), aa, bb)
 
 
-def pharm_channel(a, b, ma, mb, ta, tb, ua=None, ub=None) -> Channel:
+def pharm_channel(a, b, ma, mb, ta, tb, ua=None, ub=None) -> Channel | PairChannel:
     """Typed features; without directions every type is scored by its anchors."""
     alphas = np.array(PHARM_ALPHAS)
     kinds = np.array([2 if i in ANTIPARALLEL else 1 if i in DIRECTIONAL else 0 for i in range(len(alphas))])
@@ -204,7 +262,7 @@ def pharm_channel(a, b, ma, mb, ta, tb, ua=None, ub=None) -> Channel:
         return self_overlap(x, alpha, weight, ux, kind if ux is not None else None)
 
     alpha, weight, kind = tables(ta, tb, ma, mb)
-    return Channel(a, b, alpha, weight, own(a, ta, ma, ua), own(b, tb, mb, ub), ua, ub, kind if ua is not None else None)
+    return paired(Channel(a, b, alpha, weight, own(a, ta, ma, ua), own(b, tb, mb, ub), ua, ub, kind if ua is not None else None))
 
 
 def tanimoto(value: np.ndarray, c: Channel) -> tuple[np.ndarray, np.ndarray]:
@@ -237,24 +295,53 @@ def clash(avoid: np.ndarray, mask: np.ndarray, b: np.ndarray, mb: np.ndarray, re
     return value, to_quaternion_gradient(q, np.einsum("ksmi,kmj->ksij", force, b)), force.sum(axis=2)
 
 
-def esp_agreement(points, own, mask, centers, charges, radii, cmask, probe: float, lam: float) -> np.ndarray:
-    """(K, S): points (K, S, P, 3) against posed centers (K, S, M, 3). Masked points never enter a quotient."""
-    d = np.linalg.norm(points[..., :, None, :] - centers[..., None, :, :], axis=-1)
-    real = cmask[:, None, None, :] > 0
+def _agreement(points, own, mask, atoms, charges, radii, amask, probe: float, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """(K, S) sums of exp(-(own - potential there)^2 / (lam * LAM)) over the points (K, S, P, 3) outside all spheres around
+    the atoms (K, S, M, 3), and the slope (K, S, P, M, 3) of each point's term over its way from each atom.
+
+    Whether a point is outside is taken as it is: it has no slope.
+    """
+    way = points[..., :, None, :] - atoms[..., None, :, :]
+    d = np.sqrt((way * way).sum(axis=-1))
+    real = amask[:, None, None, :] > 0
     outside = np.where(real, d >= radii[:, None, None, :] + probe, True).all(axis=-1)
-    there = COULOMB_SCALING * np.where(real & (d > 0), charges[:, None, None, :] / np.where(d > 0, d, 1.0), 0.0).sum(axis=-1)
-    return (mask[:, None, :] * outside * np.exp(-((own[:, None, :] - there) ** 2) / (lam * LAM_SCALING))).sum(axis=-1)
+    part = COULOMB_SCALING * np.divide(np.broadcast_to(charges[:, None, None, :], d.shape), d, out=np.zeros_like(d), where=real & (d > 0))
+    off = own[:, None, :] - part.sum(axis=-1)
+    term = mask[:, None, :] * outside * np.exp(-(off**2) / (lam * LAM_SCALING))
+    steep = term * 2 * off / (lam * LAM_SCALING)  # slope of a term over the potential
+    inverse = np.divide(1.0, d * d, out=np.zeros_like(d), where=d > 0)
+    return term.sum(axis=-1), -(steep[..., None] * part * inverse)[..., None] * way
+
+
+def esp_score(surface: tuple, atoms: tuple, probe: float, lam: float, weight: float):
+    """``(q, t) -> (value, dq, dt)``: weight * share of surface points whose potentials agree, both ways.
+
+    surface and atoms: ((points, potentials, mask), (points, charges, radii, mask)) of the reference, then of the fit.
+    """
+    (sa, va, ms), (sb, vb, mz) = surface
+    (pa, ca, ra, ma), (pb, cb, rb, mb) = atoms
+    n = np.maximum(ms.sum(axis=1) + mz.sum(axis=1), 1)[:, None]
+
+    def score(q, t):
+        there, skin = moved(pb, q, t), moved(sb, q, t)
+        one, slope_one = _agreement(np.broadcast_to(sa[:, None], (*q.shape[:2], *sa.shape[1:])), va, ms, there, cb, rb, mb, probe, lam)
+        two, slope_two = _agreement(skin, vb, mz, np.broadcast_to(pa[:, None], (*q.shape[:2], *pa.shape[1:])), ca, ra, ma, probe, lam)
+        on_atoms, on_skin = -slope_one.sum(axis=2), slope_two.sum(axis=3)  # the fit's atoms pull back, its points go along
+        g = np.swapaxes(on_atoms, 2, 3) @ pb[:, None] + np.swapaxes(on_skin, 2, 3) @ sb[:, None]
+        scale = weight / n
+        return scale * (one + two), scale[..., None] * to_quaternion_gradient(q, g), scale[..., None] * (on_atoms.sum(axis=2) + on_skin.sum(axis=2))
+
+    return score
 
 
 # ---------------------------------------------------------------- search
 
 
-def optimise(score, q: np.ndarray, t: np.ndarray, steps: int, lr: float = 0.075, patience: int = 0, final=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def optimise(score, q: np.ndarray, t: np.ndarray, steps: int, lr: float = 0.075) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best (score, q, t) of each pair over all its poses (K, S, ...) after some Adam steps.
 
     ``score(q, t) -> (value, dq, dt)``. Adam has no bias correction, keeps epsilon under the root, and moves q within
-    its tangent before it is renormed. A pose is remembered before the step that follows it. ``final(q, t)``, if
-    given, scores in place of ``score`` every fifth step and at the end.
+    its tangent before it is renormed. A pose is remembered before the step that follows it.
     """
     q, t = q / np.linalg.norm(q, axis=-1, keepdims=True), t.copy()
     best = np.full(q.shape[:2], -np.inf)
@@ -263,11 +350,9 @@ def optimise(score, q: np.ndarray, t: np.ndarray, steps: int, lr: float = 0.075,
     v = [np.zeros_like(q), np.zeros_like(t)]
     for step in range(steps + 1):
         value, dq, dt = score(q, t)
-        if final is None or step % 5 == 0 or step == steps:
-            seen = value if final is None else final(q, t)
-            better = seen > best
-            best = np.where(better, seen, best)
-            best_q, best_t = np.where(better[..., None], q, best_q), np.where(better[..., None], t, best_t)
+        better = value > best
+        best = np.where(better, value, best)
+        best_q, best_t = np.where(better[..., None], q, best_q), np.where(better[..., None], t, best_t)
         if step == steps:
             break
         dq = dq - (dq * q).sum(-1, keepdims=True) * q
@@ -281,8 +366,9 @@ def optimise(score, q: np.ndarray, t: np.ndarray, steps: int, lr: float = 0.075,
     return best[k, at], best_q[k, at], best_t[k, at]
 
 
-def channel_score(channels: list[tuple[float, Channel]], name: str = "tanimoto", penalty=None):
-    """Weighted sum of the channels' similarities, less a penalty ``(q, t) -> (value, dq, dt)``, with its gradients."""
+def channel_score(channels: list[tuple[float, Channel | PairChannel]], name: str = "tanimoto", penalty=None, bonus=None):
+    """Weighted sum of the channels' similarities, less a penalty and more a bonus, both ``(q, t) -> (value, dq, dt)``,
+    with its gradients."""
 
     def score(q, t):
         total, gq, gt = 0.0, 0.0, 0.0
@@ -293,6 +379,9 @@ def channel_score(channels: list[tuple[float, Channel]], name: str = "tanimoto",
         if penalty is not None:
             value, dq, dt = penalty(q, t)
             total, gq, gt = total - value, gq - dq, gt - dt
+        if bonus is not None:
+            value, dq, dt = bonus(q, t)
+            total, gq, gt = total + value, gq + dq, gt + dt
         return total, gq, gt
 
     return score

@@ -33,12 +33,12 @@ def sphere_samples(profiles: DataFrame, per_atom: int = 20, probe: float = 1.2,
     return rows.select("mol_id", *kept, F.col("a.idx").alias("atom"), "idx", F.struct(*[(on[c] * size + F.col(f"a.{c}")).alias(c) for c in "xyz"]).alias("p"))
 
 
-def exposed(profiles: DataFrame, per_atom: int = 20, probe: float = 1.2, atoms: str = "atoms") -> DataFrame:
+def exposed(profiles: DataFrame, per_atom: int = 20, probe: float = 1.2, atoms: str = "atoms", random_seed: int | None = None) -> DataFrame:
     """The samples outside every sphere of their molecule (with 0.01 of slack).
 
     A sample's row carries its molecule's atoms, nested, so the test is one expression there: no join, no shuffle.
     """
-    rows = sphere_samples(profiles, per_atom, probe, atoms, keep=True)
+    rows = sphere_samples(profiles, per_atom, probe, atoms, True, random_seed)
     inside = F.exists("_atoms", lambda b: F.sqrt(square_distance(F.col("p"), b)) < b["radius"] + probe - 0.01)
     return rows.where(~inside).drop("_atoms")
 

@@ -398,7 +398,11 @@ def inertia_tensor(spark, sf_dir):
     return t.select("mol_id", *[r6(c).alias(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
-@query()
+EIGEN = "{p}_e AS (SELECT *, (xx+yy+zz)/3 AS mean FROM {p}), {p}_p AS (SELECT *, sqrt(((xx-mean)*(xx-mean)+(yy-mean)*(yy-mean)+(zz-mean)*(zz-mean)+2*(xy*xy+xz*xz+yz*yz))/6) AS p, (xx-mean)*((yy-mean)*(zz-mean)-yz*yz)-xy*(xy*(zz-mean)-yz*xz)+xz*(xy*yz-(yy-mean)*xz) AS det FROM {p}_e), {p}_a AS (SELECT *, acos(greatest(-1, least(1, coalesce(det/nullif(2*p*p*p, 0), 0))))/3 AS phi FROM {p}_p)"
+_HIGH, _LOW = "mean+2*p*cos(phi)", "mean+2*p*cos(phi+2.0943951023931953)"
+
+
+@query(with_cte(["atoms"], "x AS (SELECT a.mol_id, a.x-m.x AS x, a.y-m.y AS y, a.z-m.z AS z FROM atoms a JOIN (SELECT mol_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms GROUP BY 1) m ON a.mol_id = m.mol_id), t AS (SELECT mol_id, avg(y*y+z*z) AS xx, -avg(x*y) AS xy, -avg(x*z) AS xz, avg(x*x+z*z) AS yy, -avg(y*z) AS yz, avg(x*x+y*y) AS zz FROM x GROUP BY 1), " + EIGEN.format(p="t") + f" SELECT mol_id, round({_HIGH}, 6)+0.0 AS m1, round(3*mean-({_HIGH})-({_LOW}), 6)+0.0 AS m2, round({_LOW}, 6)+0.0 AS m3 FROM t_a"))
 def principal_moments(spark, sf_dir):
     rows = profiles.principal_moments(profiles.inertia(stand_in(spark, sf_dir)))
     return rows.select("mol_id", *[r6(c).alias(c) for c in ("m1", "m2", "m3")])
@@ -600,12 +604,15 @@ def xyz_block(spark, sf_dir):
     return xyz.blocks(atoms)
 
 
-@query()
+_COLOURS = "['red', 'blue', 'orange', 'forest green', 'cyan', 'navy', 'magenta', 'purple', 'gray']"
+
+
+@query(with_cte(["pharm"], f"SELECT mol_id, string_agg('.color ' || list_extract({_COLOURS}, ptype+1) || chr(10) || printf('sphere %.3f %.3f %.3f 0.5', x, y, z) || chr(10) || printf('arrow %.3f %.3f %.3f %.3f %.3f %.3f 0.05 0.1', x, y, z, x+2*coalesce(vx, 0), y+2*coalesce(vy, 0), z+2*coalesce(vz, 0)), chr(10) ORDER BY idx) AS bild FROM pharm GROUP BY 1"))
 def viewer_features(spark, sf_dir):
     return other_tables.feature_markers(stand_in(spark, sf_dir))
 
 
-@query()
+@query(with_cte(["surface"], "x AS (SELECT mol_id, min(q) AS lo, max(q) AS hi FROM surface GROUP BY 1) SELECT mol_id, string_agg(printf('.color %.3f 0.0 %.3f', CASE WHEN q < 0 THEN q/nullif(lo, 0) ELSE 0.0 END, CASE WHEN q > 0 THEN q/nullif(hi, 0) ELSE 0.0 END) || chr(10) || printf('.dot %.3f %.3f %.3f', x, y, z), chr(10) ORDER BY idx) AS bild FROM surface JOIN x USING (mol_id) GROUP BY 1"))
 def viewer_surface(spark, sf_dir):
     return other_tables.surface_markers(stand_in(spark, sf_dir))
 
@@ -672,7 +679,14 @@ def priority_labels(spark, sf_dir):
     return pharmacophores.priority_labels(features, rings, priority, 2)
 
 
-@query()
+@query(
+    with_cte(
+        ["atoms"],
+        f"""x AS (SELECT i*(2.0::DOUBLE/200)-1+1.0::DOUBLE/200 AS h, ((i+1)%200)*{math.pi * (3 - math.sqrt(5))!r} AS phi FROM range(200) r(i)),
+        a AS (SELECT f.mol_id, f.idx, f.x+1.8*cos(phi)*sqrt(greatest(0,1-h*h)) AS x, f.y+1.8*h AS y, f.z+1.8*sin(phi)*sqrt(greatest(0,1-h*h)) AS z FROM atoms f, x)
+        SELECT mol_id, idx::INTEGER AS idx, sum(free) > 4 AS accessible FROM (SELECT a.mol_id, a.idx, a.x, min(CASE WHEN a.idx <> b.idx AND sqrt({R2}) < b.radius+0.8 THEN 0 ELSE 1 END) AS free FROM a JOIN atoms b ON a.mol_id = b.mol_id GROUP BY a.mol_id, a.idx, a.x, a.y, a.z) GROUP BY 1, 2""",
+    )
+)
 def accessible_features(spark, sf_dir):
     features = stand_in(spark, sf_dir).select("mol_id", "atoms", F.explode("pharm").alias("f"))
     features = features.select("mol_id", "atoms", F.col("f.idx").cast("int").alias("idx"), F.struct("f.x", "f.y", "f.z").alias("p"), F.array(F.col("f.idx")).alias("atom_ids"))
@@ -689,7 +703,15 @@ def smooth_surface(spark, sf_dir):
     return surfaces.smooth_surface(stand_in(spark, sf_dir), 60, per_atom=8)
 
 
-@query()
+def _farthest_sql(n: int) -> str:
+    """One step after the other: the point farthest from those before it, the first by idx of equals."""
+    steps = ["c0 AS (SELECT DISTINCT mol_id, 0 AS rank, 0::BIGINT AS idx FROM atoms)"]
+    for k in range(1, n):
+        steps.append(f"c{k} AS (SELECT * FROM c{k - 1} UNION ALL SELECT mol_id, {k}, idx FROM (SELECT a.mol_id, a.idx, row_number() OVER (PARTITION BY a.mol_id ORDER BY min({R2}) DESC, a.idx) AS place FROM atoms a JOIN c{k - 1} c ON a.mol_id = c.mol_id JOIN atoms b ON b.mol_id = c.mol_id AND b.idx = c.idx GROUP BY a.mol_id, a.idx HAVING max((a.idx = b.idx)::INT) = 0) WHERE place = 1)")
+    return f"WITH {DUCK['atoms']}, " + ", ".join(steps) + f" SELECT mol_id, rank::INTEGER AS rank, idx::INTEGER AS idx FROM c{n - 1}"
+
+
+@query(_farthest_sql(5))
 def farthest_point_order(spark, sf_dir):
     return surfaces.subsample(stand_in(spark, sf_dir), "atoms", 5)
 
@@ -699,9 +721,32 @@ def volume_samples(spark, sf_dir):
     return surfaces.volume_samples(stand_in(spark, sf_dir), 15, seed=1)
 
 
-@query()
+_COV = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:])
+_CENTERS = {
+    "x": "((yy*zz-yz*yz)*xw+(xz*yz-xy*zz)*yw+(xy*yz-xz*yy)*zw)", "y": "((xz*yz-xy*zz)*xw+(xx*zz-xz*xz)*yw+(xy*xz-xx*yz)*zw)", "z": "((xy*yz-xz*yy)*xw+(xy*xz-xx*yz)*yw+(xx*yy-xy*xy)*zw)",
+}
+_DET = "(xx*(yy*zz-yz*yz)+xy*(xz*yz-xy*zz)+xz*(xy*yz-xz*yy))"
+
+
+@query(
+    with_cte(
+        ["atoms", "surface"],
+        RESIDUALS
+        + f""", near AS (SELECT a.mol_id, a.idx, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.mol_id, a.idx ORDER BY {R2}, b.idx) AS k FROM surface a JOIN surface b ON a.mol_id = b.mol_id),
+        t AS (SELECT mol_id, idx, {_COV} FROM near WHERE k <= 12 GROUP BY 1, 2), {EIGEN.format(p="t")}, bend AS (SELECT mol_id, idx, coalesce(({_LOW})/nullif(3*mean, 0), 0) AS bend FROM t_a),
+        one AS (SELECT f.mol_id, f.idx, f.owner, f.r, coalesce(f.r < 0.10 AND s.r < 0.35, false) AS crimp, bend FROM n f LEFT JOIN n s ON s.mol_id = f.mol_id AND s.idx = f.idx AND s.place = 2 JOIN bend ON bend.mol_id = f.mol_id AND bend.idx = f.idx WHERE f.place = 1),
+        own AS (SELECT one.mol_id, owner, x, y, z, x*x+y*y+z*z AS w FROM one JOIN surface s ON s.mol_id = one.mol_id AND s.idx = one.idx),
+        fit AS (SELECT mol_id, owner, count(*) AS c, {_COV}, covar_pop(x, w) AS xw, covar_pop(y, w) AS yw, covar_pop(z, w) AS zw FROM own GROUP BY 1, 2),
+        err AS (SELECT fit.mol_id, sqrt({"+".join(f"pow({e}/(2*{_DET})-a.{c}, 2)" for c, e in _CENTERS.items())}) AS e FROM fit JOIN atoms a ON a.mol_id = fit.mol_id AND a.idx = fit.owner WHERE c >= 8 AND {_DET} <> 0),
+        errs AS (SELECT mol_id, median(e) AS m, quantile_cont(e, 0.9) AS p, count(*) AS c FROM err GROUP BY 1)
+        SELECT one.mol_id, round(median(r), 6)+0.0 AS median_residual, round(avg(r), 6)+0.0 AS mean_residual, round(avg((r < 0.05)::INT)*100, 6)+0.0 AS pct_within_005, round(avg((r < 0.10)::INT)*100, 6)+0.0 AS pct_within_010,
+        round(any_value(errs.m), 6)+0.0 AS median_center_error, round(any_value(errs.p), 6)+0.0 AS p90_center_error, coalesce(any_value(errs.c), 0)::INTEGER AS n_atoms_tested, round(avg(crimp::INT), 6)+0.0 AS crimp_fraction,
+        round(avg(bend) FILTER (crimp), 6)+0.0 AS curvature_at_crimps, round(avg(bend) FILTER (NOT crimp), 6)+0.0 AS curvature_elsewhere FROM one LEFT JOIN errs USING (mol_id) GROUP BY 1""",
+    )
+)
 def surface_summary(spark, sf_dir):
-    return diagnostics.summarise(stand_in(spark, sf_dir))
+    rows = diagnostics.summarise(stand_in(spark, sf_dir))
+    return rows.select("mol_id", *[F.col(c) if c == "n_atoms_tested" else r6(c).alias(c) for c in diagnostics.SUMMARY[1:]])
 
 
 # ---------------------------------------------------------------- alignment (iterative: no SQL form)
@@ -720,6 +765,81 @@ for _mode in ("vol", "vol_esp", "surf", "surf_esp", "pharm", "vol_color", "vol_a
     query()(_aligned(_mode))
 
 
+START = {
+    "vol": _ratio_sql("atoms", SHAPE), "vol_esp": _ratio_sql("atoms", _esp(SHAPE_ALPHA, 0.1)), "surf": _ratio_sql("surface", SHAPE), "surf_esp": _ratio_sql("surface", _esp(SHAPE_ALPHA, 0.3 * LAM_SCALING)),
+    "pharm": f"SELECT ref_id, fit_id, coalesce(score, 0.0) AS score FROM ({_pharm_sql(f'{TYPED}*{DIRECTED}')})", "vol_and_surf_esp": ORACLES["shaep_combo"],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({sql})" for m, sql in START.items()))
+def align_start_scores(spark, sf_dir):
+    """What each mode's objective says of the pose that an alignment starts from: one seed and no step."""
+    panel, library = panel_and_library(spark, sf_dir)
+    parts = [_score(alignment.align_panel(panel, library, m, num_repeats=1, max_num_steps=0, **({"lam": 0.5} if m == "vol_and_surf_esp" else {}))).select(F.lit(m).alias("mode"), "ref_id", "fit_id", "score") for m in START]
+    return evaluation.union_with_id(parts)
+
+
+def _preset(spark, sf_dir) -> DataFrame:
+    """Each molecule with the one of the next number."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), (F.col("vec_id") + 1).alias("fit_id"))
+
+
+@query(_ratio_sql("atoms", SHAPE).replace(f"a.mol_id < {PANEL} AND true", "b.mol_id = a.mol_id + 1"))
+def align_preset_start(spark, sf_dir):
+    """Listed pairs of molecules, from two tables, at their starting pose."""
+    rows = stand_in(spark, sf_dir)
+    return _score(alignment.align_preset(_preset(spark, sf_dir), rows, rows, "vol", num_repeats=1, max_num_steps=0))
+
+
+@query()
+def align_preset_pairs(spark, sf_dir):
+    """Listed pairs, centered and aligned, each with its transform."""
+    rows = stand_in(spark, sf_dir)
+    return alignment.align_preset(_preset(spark, sf_dir), rows, rows, "vol", center=True)
+
+
+_TARGET = [f"SELECT fit_id AS mol_id, score FROM ({sql}) WHERE ref_id = 0" for sql in (_ratio_sql("surface", SHAPE), _ratio_sql("surface", _esp(SHAPE_ALPHA, 0.3 * LAM_SCALING)), _pharm_sql(f"{TYPED}*{DIRECTED}"))]
+
+
+@query(f"SELECT mol_id, s.score AS sim_surf_target, e.score AS sim_esp_target, p.score AS sim_pharm_target FROM ({_TARGET[0]}) s JOIN ({_TARGET[1]}) e USING (mol_id) JOIN ({_TARGET[2]}) p USING (mol_id)")
+def conditional_scores(spark, sf_dir):
+    """Generated molecules against the profile they were asked for: molecule 0, as posed."""
+    rows = stand_in(spark, sf_dir)
+    out = evaluation.conditional(rows.where("mol_id = 0"), rows)
+    return out.select("mol_id", *[r6(c).alias(c) for c in ("sim_surf_target", "sim_esp_target", "sim_pharm_target")])
+
+
+_SHIFTED = [c.replace("b.", "b.").replace(R2, R2.replace("b.x", "(b.x+0.5)")) for c in (SHAPE, _esp(SHAPE_ALPHA, 0.3 * LAM_SCALING))]
+
+
+def _consistency_sql() -> str:
+    """A variant is the same molecule moved by half along x, so the self overlaps of both are alike."""
+    parts = []
+    for name, term, moved in zip(("sim_surf_consistent", "sim_esp_consistent"), (SHAPE, _esp(SHAPE_ALPHA, 0.3 * LAM_SCALING)), _SHIFTED, strict=True):
+        parts.append(f"(SELECT a.mol_id, sum({moved}) AS ab, sum({term}) AS aa FROM surface a JOIN surface b ON a.mol_id = b.mol_id GROUP BY 1) {name}")
+    return f"WITH {DUCK['surface']} SELECT mol_id, " + ", ".join(f"round({n}.ab/(2*{n}.aa-{n}.ab), 6)+0.0 AS {n}" for n in ("sim_surf_consistent", "sim_esp_consistent")) + f" FROM {parts[0]} JOIN {parts[1]} USING (mol_id)"
+
+
+@query(_consistency_sql())
+def consistency_scores(spark, sf_dir):
+    """Each molecule's profile against that of its variant (here itself, moved), as posed."""
+    rows = stand_in(spark, sf_dir)
+    still, half = [F.lit(x) for x in (1.0, 0.0, 0.0, 0.0)], [F.lit(x) for x in (0.5, 0.0, 0.0)]
+    out = evaluation.consistency(rows, profiles.transform(rows, still, half, ("surface", "pharm")))
+    return out.select("mol_id", *[r6(c).alias(c) for c in ("sim_surf_consistent", "sim_esp_consistent")])
+
+
+_PARTS = [f"SELECT fit_id, score FROM ({sql}) WHERE ref_id = 0" for sql in (_ratio_sql("surface", _esp(SHAPE_ALPHA, 0.3 * LAM_SCALING)), _pharm_sql(f"{TYPED}*{DIRECTED}"))]
+
+
+@query(f"SELECT label, esp, pharm, round(total, 5)+0.0 AS score FROM (SELECT label, e.score AS esp, p.score AS pharm, e.score+p.score AS total, row_number() OVER (PARTITION BY label ORDER BY e.score+p.score DESC, e.score DESC) AS place FROM ({_PARTS[0]}) e JOIN ({_PARTS[1]}) p USING (fit_id) JOIN embeddings ON vec_id = fit_id WHERE p.score IS NOT NULL) WHERE place = 1")
+def objective_esp_pharm(spark, sf_dir):
+    """The best conformer of each label by potential and features after alignment to molecule 0, here at the starting pose."""
+    rows = stand_in(spark, sf_dir)
+    out = evaluation.objective_of_conformers(rows.where("mol_id = 0"), rows, "label", num_repeats=1, max_num_steps=0)
+    return out.select("label", "esp", "pharm", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
 @query()
 def screen_aligned_topk(spark, sf_dir):
     panel, library = panel_and_library(spark, sf_dir)

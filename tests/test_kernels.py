@@ -45,6 +45,55 @@ def test_gradients_match_finite_differences(which):
     assert np.allclose(fd, (dq * way).sum(-1), atol=1e-5)
 
 
+def test_listed_pairs_equal_the_dense_sum():
+    rng = np.random.default_rng(4)
+    a, b, ma, mb, _ = clouds(4, 3, 9, 8)
+    ma[1, 5:] = 0
+    ta, tb = rng.integers(0, 9, ma.shape), rng.integers(0, 9, mb.shape)
+    ua, ub = (x / np.linalg.norm(x, axis=-1, keepdims=True) for x in (rng.normal(size=a.shape), rng.normal(size=b.shape)))
+    q = rng.normal(size=(3, 4, 4))
+    q, t = q / np.linalg.norm(q, axis=-1, keepdims=True), rng.normal(size=(3, 4, 3))
+    made = K.pharm_channel(a, b, ma, mb, ta, tb, ua, ub)
+    assert isinstance(made, K.PairChannel)
+    alphas, kinds = np.array(K.PHARM_ALPHAS), np.array([2 if i in K.ANTIPARALLEL else 1 if i in K.DIRECTIONAL else 0 for i in range(9)])
+    same = ((ta[:, :, None] == tb[:, None, :]) & (ta != K.DUMMY)[:, :, None]) * ma[:, :, None] * mb[:, None, :]
+    alpha = np.broadcast_to(alphas[ta][:, :, None], same.shape)
+    dense = K.Channel(a, b, alpha, same * K._scale(alpha), made.aa, made.bb, ua, ub, np.broadcast_to(kinds[ta][:, :, None], same.shape))
+    for x, y in zip(K.overlap(made, q, t), K.overlap(dense, q, t), strict=True):
+        assert np.allclose(x, y)
+
+
+def test_potential_agreement_and_its_gradients():
+    rng = np.random.default_rng(9)
+    sa, sb, pa_, pb = (rng.normal(size=(2, n, 3)) * s for n, s in ((7, 4.0), (6, 4.0), (4, 1.5), (5, 1.5)))
+    va, vb, ca, cb = (rng.normal(size=(2, n)) * 0.3 for n in (7, 6, 4, 5))
+    ra, rb, ms, mz, ma, mb = np.full((2, 4), 1.0), np.full((2, 5), 1.1), np.ones((2, 7)), np.ones((2, 6)), np.ones((2, 4)), np.ones((2, 5))
+    mz[0, -1] = mb[1, -1] = 0
+    score = K.esp_score(((sa, va, ms), (sb, vb, mz)), ((pa_, ca, ra, ma), (pb, cb, rb, mb)), 0.5, 0.05, 0.4)
+    q = rng.normal(size=(2, 3, 4))
+    q, t = q / np.linalg.norm(q, axis=-1, keepdims=True), rng.normal(size=(2, 3, 3))
+    value, dq, dt = score(q, t)
+    for k in range(2):  # by loops
+        for s in range(3):
+            m = K.matrices(q[k, s])
+            there, skin, total = pb[k] @ m.T + t[k, s], sb[k] @ m.T + t[k, s], 0.0
+            for points, own, real, atoms, charge, radius, amask in ((sa[k], va[k], ms[k], there, cb[k], rb[k], mb[k]), (skin, vb[k], mz[k], pa_[k], ca[k], ra[k], ma[k])):
+                for p, o, w in zip(points, own, real, strict=True):
+                    d = np.linalg.norm(atoms - p, axis=1)
+                    if w and all(x >= r + 0.5 for x, r, y in zip(d, radius, amask, strict=True) if y):
+                        v = K.COULOMB_SCALING * sum(c / x for c, x, y in zip(charge, d, amask, strict=True) if y)
+                        total += np.exp(-((o - v) ** 2) / (0.05 * K.LAM_SCALING))
+            assert np.isclose(value[k, s], 0.4 * total / (ms[k].sum() + mz[k].sum()))
+    h = 1e-6
+    for i in range(3):
+        e = np.eye(3)[i] * h
+        assert np.allclose((score(q, t + e)[0] - score(q, t - e)[0]) / (2 * h), dt[..., i], atol=1e-5)
+    way = rng.normal(size=q.shape)
+    way -= (way * q).sum(-1, keepdims=True) * q
+    assert np.allclose((score(q + h * way, t)[0] - score(q - h * way, t)[0]) / (2 * h), (dq * way).sum(-1), atol=1e-5)
+    assert np.abs(dt).max() > 1e-4
+
+
 def test_padding_has_no_effect():
     a, b, ma, mb, _ = clouds(1)
     mb[:, -2:] = 0

@@ -100,6 +100,34 @@ def test_aligned_screening_finds_moved_copies(spark):
     assert scoring.shape(library.where("mol_id = 1"), posed).first()["score"] == pytest.approx(r["score"])
 
 
+def test_preset_pairs_find_their_moved_copies(spark):
+    library = stand_in(spark, SF).where("mol_id < 6")
+    moved = profiles.transform(library, [F.lit(x) for x in (0.9, 0.2, -0.3, 0.1)], [F.lit(x) for x in (3.0, 0.0, -2.0)], ("atoms", "surface", "pharm"))
+    listed = library.select(F.col("mol_id").alias("ref_id"), F.col("mol_id").alias("fit_id"))
+    for center in (False, True):
+        rows = alignment.align_preset(listed, library, moved, "vol", center=center).collect()
+        assert len(rows) == 6 and all(r["score"] > 0.99 and len(r["transform"]) == 16 for r in rows)
+    combo = alignment.align_preset(listed, library, moved, "vol_and_surf_esp", lam=0.5).collect()
+    start = alignment.align_preset(listed, library, moved, "vol_and_surf_esp", lam=0.5, num_repeats=1, max_num_steps=0).collect()
+    assert np.mean([r["score"] for r in combo]) > np.mean([r["score"] for r in start])
+
+
+def test_scores_against_a_target_and_variants(spark):
+    rows = stand_in(spark, SF).where("mol_id < 5")
+    target = rows.where("mol_id = 0")
+    posed = {r["mol_id"]: r for r in evaluation.conditional(target, rows).collect()}
+    best = {r["mol_id"]: r for r in evaluation.conditional(target, rows, aligned=True).collect()}
+    assert len(posed) == len(best) == 5 and posed[0]["sim_surf_target"] == pytest.approx(1.0)
+    assert all(best[i]["sim_surf_target_aligned"] >= posed[i]["sim_surf_target"] - 1e-6 for i in best)
+    whole = evaluation.evaluate_all(target, rows, {"regen": rows, "relaxed": rows.where("mol_id < 3")})
+    got = {r["mol_id"]: r for r in whole.collect()}
+    assert got[1]["sim_esp_consistent_regen"] == pytest.approx(1.0) and got[4]["sim_surf_consistent_relaxed"] is None
+    again = evaluation.resampled_scores(rows, 3).collect()
+    assert len(again) == 5 * 3 and all(0 < r["score"] < 1 for r in again)
+    few = evaluation.objective_of_conformers(target, rows, "label").collect()
+    assert {r["label"] for r in few} <= {r["label"] for r in rows.collect()} and max(r["score"] for r in few) == pytest.approx(2.0, abs=0.02)
+
+
 def test_modes_registry():
     assert modes.canonical("esp") == "surf_esp" and modes.canonical("nothing") == "nothing"
     with pytest.raises(ValueError, match="unknown mode"):
@@ -166,6 +194,26 @@ def test_evaluation_keeps_failures(spark):
     assert evaluation.diversity(spark.createDataFrame([(1, 5)], "mol_id long, bits long")).first()["diversity"] is None
 
 
+def test_diversity_by_blocks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(i % 3 == 0), int(b)) for i, b in enumerate(rng.integers(0, 1 << 20, 60))] + [(100, 1, 0), (101, 1, 0), (102, 7, 5), (103, 0, None)]
+    prints = spark.createDataFrame(rows, "mol_id long, label int, bits long")
+
+    def mean(own):
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        return np.mean([1 - (a & b).bit_count() / (a | b).bit_count() for a, b in pairs if a | b]), len(pairs)
+
+    for block in (1000, 7):
+        got = {r["label"]: (r["diversity"], r["n_pairs"]) for r in evaluation.diversity(prints, group="label", block=block).collect()}
+        assert set(got) == {0, 1}  # one fingerprint makes no pair
+        for label, (diversity, n) in got.items():
+            want = mean([b for _, x, b in rows if x == label and b is not None])
+            assert (diversity, n) == (pytest.approx(want[0]), want[1])
+        whole = evaluation.diversity(prints, block=block).first()
+        assert whole["diversity"] == pytest.approx(mean([b for *_, b in rows if b is not None])[0])
+    assert evaluation.diversity(prints.limit(0)).first()["diversity"] is None
+
+
 def test_external_contracts(spark):
     rows = spark.createDataFrame([(0, "C"), (1, None)], "i long, smiles string")
     with pytest.raises(external.BackendNotInstalled):
