@@ -66,7 +66,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """Places with -1 for none."""
+    first, last = (F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_word", "last_word"))
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", first, last, "base_labels")
 
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +87,7 @@ PROJECTION_SQL = {
     "license_places": rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT r, i, {_LABEL} AS label FROM p WHERE {_PHRASE}),
         s AS (SELECT r, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, list_sort(list_distinct(list(label))) AS own FROM f GROUP BY 1)
-        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(array_to_string(own, ','), '') AS base_labels FROM t LEFT JOIN s USING (r)""",
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(coalesce(a, -1) AS BIGINT) AS first_word, CAST(coalesce(b, -1) AS BIGINT) AS last_word, coalesce(array_to_string(own, ','), '') AS base_labels FROM t LEFT JOIN s USING (r)""",
     "media_payloads": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents), p AS (SELECT *, greatest(({media.ROW} - n % {media.ROW}) % {media.ROW}, CASE WHEN n = 0 THEN {media.ROW} ELSE 0 END) AS pad FROM t)
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + pad AS BIGINT) AS payload_bytes, sha256(t || repeat(' ', CAST(pad AS BIGINT))) AS payload_sha256 FROM p""",
     "quality_counts": rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w FROM documents),
