@@ -2,6 +2,11 @@
 
 Quality rules and toxicity drop documents, near-dedup keeps one document of each class, substring dedup cuts repeated
 passages out of texts, and packing returns the pieces of what is left with their places in sequences.
+
+Defined cases: a null text counts as empty, and both fail the quality rules; very long texts go through whole; of rows
+that tie in a class the smallest id, then the least text, stays; repeated rows are one class; rows with a null doc_id
+take part, and their pieces have a null doc_id; further columns, whatever their names, ride along to the last stage,
+which returns pieces; empty tables, and tables without labels, give what the stages' own rules say of them.
 """
 
 from __future__ import annotations
