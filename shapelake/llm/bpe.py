@@ -27,6 +27,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,9 @@ class Vocabulary:
         self._library = None
         self.byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.tokens.update({i: t for t, i in self.special.items()})
-        self.numbers = {i: str(i) for i in self.tokens}
+        size = max(self.tokens, default=-1) + 1
+        self.own_ints = list(range(size))  # one object an id, however often it occurs
+        self.numbers, self.token_at = [str(i) for i in range(size)], [self.tokens.get(i, "") for i in range(size)]
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.first = [self.ids[letter] for letter in byte_letters()]
         self.last = [self.ids[letter + SUFFIX] for letter in byte_letters()]
@@ -141,7 +144,7 @@ class Vocabulary:
             live = low < none
             if not live.all():
                 kept = np.repeat(live, length)
-                flat = own[~kept].tolist()
+                flat = list(map(self.own_ints.__getitem__, own[~kept].tolist()))
                 at = 0
                 for i, n in zip(number[~live].tolist(), length[~live].tolist(), strict=True):
                     out[i] = flat[at : at + n]
@@ -226,6 +229,11 @@ def chunks(text: str) -> list[str]:
     return text.split() if EXTRA.search(text) is None else [c for c in BLANKS.split(text) if c]
 
 
+def words_of(chunk: str) -> list[str]:
+    """The words of a chunk. Letters alone (general category L, as in the pattern) are one word."""
+    return [chunk] if chunk.isalpha() else WORDS.findall(chunk)
+
+
 # ---------------------------------------------------------------- automaton
 
 
@@ -292,11 +300,10 @@ class Automaton:
         if not words or len(self.keys) == 0:
             return np.full(len(words), -1)
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        odd = np.fromiter((b"\0" in w for w in words), dtype=bool, count=len(words))
         width = min(64, int(length.max()))
         letters = np.array([w[:width] for w in words], dtype=f"S{width}").view(np.uint8).reshape(len(words), width)
         state, rank = np.full(len(words), self.root), np.zeros(len(words), dtype=np.int64)
-        live = (length <= 64) & (length > 0) & ~odd
+        live = (length <= 64) & (length > 0)  # a zero byte leads nowhere, as no word held has one
         for step in range(width):
             rows = np.flatnonzero(live & (length > step))
             if len(rows) == 0:
@@ -310,8 +317,13 @@ class Automaton:
         live &= self.final[state].astype(bool)
         return np.where(live, rank, -1)
 
-    def word_ids(self, rank: int) -> list[int]:
-        return self.ids[self.ends[rank] : self.ends[rank + 1]].tolist()
+    def word_ids(self, ranks: np.ndarray, ints: list[int]) -> list[list[int]]:
+        """The ids of the words of some ranks, read from the map in one go; ``ints`` holds the number i at place i."""
+        start, length = self.ends[ranks], self.ends[ranks + 1] - self.ends[ranks]
+        to = np.cumsum(length)
+        flat = self.ids[np.repeat(start - to + length, length) + np.arange(int(length.sum()))].tolist()
+        flat = list(map(ints.__getitem__, flat))
+        return [flat[b - n : b] for b, n in zip(to.tolist(), length.tolist(), strict=True)]
 
 
 # ---------------------------------------------------------------- texts
@@ -322,64 +334,67 @@ class Coder:
 
     def __init__(self, source: bytes, image: bytes | None = None, most: int = 200_000):
         self.vocabulary, self.automaton, self.most = Vocabulary(source), Automaton(image) if image else None, most
-        self.ids_of: dict[str, str] = {}  # chunk -> its ids, joined by blanks
-        self.older: dict[str, str] = {}  # those of the last generation, taken over again when met
-        self.token_of = {number: self.vocabulary.tokens[i] for i, number in self.vocabulary.numbers.items()}
+        self.ids_of: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}  # those of the last generation, taken over again when met
         self.merged = self.found = 0
 
     def _ids(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of some distinct words: one walk for all of them, merging for those that are not held."""
         ranks = self.automaton.ranks([w.encode("utf-8", "surrogatepass") for w in words]) if self.automaton else np.full(len(words), -1)
-        ids = {w: self.automaton.word_ids(r) for w, r in zip(words, ranks.tolist(), strict=True) if r >= 0}
-        unseen = [w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0]
+        held = ranks >= 0
+        seen, unseen = ([w for w, h in zip(words, held.tolist(), strict=True) if h == kind] for kind in (True, False))
+        ids = dict(zip(seen, self.automaton.word_ids(ranks[held], self.vocabulary.own_ints), strict=True)) if seen else {}
         ids.update(zip(unseen, self.vocabulary.merge_all(unseen), strict=True))
-        self.found, self.merged = self.found + int((ranks >= 0).sum()), self.merged + int((ranks < 0).sum())
+        self.found, self.merged = self.found + len(seen), self.merged + len(unseen)
         return ids
 
     def _learn(self, fresh: list[str]) -> None:
-        split = [WORDS.findall(c) for c in fresh]
-        ids, number = self._ids(list(dict.fromkeys(w for own in split for w in own))), self.vocabulary.numbers.__getitem__
-        for chunk, own in zip(fresh, split, strict=True):
-            self.ids_of[chunk] = " ".join(map(number, ids[own[0]] if len(own) == 1 else [i for w in own for i in ids[w]]))
+        split = [words_of(c) for c in fresh]
+        ids = self._ids(list(dict.fromkeys(chain.from_iterable(split))))
+        self.ids_of.update(zip(fresh, [ids[own[0]] if len(own) == 1 else [i for w in own for i in ids[w]] for own in split], strict=True))
 
     def _prepare(self, every: set[str]) -> None:
         """Sees to it that all these chunks are known. What was met lately outlives a change of generation."""
         if len(self.ids_of) + len(every) > self.most:
             self.older, self.ids_of = self.ids_of, {}
-        fresh = every - self.ids_of.keys()
-        for c in (met := fresh & self.older.keys()):
-            self.ids_of[c] = self.older[c]
+        fresh = every.difference(self.ids_of)  # of a dict, this looks up each of ``every``; of its keys, it walks the dict
+        new = fresh.difference(self.older)
+        self.ids_of.update((c, self.older[c]) for c in fresh - new)
         gc.disable()  # nothing here is cyclic, and full collections would walk every word each time
         try:
-            self._learn(list(fresh - met))
+            self._learn(list(new))
         finally:
             gc.enable()
 
-    def _unusual(self, text: str) -> str:
+    def _unusual(self, text: str) -> list[int]:
         """The ids of a text that holds special tokens or characters outside PLAIN."""
         cut, out = self.vocabulary.special_cut, []
         for k, part in enumerate(cut.split(text) if cut else [text]):
             if k % 2:  # special tokens stand at odd places
-                out.append(str(self.vocabulary.special[part]))
+                out.append(self.vocabulary.special[part])
             elif part:
-                words = [w for c in chunks(normalise(part)) for w in WORDS.findall(c)] if plain(part) else self.vocabulary.library_words(part)
+                words = [w for c in chunks(normalise(part)) for w in words_of(c)] if plain(part) else self.vocabulary.library_words(part)
                 ids = self._ids(list(dict.fromkeys(words)))
-                out += [self.vocabulary.numbers[i] for w in words for i in ids[w]]
-        return " ".join(out)
+                out += [i for w in words for i in ids[w]]
+        return out
 
-    def encode_all(self, texts: list[str]) -> list[str]:
-        """The ids of each text, joined by single blanks."""
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         split = [chunks(normalise(t)) if "<|" not in t and plain(t) else None for t in texts]
         self._prepare(set().union(*(own for own in split if own is not None)))
         known = self.ids_of.__getitem__
-        return [" ".join(map(known, own)) if own is not None else self._unusual(t) for t, own in zip(texts, split, strict=True)]
+        return [list(chain.from_iterable(map(known, own))) if own is not None else self._unusual(t) for t, own in zip(texts, split, strict=True)]
+
+    def written(self, ids: list[int]) -> str:
+        """Decimal ids joined by blanks."""
+        return " ".join(map(self.vocabulary.numbers.__getitem__, ids))
 
-    def decoded(self, ids: str) -> str:
-        """The text of ids joined by blanks: tokens joined by blanks, as the vocabulary file names no decoder."""
-        return " ".join(map(self.token_of.__getitem__, ids.split()))
+    def decoded(self, ids: list[int]) -> str:
+        """The text of the vocabulary's own ids: tokens joined by blanks, as the vocabulary file names no decoder."""
+        return " ".join(map(self.vocabulary.token_at.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_all([text])[0].split()]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks: the vocabulary file names no decoder. Unknown ids are skipped."""
@@ -405,10 +420,10 @@ def frequent_words(docs: DataFrame, most: int = 131_072, flush: int = 400_000, i
         counted: Counter = Counter()
 
         def emit():
-            words: Counter = Counter()
+            words: dict[str, int] = {}
             for chunk, n in counted.items():
-                for word in WORDS.findall(chunk):
-                    words[word] += n
+                for word in words_of(chunk):
+                    words[word] = words.get(word, 0) + n
             counted.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -453,7 +468,7 @@ def digests(docs: DataFrame, vocabulary_path: str, most: int = 131_072, id_col:
         coder, texts, out = _coder(*shared.value), texts_of(batch), []
         for at in range(0, len(texts), 512):
             for ids in coder.encode_all(texts[at : at + 512]):
-                out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decoded(ids).encode()).hexdigest()))
+                out.append((len(ids), hashlib.sha256(coder.written(ids).encode()).hexdigest(), hashlib.sha256(coder.decoded(ids).encode()).hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string()], strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -469,7 +484,7 @@ def encode_docs(docs: DataFrame, vocabulary_path: str, most: int = 131_072, id_c
         out = []
         for at in range(0, len(texts), 512):
             got = coder.encode_all(texts[at : at + 512])
-            out.append(pa.RecordBatch.from_arrays([ids.slice(at, len(got)), pa.array([[int(i) for i in a.split()] for a in got], pa.list_(pa.int32())), pa.array(map(coder.decoded, got), pa.string())], names=["doc_id", "ids", "decoded"]))
+            out.append(pa.RecordBatch.from_arrays([ids.slice(at, len(got)), pa.array(got, pa.list_(pa.int32())), pa.array(map(coder.decoded, got), pa.string())], names=["doc_id", "ids", "decoded"]))
         return out
 
     return map_batches(text_rows(docs, id_col, text_col), rows, ENCODED)
