@@ -1,16 +1,21 @@
-"""A store of molecule profiles: Parquet files and a manifest, written with Spark's own atomic commit."""
+"""A store of molecule profiles: a manifest, then Parquet files, written with Spark's own atomic commit.
+
+The manifest holds what is known before the first row, the schema included, and never changes. So a store whose build was
+killed opens with the rows that were committed, and writers that append at once don't disturb each other.
+"""
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shapelake.modes import columns_for, mode
 
-VERSION = 1
+VERSION = 2
 PHYSICAL = {"atoms": "atoms", "charges": "atoms", "surface": "surface", "esp": "surface", "atoms_with_h": "atoms", "charges_with_h": "atoms", "radii": "atoms", "pharm": "pharm"}
 
 
@@ -22,7 +27,8 @@ class Manifest:
     num_surf_points: int | None
     dtype: str
     pre_centered: bool
-    n: int
+    schema: str
+    n: int = 0  # counted on opening, from the files' footers
 
 
 def write(profiles: DataFrame, path: str, *, modes: list[str], num_surf_points: int | None = None, dtype: str = "float32", shard_size: int = 100_000, pre_centered: bool = True, overwrite: bool = False, id_col: str = "mol_id") -> Manifest:
@@ -45,11 +51,13 @@ def write(profiles: DataFrame, path: str, *, modes: list[str], num_surf_points:
     rows = rows.select(F.col(id_col).cast("string").alias("id"), *physical)
     for c in physical:
         rows = rows.withColumn(c, F.transform(c, _at_rest(rows.schema[c].dataType.elementType, dtype)))
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("maxRecordsPerFile", shard_size).parquet(f"{path}/profiles")
-    spark = profiles.sparkSession
-    manifest = Manifest(VERSION, list(modes), sorted(wanted), num_surf_points, dtype, pre_centered, spark.read.parquet(f"{path}/profiles").count())
-    spark.createDataFrame([(json.dumps(asdict(manifest)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    return manifest
+    how, spark = "overwrite" if overwrite else "errorifexists", profiles.sparkSession
+    manifest = Manifest(VERSION, list(modes), sorted(wanted), num_surf_points, dtype, pre_centered, rows.schema.json())
+    kept = {k: v for k, v in asdict(manifest).items() if k != "n"}
+    spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode(how).text(f"{path}/manifest")
+    spark.createDataFrame([], rows.schema).write.mode(how).parquet(f"{path}/profiles")
+    rows.write.mode("append").option("maxRecordsPerFile", shard_size).parquet(f"{path}/profiles")
+    return open_store(spark, path)[1]
 
 
 def _at_rest(fields, dtype: str):
@@ -75,7 +83,8 @@ def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, Manifest]:
     manifest = Manifest(**json.loads(spark.read.text(f"{path}/manifest").first()[0]))
     if manifest.version != VERSION:
         raise ValueError(f"store version {manifest.version}, expected {VERSION}")
-    return spark.read.parquet(f"{path}/profiles"), manifest
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(manifest.schema))).parquet(f"{path}/profiles")
+    return rows, replace(manifest, n=rows.count())
 
 
 def for_mode(store: tuple[DataFrame, Manifest], name: str) -> DataFrame:
@@ -95,8 +104,6 @@ def shard(store: tuple[DataFrame, Manifest], file: str) -> DataFrame:
 def append(profiles: DataFrame, path: str, id_col: str = "mol_id") -> None:
     """More profiles, in the store's own columns."""
     spark = profiles.sparkSession
-    rows, manifest = open_store(spark, path)
+    rows, _ = open_store(spark, path)
     out = profiles.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "id"])
     out.write.mode("append").parquet(f"{path}/profiles")
-    changed = Manifest(**{**asdict(manifest), "n": manifest.n + out.count()})
-    spark.createDataFrame([(json.dumps(asdict(changed)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")

@@ -18,17 +18,19 @@ TARGETS = (
     ("5mo4", -44.901709677419355, 20.490354838709674, 8.483354838709678, 15, "c1cc(ccc1NC(=O)c2cc(c(nc2)N3CC[C@H](C3)O)c4ccn[nH]4)OC(F)(F)Cl", 7.5),
     ("7l11", -21.814812500000006, -4.216062499999999, -27.983781250000, 15, "CCCOc1cc(cc(c1)Cl)C2=CC(=CN(C2=O)c3cccnc3)c4ccccc4C#N", 6.0),
 )
-SKIPPED_KEYS = ("file_id", "ref_molblock", "num_generated")
+#: Arrays of an archive that are not per row. Fixed values.
+SKIPPED_KEYS = ("ref_surf_resampling_scores", "ref_surf_esp_resampling_scores", "ref_mol_morgan_fp")
 
 
 def targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t[0], *t[1:4], t[4], t[5], t[6]) for t in TARGETS], "pdb_id string, cx double, cy double, cz double, size int, ligand string, ph double")
 
 
-def read_archives(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(file, row, name, value) of .npz archives, in long form: 0-d values repeat, 1-d ones of the common length line up.
+def read_archives(spark: SparkSession, path: str, skip: tuple[str, ...] = SKIPPED_KEYS, below: int = 50) -> DataFrame:
+    """(file, row, name, value) of .npz archives, in long form: 0-d values repeat, 1-d ones line up.
 
-    The row count is the archive's most frequent 1-d length; arrays of any other length are an error.
+    The row count is the length of the archive's first 1-d array with fewer than ``below`` values; an archive without
+    one is an error, and so is an array of another length or dimension that is not skipped.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -39,21 +41,24 @@ def read_archives(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) ->
             rows = []
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 with np.load(io.BytesIO(content), allow_pickle=False) as archive:
-                    arrays = {k: archive[k] for k in archive.files if k not in skip}
-                lengths = [len(a) for a in arrays.values() if a.ndim]
-                n = max(set(lengths), key=lambda x: (lengths.count(x), x)) if lengths else 1
+                    every = {k: archive[k] for k in archive.files}
+                n = next((len(a) for a in every.values() if a.ndim == 1 and len(a) < below), None)
+                if n is None:
+                    raise ValueError(f"{name}: no 1-d array of fewer than {below} values")
+                arrays = {k: a for k, a in every.items() if k not in skip}
                 for k, a in arrays.items():
-                    if a.ndim and len(a) != n:
-                        raise ValueError(f"{name}: {k} has {len(a)} values, expected {n}")
+                    if a.ndim > 1 or (a.ndim and len(a) != n):
+                        raise ValueError(f"{name}: {k} is of shape {a.shape}, expected {n} values or one")
                     rows += [(name, i, k, str(v)) for i, v in enumerate(a.tolist() if a.ndim else [a.item()] * n)]
             yield pd.DataFrame(rows, columns=["file", "row", "name", "value"])
 
     return files.mapInPandas(run, "file string, row int, name string, value string")
 
 
-def wide(archives: DataFrame, names: list[str]) -> DataFrame:
-    """One row per archive row, the named arrays as columns."""
-    return archives.groupBy("file", "row").pivot("name", names).agg(F.first("value"))
+def wide(archives: DataFrame, names: list[str] | dict[str, str]) -> DataFrame:
+    """One row per archive row, the named arrays as columns: strings, or of the types that a mapping gives."""
+    out = archives.groupBy("file", "row").pivot("name", list(names)).agg(F.first("value"))
+    return out.select("file", "row", *[F.col(n).cast(names[n]).alias(n) for n in names]) if isinstance(names, dict) else out
 
 
 def apo_records(spark: SparkSession, path: str) -> DataFrame:

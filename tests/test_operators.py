@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +156,9 @@ def test_profile_store(spark, tmp_path):
         profile_store.for_mode(store, "surf")
     profile_store.append(rows.limit(2), path)
     assert profile_store.open_store(spark, path)[1].n == 9
+    shutil.rmtree(f"{path}/profiles")  # a build that was killed before its first commit
+    (tmp_path / "store" / "profiles" / "_temporary").mkdir(parents=True)
+    assert profile_store.open_store(spark, path)[1].n == 0 and profile_store.for_mode(profile_store.open_store(spark, path), "vol").columns == ["id", "atoms"]
     half = profile_store.write(rows, str(tmp_path / "half"), modes=["vol"], dtype="float16")
     assert half.pre_centered
     x = [a["x"] for r in profile_store.open_store(spark, str(tmp_path / "half"))[0].collect() for a in r["atoms"]]
@@ -171,10 +176,15 @@ def test_xyz_round_trip_and_breaks(spark, tmp_path):
 
 
 def test_archives(spark, tmp_path):
-    np.savez(tmp_path / "a.npz", score=np.array([1.0, 2.0]), name=np.array("x"))
+    np.savez(tmp_path / "a.npz", ref_mol_morgan_fp=np.zeros(64), score=np.array([1.0, 2.0]), name=np.array("x"))
     rows = tables.read_archives(spark, f"{tmp_path}/*.npz")
     assert {(r["row"], r["name"], r["value"]) for r in rows.collect()} == {(0, "score", "1.0"), (1, "score", "2.0"), (0, "name", "x"), (1, "name", "x")}
     assert tables.wide(rows, ["name", "score"]).count() == 2
+    assert sorted(r["score"] for r in tables.wide(rows, {"name": "string", "score": "double"}).collect()) == [1.0, 2.0]
+    for arrays in ({"a": np.zeros(60), "b": np.array(1)}, {"a": np.zeros(3), "b": np.zeros(4)}, {"a": np.zeros(3), "b": np.zeros((3, 2))}):
+        np.savez(tmp_path / "bad.npz", **arrays)
+        with pytest.raises(Exception, match="bad.npz"):
+            tables.read_archives(spark, f"{tmp_path}/bad.npz").collect()
 
 
 def test_evaluation_keeps_failures(spark):
