@@ -15,7 +15,7 @@ from shapelake.constants import LAM_SCALING, SHAPE_ALPHA
 from shapelake.functions.vectors import transform_matrix
 from shapelake.modes import canonical, resolve
 from shapelake.operators import kernels as K
-from shapelake.operators import profiles
+from shapelake.operators import molecules
 from shapelake.operators.clouds import cloud, panel_pairs
 
 POSE = "ref_id long, fit_id long, score double, qw double, qx double, qy double, qz double, tx double, ty double, tz double"
@@ -40,10 +40,11 @@ def _needs(mode: str) -> list[str]:
 FIELDS = {"atoms": ["x", "y", "z", "q", "radius"], "surface": ["x", "y", "z", "q"], "pharm": ["ptype", "x", "y", "z", "vx", "vy", "vz"]}
 
 
-def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float | None, seeds: int, steps: int, lr: float, weight: float, probe: float, similarity: str = "tanimoto", trans_init: bool = False, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float | None, seeds: int, steps: int, lr: float, weight: float, probe: float, similarity: str = "tanimoto", trans_init: bool = False, coarse: int | None = None, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best score, quaternion and shift for each pair of a chunk. ref and fit: column -> (mask, fields).
 
-    ``trans_init`` adds ten turns about each reference point; ``avoid`` names reference points that cost where the
+    ``trans_init`` adds ten turns about each reference point. ``coarse`` scores a grid of poses, ten a seed (or those of
+    ``trans_init``), and searches on from so many of the best. ``avoid`` names reference points that cost where the
     fit's atoms come nearer than ``avoid_min_dist`` (scores can then fall below 0).
     """
     main = "surface" if mode.startswith("surf") else "pharm" if mode == "pharm" else "atoms"
@@ -53,7 +54,7 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
     def poses(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(x) or not len(y):
             return np.array([[1.0, 0, 0, 0]]), np.zeros((1, 3))
-        return K.seeds_at(x, y, x) if trans_init else K.seeds(x, y, seeds)
+        return K.seeds_at(x, y, x) if trans_init else K.coarse_grid(x, y, seeds) if coarse else K.seeds(x, y, seeds)
 
     start = [poses(x[m > 0], y[n > 0]) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
     count = max(len(s[0]) for s in start)  # pairs with fewer poses repeat their first
@@ -81,23 +82,26 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
         def penalty(q, t):
             return tuple(avoid_weight * x for x in K.clash(spots, mv, own, mf, avoid_min_dist, q, t))
 
-    return K.optimise(K.channel_score(channels, similarity, penalty, bonus), q, t, steps, lr)
+    score = K.channel_score(channels, similarity, penalty, bonus)
+    if coarse:
+        q, t = K.best_poses(score, q, t, coarse)
+    return K.optimise(score, q, t, steps, lr)
 
 
-def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, lam: float | None = None, num_repeats: int | None = None, max_num_steps: int | None = None, lr: float = 0.1, weight: float = 0.5, probe: float = 1.0, similarity: str = "tanimoto", trans_init: bool = False, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> DataFrame:
+def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, lam: float | None = None, num_repeats: int | None = None, max_num_steps: int | None = None, lr: float = 0.1, weight: float = 0.5, probe: float = 1.0, similarity: str = "tanimoto", trans_init: bool = False, coarse: int | None = None, avoid: str | None = None, avoid_min_dist: float = 2.0, avoid_weight: float = 1.0) -> DataFrame:
     """Best pose of every pair (ref_id, fit_id, ref_<column>, fit_<column>), as score, quaternion and shift."""
     name = canonical(mode)
     alpha = SHAPE_ALPHA if alpha is None else alpha
     lam = {"vol_esp": 0.1, "surf_esp": 0.3, "vol_and_surf_esp": 0.001}.get(name) if lam is None else lam
     spec = resolve(name, alpha, lam)
     options = {"alpha": alpha, "lam": lam, "seeds": num_repeats or spec.seeds, "steps": spec.steps if max_num_steps is None else max_num_steps, "lr": lr, "weight": weight, "probe": probe}
-    options |= {"similarity": similarity, "trans_init": trans_init, "avoid": avoid, "avoid_min_dist": avoid_min_dist, "avoid_weight": avoid_weight}
+    options |= {"similarity": similarity, "trans_init": trans_init, "coarse": coarse, "avoid": avoid, "avoid_min_dist": avoid_min_dist, "avoid_weight": avoid_weight}
     columns = list(dict.fromkeys([*_needs(name), *([avoid, "atoms"] if avoid else [])]))
 
     def run(batches):
         for batch in batches:
             sides = [{c: _cloud(batch.column(f"{side}_{c}"), FIELDS[c]) for c in columns} for side in ("ref", "fit")]
-            work = options["seeds"] * max(s.shape[1] for s in (sides[0][c][0] for c in columns)) * max(s.shape[1] for s in (sides[1][c][0] for c in columns))
+            work = options["seeds"] * (10 if coarse else 1) * max(s.shape[1] for s in (sides[0][c][0] for c in columns)) * max(s.shape[1] for s in (sides[1][c][0] for c in columns))
             if name == "vol_and_surf_esp":  # its slopes hold three numbers for each surface point and atom
                 work *= 3
             step = max(1, CHUNK // (8 * work))
@@ -125,15 +129,11 @@ def align_preset(pairs: DataFrame, refs: DataFrame, fits: DataFrame, mode: str =
     """Best pose of each listed pair (ref_id, fit_id) of molecules from two tables, with its 4 x 4 transform.
 
     A pair is listed once; the molecules meet it by equi-joins, so a table of any size is dealt by molecule. ``center``
-    moves each molecule to the mean of its own atoms first, and the pose is between the centered ones.
+    moves each molecule to the mean of its own heavy atoms first, and the pose is between the centered ones.
     """
     more = [options["avoid"], "atoms"] if options.get("avoid") else []
     columns = list(dict.fromkeys([*_needs(canonical(mode)), *more]))
-    made = pairs.select("ref_id", "fit_id")
-    for side, rows in (("ref", refs), ("fit", fits)):
-        own = profiles.center(rows, "atoms", tuple(columns)) if center else rows
-        made = made.join(own.select(F.col("mol_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}_id")
-    return with_transform(align(made, mode, **options))
+    return with_transform(align(molecules.paired(pairs, refs, fits, tuple(columns), center), mode, **options))
 
 
 def with_transform(poses: DataFrame) -> DataFrame:

@@ -132,6 +132,24 @@ def seeds_at(ref: np.ndarray, fit: np.ndarray, centers: np.ndarray, per_center:
     return np.concatenate([q, *([turns] * len(centers))]), np.concatenate([t, *(c - shift for c in centers)])
 
 
+def coarse_grid(ref: np.ndarray, fit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ten poses a seed: the seed and its half turns about x, y, z and about z by way of x and y, each with the first
+    seed's shift and with the fit's centroid on the reference point farthest from the origin."""
+    q, t = seeds(ref, fit, n)
+    x, y, z = np.eye(4)[1:]
+    turns = np.concatenate([q, *(product(half[None], q) for half in (x, y, z, product(x, y)))])
+    tip = ref[np.linalg.norm(ref, axis=1).argmax()]
+    shifts = np.stack([t[0], tip - fit.mean(axis=0)])
+    return np.repeat(turns, 2, axis=0), np.tile(shifts, (len(turns), 1))
+
+
+def best_poses(score, q: np.ndarray, t: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` poses of each pair that score best where they stand, the first of equals."""
+    q = q / np.linalg.norm(q, axis=-1, keepdims=True)
+    at = np.argsort(-score(q, t)[0], axis=1, kind="stable")[:, :keep, None]
+    return np.take_along_axis(q, at, axis=1), np.take_along_axis(t, at, axis=1)
+
+
 # ---------------------------------------------------------------- overlaps
 
 

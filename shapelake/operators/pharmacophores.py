@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.functions import vectors as V
 from shapelake.functions.vectors import fibonacci_point, square_distance
 
 RING_TYPES = (2, 3)  # aromatic, hydrophobe
@@ -116,6 +117,70 @@ def halogen_directions(at: np.ndarray, neighbour: np.ndarray) -> list[np.ndarray
     return [_unit(at - neighbour)]
 
 
+def _mean_way(ways: Column) -> Column:
+    """Normalised mean of an array of directions; the zero vector where they cancel."""
+    mean = V.unit(V.vec(*(F.aggregate(ways[c], F.lit(0.0), lambda s, x: s + x) for c in "xyz")))
+    return V.vec(*(F.coalesce(mean[c], F.lit(0.0)) for c in "xyz"))
+
+
+def _turned_by(v: Column, axis: Column, degrees: float) -> Column:
+    k, a = V.unit(axis), float(np.radians(degrees))
+    side = V.cross(k, v)
+    return V.vec(*(v[c] * np.cos(a) + side[c] * np.sin(a) + k[c] * V.dot(k, v) * (1 - np.cos(a)) for c in "xyz"))
+
+
+def directions(features: DataFrame) -> DataFrame:
+    """(mol_id, idx, kind, ways): the directions of each feature, by the rules of the functions above, as Columns.
+
+    features (mol_id, idx, kind, element, at, near, beyond, hydrogens): ``near`` holds the ring's atoms of an aromatic, the
+    hydrogens of a donor, the neighbours of an acceptor or halogen; ``beyond`` is NULL or an atom past the only
+    neighbour. No ways: the feature is dropped by its reader. Other kinds have none.
+    """
+    rows = features.withColumn("_ways", F.transform("near", lambda n: V.unit(V.vec(*(n[c] - F.col("at")[c] for c in "xyz")))))
+    ways, n, none = F.col("_ways"), F.size("near"), F.array().cast("array<struct<x:double,y:double,z:double>>")
+    first, minus = F.get(ways, F.lit(0)), F.lit(-1.0)
+    away = V.scaled(first, minus)
+    normal = V.unit(V.cross(*(V.vec(*(F.get("near", F.lit(i))[c] - F.col("at")[c] for c in "xyz")) for i in (0, 1))))
+    opposite = V.scaled(_mean_way(ways), minus)
+    long_enough = V.norm(V.vec(*(F.aggregate(ways[c], F.lit(0.0), lambda s, x: s + x) / 3 for c in "xyz"))) > 0.1
+    plane = V.cross(first, V.vec(*(F.col("beyond")[c] - F.get("near", F.lit(0))[c] for c in "xyz")))
+    flat = F.coalesce(V.norm(plane), F.lit(0.0)) < 1e-9
+    between = V.vec(*(first[c] - F.get(ways, F.lit(1))[c] for c in "xyz"))
+    nitrogen = F.when(n.isin(1, 2) | ((n == 3) & long_enough), F.array(opposite)).otherwise(none)
+    oxygen = (
+        F.when((n == 1) & flat, F.array(away))
+        .when(n == 1, F.array(*(_turned_by(first, plane, d) for d in (120, -120))))
+        .when(n == 2, F.array(*(_turned_by(opposite, between, d) for d in (54.5, -54.5))))
+        .otherwise(none)
+    )
+    other = F.when((n > 0) & (F.coalesce("hydrogens", F.lit(0)) == 0), F.array(away)).otherwise(none)
+    acceptor = F.when(F.col("element") == "N", nitrogen).when(F.col("element") == "O", oxygen).otherwise(other)
+    found = (
+        F.when((F.col("kind") == "aromatic") & (n > 1), F.array(normal, V.scaled(normal, minus)))
+        .when(F.col("kind") == "donor", ways)
+        .when(F.col("kind") == "acceptor", acceptor)
+        .when((F.col("kind") == "halogen") & (n > 0), F.array(away))
+        .otherwise(none)
+    )
+    return rows.select("mol_id", "idx", "kind", found.alias("ways"))
+
+
+def hydrophobes(rows: DataFrame, points: str = "points", reach: float = 2.0) -> DataFrame:
+    """(mol_id, cluster, size, x, y, z): a molecule's points merged by ``cluster_once``, each cluster at its centroid.
+
+    In that pass a point ends with the label that its last near predecessor has, so one fold over the row's array does.
+    """
+
+    def label(done: Column, j: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(0), j), lambda i: (i < j) & (F.sqrt(square_distance(F.get(points, i), F.get(points, j))) <= reach))
+        return F.array_append(done, F.coalesce(F.get(done, F.array_max(near)), j))
+
+    numbers = F.filter(F.sequence(F.lit(0), F.size(points)), lambda j: j < F.size(points))
+    labelled = rows.where(F.size(points) > 0).select("mol_id", points, F.aggregate(numbers, F.array().cast("array<int>"), label).alias("_labels"))
+    each = labelled.select("mol_id", F.inline(F.transform(points, lambda p, i: F.struct(F.get("_labels", i).alias("cluster"), *[p[c].alias(c) for c in "xyz"]))))
+    return each.groupBy("mol_id", "cluster").agg(F.count("*").cast("int").alias("size"), *[F.avg(c).alias(c) for c in "xyz"])
+
+
 def cluster_once(points: np.ndarray, reach: float = 2.0) -> np.ndarray:
     """Labels of a single forward pass: every later point within reach takes the present point's label.
 

@@ -179,16 +179,22 @@ def _slices(mask: np.ndarray, numbers: int, most: int = 4_000_000) -> list[slice
     return [slice(at, at + step) for at in range(0, len(mask), step)]
 
 
+def smooth_slices(column: pa.Array, n: int | None, probe: float, per_atom: int, sharpness: float):
+    """Slices of a column of nested atoms, each with the (row in the slice, rank, place) of its smooth surfaces' points."""
+    atoms = cloud(column, ["x", "y", "z", "radius"])
+    centers, radii = xyz(atoms), atoms[1]["radius"]
+    per_row = int((np.ceil((per_atom * radii / 1.7) ** 2) * atoms[0]).sum(axis=1).max(initial=1)) * radii.shape[1] * 4
+    for rows in _slices(radii, per_row):
+        yield rows, *smooth_batch(centers[rows], radii[rows], atoms[0][rows], n, probe, per_atom, sharpness)
+
+
 def smooth_surface(profiles: DataFrame, n: int = 100, probe: float = 1.2, per_atom: int = 10, sharpness: float = 2.0) -> DataFrame:
     """(mol_id, idx, x, y, z) of each molecule's smooth surface. A molecule is one row: no shuffle."""
 
     def run(batches):
         for batch in batches:
-            atoms = cloud(batch.column("atoms"), ["x", "y", "z", "radius"])
-            mols, centers, radii = batch.column("mol_id").to_numpy(zero_copy_only=False), xyz(atoms), atoms[1]["radius"]
-            per_row = int((np.ceil((per_atom * radii / 1.7) ** 2) * atoms[0]).sum(axis=1).max(initial=1)) * radii.shape[1] * 4
-            for rows in _slices(radii, per_row):
-                m, rank, p = smooth_batch(centers[rows], radii[rows], atoms[0][rows], n, probe, per_atom, sharpness)
+            mols = batch.column("mol_id").to_numpy(zero_copy_only=False)
+            for rows, m, rank, p in smooth_slices(batch.column("atoms"), n, probe, per_atom, sharpness):
                 yield pa.RecordBatch.from_arrays([pa.array(mols[rows][m]), pa.array(rank.astype(np.int32)), *(pa.array(p[:, i].copy()) for i in range(3))], names=["mol_id", "idx", "x", "y", "z"])
 
     return profiles.select(F.col("mol_id").cast("long").alias("mol_id"), "atoms").mapInArrow(run, "mol_id long, idx int, x double, y double, z double")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shapelake.constants import ANTIPARALLEL, BAD_CHARGES, COULOMB_SCALING, DIRECTIONAL, DUMMY, LAM_SCALING, SHAPE_ALPHA, TVERSKY_SIGMA, kernel_scale
 from shapelake.functions import vectors as V
-from shapelake.operators import alignment, conformers, diagnostics, evaluation, interactions, overlap, pharmacophores, profiles, scoring, screening, surfaces
+from shapelake.operators import alignment, conformers, diagnostics, evaluation, interactions, molecules, overlap, pharmacophores, profiles, scoring, screening, surfaces
 from shapelake.sources import tables as other_tables
 from shapelake.sources import xyz
 from shapelake.sources.stand_in import DUCK
@@ -698,6 +698,62 @@ def clustered_features(spark, sf_dir):
     return pharmacophores.cluster_features(stand_in(spark, sf_dir), 4.0, keep_single=True)
 
 
+@query(
+    f"""WITH RECURSIVE {DUCK['atoms']}, p AS (SELECT b.mol_id, b.idx, b.x, b.y, b.z, max(a.idx) AS prev FROM atoms b LEFT JOIN atoms a ON a.mol_id = b.mol_id AND a.idx < b.idx AND sqrt({R2}) <= 4.0 GROUP BY ALL),
+    r AS (SELECT mol_id, idx, x, y, z, idx AS root FROM p WHERE prev IS NULL UNION ALL SELECT p.mol_id, p.idx, p.x, p.y, p.z, r.root FROM p JOIN r ON p.mol_id = r.mol_id AND p.prev = r.idx)
+    SELECT mol_id, root::INTEGER AS cluster, count(*)::INTEGER AS size, """
+    + ", ".join(f"round(avg({c}), 6)+0.0 AS {c}" for c in "xyz")
+    + " FROM r GROUP BY 1, 2"
+)
+def hydrophobe_clusters(spark, sf_dir):
+    return pharmacophores.hydrophobes(stand_in(spark, sf_dir), "atoms", 4.0).select("mol_id", "cluster", "size", *[r6(c).alias(c) for c in "xyz"])
+
+
+#: Features made of a stand-in molecule's atoms: kind, element, the atom's place, its neighbours' places.
+DIRECTED_FEATURES = (("aromatic", None, 0, (1, 2)), ("donor", "N", 1, (2, 3)), ("acceptor", "N", 2, (3, 4)), ("acceptor", "O", 3, (4,)), ("halogen", "F", 5, (6,)))
+
+
+@query(
+    f"""WITH {DUCK['atoms']}, u AS (SELECT a.mol_id, a.idx AS i, b.idx AS j, (b.x-a.x)/sqrt({R2}) AS x, (b.y-a.y)/sqrt({R2}) AS y, (b.z-a.z)/sqrt({R2}) AS z FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id WHERE a.idx <> b.idx),
+    c AS (SELECT a.mol_id, a.y*b.z-a.z*b.y AS x, a.z*b.x-a.x*b.z AS y, a.x*b.y-a.y*b.x AS z FROM u a JOIN u b ON a.mol_id = b.mol_id WHERE a.i = 0 AND b.i = 0 AND a.j = 1 AND b.j = 2),
+    m AS (SELECT mol_id, -sum(x) AS x, -sum(y) AS y, -sum(z) AS z FROM u WHERE i = 2 AND j IN (3, 4) GROUP BY 1),
+    w AS (SELECT mol_id, 0 AS idx, 'aromatic' AS kind, s.n, s.v*x/sqrt(x*x+y*y+z*z) AS x, s.v*y/sqrt(x*x+y*y+z*z) AS y, s.v*z/sqrt(x*x+y*y+z*z) AS z FROM c, (VALUES (0, 1.0), (1, -1.0)) s(n, v)
+    UNION ALL SELECT mol_id, 1, 'donor', j-2, x, y, z FROM u WHERE i = 1 AND j IN (2, 3)
+    UNION ALL SELECT mol_id, 2, 'acceptor', 0, x/sqrt(x*x+y*y+z*z), y/sqrt(x*x+y*y+z*z), z/sqrt(x*x+y*y+z*z) FROM m
+    UNION ALL SELECT mol_id, i, CASE i WHEN 3 THEN 'acceptor' ELSE 'halogen' END, 0, -x, -y, -z FROM u WHERE (i = 3 AND j = 4) OR (i = 5 AND j = 6))
+    SELECT mol_id, idx::INTEGER AS idx, kind, n::INTEGER AS n, round(x, 6)+0.0 AS x, round(y, 6)+0.0 AS y, round(z, 6)+0.0 AS z FROM w"""
+)
+def feature_directions(spark, sf_dir):
+    atom = F.col("atoms")
+    rows = [F.struct(F.lit(at).alias("idx"), F.lit(kind).alias("kind"), F.lit(element).cast("string").alias("element"), atom[at].alias("at"), F.array(*[atom[n] for n in near]).alias("near")) for kind, element, at, near in DIRECTED_FEATURES]
+    features = stand_in(spark, sf_dir).select("mol_id", "atoms", F.inline(F.array(*rows))).withColumns({"beyond": F.lit(None).cast("struct<x:double,y:double,z:double>"), "hydrogens": F.lit(0)})
+    each = pharmacophores.directions(features).select("mol_id", "idx", "kind", F.posexplode("ways").alias("n", "w"))
+    return each.select("mol_id", "idx", "kind", "n", *[r6(f"w.{c}").alias(c) for c in "xyz"])
+
+
+@query(ORACLES["coulomb_potential"])
+def molecule_potentials(spark, sf_dir):
+    """Molecules built from atoms and bare surface points: the constructor adds the potentials."""
+    bare = F.transform("surface", lambda p: F.struct(p["idx"].cast("int").alias("idx"), *[p[c].alias(c) for c in "xyz"]))
+    built = molecules.molecule(stand_in(spark, sf_dir).select("mol_id", "atoms", bare.alias("surface")))
+    return built.select("mol_id", F.inline("surface")).select("mol_id", "idx", r6("q").alias("potential"))
+
+
+@query(
+    f"WITH {DUCK['atoms']}, c AS (SELECT a.mol_id, a.idx, "
+    + ", ".join(f"a.{c}-avg(a.{c}) OVER (PARTITION BY a.mol_id) AS {c}" for c in "xyz")
+    + " FROM atoms a) SELECT a.mol_id AS ref_id, b.mol_id AS fit_id, a.idx::INTEGER AS idx, "
+    + ", ".join(f"round({s}.{c}, 6)+0.0 AS {side}_{c}" for s, side in (("a", "ref"), ("b", "fit")) for c in "xyz")
+    + " FROM c a JOIN c b ON b.mol_id = a.mol_id + 1 AND a.idx = b.idx"
+)
+def centered_pairs(spark, sf_dir):
+    """Each molecule paired with the next one, both on their own centers."""
+    rows = stand_in(spark, sf_dir)
+    made = molecules.paired(rows.select(F.col("mol_id").alias("ref_id"), (F.col("mol_id") + 1).alias("fit_id")), rows, rows, ("atoms",), True)
+    both = made.select("ref_id", "fit_id", F.inline(F.arrays_zip("ref_atoms", "fit_atoms")))
+    return both.select("ref_id", "fit_id", F.col("ref_atoms.idx").cast("int").alias("idx"), *[r6(f"{s}_atoms.{c}").alias(f"{s}_{c}") for s in ("ref", "fit") for c in "xyz"])
+
+
 @query()
 def smooth_surface(spark, sf_dir):
     return surfaces.smooth_surface(stand_in(spark, sf_dir), 60, per_atom=8)
