@@ -117,18 +117,17 @@ def halogen_directions(at: np.ndarray, neighbour: np.ndarray) -> list[np.ndarray
     return [_unit(at - neighbour)]
 
 
-def _mean_way(ways: Column) -> Column:
-    """Normalised mean of an array of directions; the zero vector where they cancel."""
-    mean = V.unit(V.vec(*(F.aggregate(ways[c], F.lit(0.0), lambda s, x: s + x) for c in "xyz")))
-    return V.vec(*(F.coalesce(mean[c], F.lit(0.0)) for c in "xyz"))
-
-
-def _turned_by(v: Column, axis: Column, degrees: float) -> Column:
-    k, a = V.unit(axis), float(np.radians(degrees))
+def _turned_by(v: Column, k: Column, degrees: float) -> Column:
+    """v turned about the unit vector k (right-handed)."""
+    a = float(np.radians(degrees))
     side = V.cross(k, v)
     return V.vec(*(v[c] * np.cos(a) + side[c] * np.sin(a) + k[c] * V.dot(k, v) * (1 - np.cos(a)) for c in "xyz"))
 
 
+def _less(a: Column, b: Column) -> Column:
+    return V.vec(*(a[c] - b[c] for c in "xyz"))
+
+
 def directions(features: DataFrame) -> DataFrame:
     """(mol_id, idx, kind, ways): the directions of each feature, by the rules of the functions above, as Columns.
 
@@ -136,28 +135,28 @@ def directions(features: DataFrame) -> DataFrame:
     hydrogens of a donor, the neighbours of an acceptor or halogen; ``beyond`` is NULL or an atom past the only
     neighbour. No ways: the feature is dropped by its reader. Other kinds have none.
     """
-    rows = features.withColumn("_ways", F.transform("near", lambda n: V.unit(V.vec(*(n[c] - F.col("at")[c] for c in "xyz")))))
-    ways, n, none = F.col("_ways"), F.size("near"), F.array().cast("array<struct<x:double,y:double,z:double>>")
-    first, minus = F.get(ways, F.lit(0)), F.lit(-1.0)
-    away = V.scaled(first, minus)
-    normal = V.unit(V.cross(*(V.vec(*(F.get("near", F.lit(i))[c] - F.col("at")[c] for c in "xyz")) for i in (0, 1))))
-    opposite = V.scaled(_mean_way(ways), minus)
-    long_enough = V.norm(V.vec(*(F.aggregate(ways[c], F.lit(0.0), lambda s, x: s + x) / 3 for c in "xyz"))) > 0.1
-    plane = V.cross(first, V.vec(*(F.col("beyond")[c] - F.get("near", F.lit(0))[c] for c in "xyz")))
-    flat = F.coalesce(V.norm(plane), F.lit(0.0)) < 1e-9
-    between = V.vec(*(first[c] - F.get(ways, F.lit(1))[c] for c in "xyz"))
-    nitrogen = F.when(n.isin(1, 2) | ((n == 3) & long_enough), F.array(opposite)).otherwise(none)
+    c, n, minus = F.col, F.size("near"), F.lit(-1.0)
+    none = F.array().cast("array<struct<x:double,y:double,z:double>>")
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    # step by step: each column is read often by the next ones, and one expression of all would grow with every reading
+    rows = features.withColumn("_ways", F.transform("near", lambda p: V.unit(_less(p, c("at")))))
+    rows = rows.withColumns({"_way": F.get("_ways", F.lit(0)), "_next": F.get("_ways", F.lit(1)), "_normal": V.cross(_less(first, c("at")), _less(second, c("at"))), "_sum": V.vec(*(F.aggregate(c("_ways")[x], F.lit(0.0), lambda s, v: s + v) for x in "xyz"))})
+    rows = rows.withColumns({"_plane": V.cross(c("_way"), _less(c("beyond"), first)), "_between": _less(c("_way"), c("_next")), "_away": V.scaled(c("_way"), minus), "_length": V.norm(c("_sum")), "_normal": V.unit(c("_normal"))})
+    opposite = V.vec(*(-F.coalesce(F.try_divide(c("_sum")[x], c("_length")), F.lit(0.0)) for x in "xyz"))
+    rows = rows.withColumns({"_opposite": opposite, "_flat": F.coalesce(V.norm(c("_plane")), F.lit(0.0)) < 1e-9, "_plane": V.unit(c("_plane")), "_between": V.unit(c("_between"))})
+    away, opposite = c("_away"), c("_opposite")
+    nitrogen = F.when(n.isin(1, 2) | ((n == 3) & (c("_length") / 3 > 0.1)), F.array(opposite)).otherwise(none)
     oxygen = (
-        F.when((n == 1) & flat, F.array(away))
-        .when(n == 1, F.array(*(_turned_by(first, plane, d) for d in (120, -120))))
-        .when(n == 2, F.array(*(_turned_by(opposite, between, d) for d in (54.5, -54.5))))
+        F.when((n == 1) & c("_flat"), F.array(away))
+        .when(n == 1, F.array(*(_turned_by(c("_way"), c("_plane"), d) for d in (120, -120))))
+        .when(n == 2, F.array(*(_turned_by(opposite, c("_between"), d) for d in (54.5, -54.5))))
         .otherwise(none)
     )
     other = F.when((n > 0) & (F.coalesce("hydrogens", F.lit(0)) == 0), F.array(away)).otherwise(none)
     acceptor = F.when(F.col("element") == "N", nitrogen).when(F.col("element") == "O", oxygen).otherwise(other)
     found = (
-        F.when((F.col("kind") == "aromatic") & (n > 1), F.array(normal, V.scaled(normal, minus)))
-        .when(F.col("kind") == "donor", ways)
+        F.when((F.col("kind") == "aromatic") & (n > 1), F.array(c("_normal"), V.scaled(c("_normal"), minus)))
+        .when(F.col("kind") == "donor", c("_ways"))
         .when(F.col("kind") == "acceptor", acceptor)
         .when((F.col("kind") == "halogen") & (n > 0), F.array(away))
         .otherwise(none)
