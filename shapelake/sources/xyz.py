@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,26 @@ def symbol(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SYMBOLS]), number.cast("int") + 1)
 
 
+def atom_line(s: Column, x: Column, y: Column, z: Column) -> Column:
+    """A symbol and three coordinates of eight places, NULL if one is. Python rounds the double itself, half to even, as
+    C's printf does; Java's format rounds its shortest digits, half up."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([None if None in r else "%s %15.8f %15.8f %15.8f" % r for r in rows], pa.string())
+
+    return F.arrow_udf(run, "string")(s, x, y, z)
+
+
 def blocks(atoms: DataFrame, key: str = "mol_id", drop_dummies: bool = False) -> DataFrame:
-    """(key, xyz) from (key, idx, z_number, x, y, z): count, blank, an atom a line, blank. Order is by idx."""
+    """(key, xyz) from (key, idx, z_number, x, y, z): count, blank, an atom a line, blank. Order is by idx.
+
+    An atom without a position counts and has no line; xyz is NULL if no atom has one.
+    """
     rows = atoms.where("z_number <> 0") if drop_dummies else atoms
-    line = F.format_string("%s %15.8f %15.8f %15.8f", symbol(F.col("z_number")), "x", "y", "z")
+    line = atom_line(symbol(F.col("z_number")), *(F.col(c).cast("double") for c in "xyz"))
     each = rows.select(key, "idx", line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda p: p["line"]), "\n")
+    text = F.when(F.exists("lines", lambda p: p["line"].isNotNull()), F.array_join(F.transform("lines", lambda p: p["line"]), "\n"))
     return each.select(key, F.concat(F.size("lines").cast("string"), F.lit("\n\n"), text, F.lit("\n\n")).alias("xyz"))
 
 

@@ -51,3 +51,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_xyz_block_equals_sql_at_ties_and_odd_values(spark, tmp_path):
+    """Halves of the last place, which are exact in binary, values of many digits, no number, no position, no vector."""
+    odd = [k / 1024 for k in range(1, 22)], [-k / 1024 for k in range(1, 22)], [1e-12, -1e-12, -0.0, 12345678.9, 1e9, 3e22, float("nan"), float("inf"), -float("inf"), *[0.1] * 12], [None, 0.2, 0.3, *[0.4] * 18], [None] * 21
+    rows = [(k, [*v, *[0.5] * 43], 0) for k, v in enumerate(odd)] + [(len(odd), None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    ours = {r["mol_id"]: r["xyz"] for r in catalog.xyz_block(spark, str(tmp_path)).collect()}
+    assert ours == dict(con.execute(catalog.ORACLES["xyz_block"]).fetchall())
+    assert ours[len(odd)] is None
