@@ -39,3 +39,23 @@ def test_panel_of_eight(spark, name):
     out = catalog.QUERIES[name](spark, SF)
     id_col = next(c for c in ("query_id", "ref_id") if c in out.columns)
     assert {r[0] for r in out.select(id_col).distinct().collect()} == set(range(8))
+
+
+def test_conformers_make_no_pairs(spark, tmp_path):
+    """No join of a label with itself; one molecule alone represents its label, and one without a position itself."""
+    rows = [(0, [0.1] * 64, 5), *[(k, [k / 1000, None if k == 9 else 0.0, *[0.1] * 62], 6) for k in range(1, 40)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalog.conformer_clusters(spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(5, 0), (6, 8), (6, 38)]
+
+
+@pytest.mark.parametrize("kind", ["even", "grid", "copies", "flat"])
+def test_conformers_by_position_are_those_by_pairs(kind):
+    rng = np.random.default_rng(3)
+    for n, threshold, most in ((1, 0.2, 1), (7, 0.2, 5), (90, 1.0, 5), (300, 0.5, 20)):
+        at = rng.standard_normal((n, 3))
+        at = {"even": at, "grid": np.round(at * 2) / 2, "copies": at[rng.integers(0, n, n)], "flat": at * [3, 0.5, 0]}[kind]
+        i, j = np.triu_indices(n, 1)
+        x, y, z = ((at[i] - at[j]) ** 2).T
+        assert sorted(conformers.point_representatives(at, threshold, most)) == sorted(conformers.representatives(n, i, j, np.sqrt(x + y + z), threshold, most))
