@@ -54,11 +54,14 @@ def align_arrays(mode: str, ref: dict, fit: dict, *, alpha: float, lam: float |
     def poses(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(x) or not len(y):
             return np.array([[1.0, 0, 0, 0]]), np.zeros((1, 3))
-        return K.seeds_at(x, y, x) if trans_init else K.coarse_grid(x, y, seeds) if coarse else K.seeds(x, y, seeds)
-
-    start = [poses(x[m > 0], y[n > 0]) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
-    count = max(len(s[0]) for s in start)  # pairs with fewer poses repeat their first
-    q, t = (np.stack([np.concatenate([s[i], np.repeat(s[i][:1], count - len(s[i]), axis=0)]) for s in start]) for i in range(2))
+        return K.seeds_at(x, y, x) if trans_init else K.coarse_grid(x, y, seeds)
+
+    if trans_init or coarse:
+        start = [poses(x[m > 0], y[n > 0]) for x, m, y, n in zip(pa_, ma, pb, mb, strict=True)]
+        count = max(len(s[0]) for s in start)  # pairs with fewer poses repeat their first
+        q, t = (np.stack([np.concatenate([s[i], np.repeat(s[i][:1], count - len(s[i]), axis=0)]) for s in start]) for i in range(2))
+    else:
+        q, t = K.seeds_of(pa_, ma, pb, mb, seeds)
     bonus = None
     if mode in ("vol", "surf"):
         channels = [(1.0, K.shape_channel(pa_, pb, ma, mb, alpha))]
@@ -105,10 +108,15 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
             if name == "vol_and_surf_esp":  # its slopes hold three numbers for each surface point and atom
                 work *= 3
             step = max(1, CHUNK // (8 * work))
+            order = np.arange(len(batch))
+            if name == "pharm":  # rows of alike many typed pairs together, as a chunk is as wide as its fullest row
+                (ma, a), (mb, b) = (side["pharm"] for side in sides)
+                order = K.meetings(a["ptype"], b["ptype"], ma, mb).argsort(kind="stable")
             for at in range(0, len(batch), step):
-                part = [{c: (m[at : at + step], {k: v[at : at + step] for k, v in f.items()}) for c, (m, f) in side.items()} for side in sides]
+                rows = order[at : at + step]
+                part = [{c: (m[rows], {k: v[rows] for k, v in f.items()}) for c, (m, f) in side.items()} for side in sides]
                 score, q, t = align_arrays(name, *part, **options)
-                yield pa.RecordBatch.from_arrays([batch.column("ref_id").slice(at, step), batch.column("fit_id").slice(at, step), pa.array(score), *(pa.array(q[:, i].copy()) for i in range(4)), *(pa.array(t[:, i].copy()) for i in range(3))], names=[c.split()[0] for c in POSE.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("ref_id", "fit_id")), pa.array(score), *(pa.array(q[:, i].copy()) for i in range(4)), *(pa.array(t[:, i].copy()) for i in range(3))], names=[c.split()[0] for c in POSE.split(", ")])
 
     return pairs.select("ref_id", "fit_id", *[f"{s}_{c}" for s in ("ref", "fit") for c in columns]).mapInArrow(run, POSE)
 

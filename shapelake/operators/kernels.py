@@ -7,6 +7,7 @@ result. Shapes: K pairs, S poses a pair, N and M points (padded, weight 0).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -105,6 +106,16 @@ def fibonacci(n: int) -> np.ndarray:
     return np.column_stack([np.cos(phi) * r, y, np.sin(phi) * r])
 
 
+@lru_cache(maxsize=64)
+def fixed_turns(room: int) -> np.ndarray:
+    """The start turns that no molecule changes, for so many places: quarter turns of the axes, then even directions."""
+    half = np.sqrt(0.5)
+    own = [np.array([half, *(s * half * np.eye(3)[x])]) for x in range(3) for s in (1, -1)][: max(0, min(6, room))]
+    if room > len(own):
+        own += [between(np.array([1.0, 0, 0]), p) for p in fibonacci(room - len(own))]
+    return np.array(own).reshape(-1, 4)
+
+
 def seeds(ref: np.ndarray, fit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n start poses: identity, four by principal axes, quarter turns of the axes, then even directions; centroids meet.
 
@@ -115,15 +126,59 @@ def seeds(ref: np.ndarray, fit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     own = [np.array([1.0, 0, 0, 0])]
     if min(len(ref), len(fit)) >= 3 and np.isfinite(ref).all() and np.isfinite(fit).all():
         own += list(pca_quaternions(ref, fit))
-    half = np.sqrt(0.5)
-    own += [np.array([half, *(s * half * np.eye(3)[x])]) for x in range(3) for s in (1, -1)][: max(0, min(6, n - len(own)))]
-    if n > len(own):
-        own += [between(np.array([1.0, 0, 0]), p) for p in fibonacci(n - len(own))]
-    q = np.array(own[: max(n, 5) if n < 5 else n])
+    q = np.concatenate([np.array(own), fixed_turns(n - len(own))])[: max(n, 5)]
     t = ref.mean(axis=0) - np.einsum("sij,j->si", matrices(q), fit.mean(axis=0))
     return q, t
 
 
+def _betweens(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``between`` of unit vectors (..., 3)."""
+    axis, dot = np.cross(v, w), (v * w).sum(axis=-1, keepdims=True)
+    size = np.linalg.norm(axis, axis=-1, keepdims=True)
+    level = size < 1e-9
+    if level.any():
+        other = np.cross(v, np.eye(3)[np.argmin(np.abs(v), axis=-1)])
+        axis = np.where(level, other, axis)
+        size = np.linalg.norm(axis, axis=-1, keepdims=True)
+    half = np.arccos(np.clip(dot, -1, 1)) / 2
+    turn = np.concatenate([np.cos(half), axis / size * np.sin(half)], axis=-1)
+    return np.where(level & (dot > 0), [1.0, 0, 0, 0], turn)
+
+
+def seeds_of(a: np.ndarray, ma: np.ndarray, b: np.ndarray, mb: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``seeds`` of K pairs of clouds with masks at once; pairs with fewer poses repeat their first."""
+    real = [m > 0 for m in (ma, mb)]
+    points = [np.where(w[..., None], x, 0.0) for x, w in zip((a, b), real, strict=True)]
+    sound = np.isfinite(points[0]).all(axis=(1, 2)) & np.isfinite(points[1]).all(axis=(1, 2)) & (np.minimum(*(w.sum(axis=1) for w in real)) >= 3)
+    if n == 1:
+        sound[:] = False
+    rest = {k: seeds(a[k][real[0][k]], b[k][real[1][k]], n) if real[0][k].any() and real[1][k].any() else (np.array([[1.0, 0, 0, 0]]), np.zeros((1, 3))) for k in np.flatnonzero(~sound)}
+    count = max([max(n, 5) * bool(sound.any()), *(len(x[0]) for x in rest.values())])
+    q, t = np.empty((len(a), count, 4)), np.empty((len(a), count, 3))
+    for k, own in rest.items():
+        q[k], t[k] = (np.concatenate([x, np.repeat(x[:1], count - len(x), axis=0)]) for x in own)
+    if not sound.any():
+        return q, t
+    means, axes = [], []
+    for x, w in zip(points, real, strict=True):
+        x, w = x[sound], w[sound]
+        size = w.sum(axis=1)[:, None]
+        mean = x.sum(axis=1) / size
+        p = (x - mean[:, None]) * w[..., None]
+        values, own = np.linalg.eigh(((p * p).sum(axis=(1, 2))[:, None, None] * np.eye(3) - np.swapaxes(p, 1, 2) @ p) / size[..., None])
+        means.append(mean)
+        axes.append(np.swapaxes(np.take_along_axis(own, np.argsort(-values, axis=1)[:, None], axis=2), 1, 2))
+    target, own = axes
+    s0, s1 = (np.array(x)[None, :, None] for x in ((1, -1, 1, -1), (1, 1, -1, -1)))
+    first = _betweens(np.broadcast_to(own[:, None, 0], (len(own), 4, 3)), s0 * target[:, None, 0])
+    second = (matrices(first) @ own[:, None, 1, :, None])[..., 0]
+    turns = product(_betweens(second, s1 * target[:, None, 1]), first)
+    fixed = np.concatenate([[[1.0, 0, 0, 0]], fixed_turns(n - 5)])
+    q[sound] = np.concatenate([np.broadcast_to(fixed[:1], (len(own), 1, 4)), turns, np.broadcast_to(fixed[1:], (len(own), len(fixed) - 1, 4))], axis=1)
+    t[sound] = means[0][:, None] - (matrices(q[sound]) @ means[1][:, None, :, None])[..., 0]
+    return q, t
+
+
 def seeds_at(ref: np.ndarray, fit: np.ndarray, centers: np.ndarray, per_center: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Five seeds on the centroid, and ``per_center`` turns with the fit's centroid on each further center."""
     q, t = seeds(ref, fit, 5)
@@ -203,9 +258,9 @@ def _facing(raw: np.ndarray, directed: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def overlap(c: Channel | PairChannel, q: np.ndarray, t: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """(value (K, S), gradient over q, gradient over t) of a channel at some poses; q are unit quaternions."""
     m = matrices(q)
-    b = np.einsum("ksij,kmj->ksmi", m, c.b) + t[:, :, None, :]
     if isinstance(c, PairChannel):
-        return _overlap_pairs(c, q, m, b, gradient)
+        return _overlap_pairs(c, q, t, m, gradient)
+    b = np.einsum("ksij,kmj->ksmi", m, c.b) + t[:, :, None, :]
     square = (c.a**2).sum(-1)[:, None, :, None] + (b**2).sum(-1)[:, :, None, :] - 2 * (c.a[:, None] @ np.swapaxes(b, 2, 3))
     term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * np.maximum(square, 0))
     turn = None
@@ -223,21 +278,32 @@ def overlap(c: Channel | PairChannel, q: np.ndarray, t: np.ndarray, gradient: bo
     return value, to_quaternion_gradient(q, g if turn is None else g + turn), force.sum(axis=2)
 
 
-def _overlap_pairs(c: PairChannel, q: np.ndarray, m: np.ndarray, b: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    diff = c.a[:, None] - b
-    term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * (diff * diff).sum(axis=3))
+def _overlap_pairs(c: PairChannel, q: np.ndarray, t: np.ndarray, m: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Coordinates stand before the listed pairs, (K, S, 3, P), so that all poses of a pair turn in one product."""
+    k, s, p = *q.shape[:2], c.a.shape[1]
+    turns = m.reshape(k, 3 * s, 3)
+    diff = np.swapaxes(c.a, 1, 2)[:, None] - (turns @ np.swapaxes(c.b, 1, 2)).reshape(k, s, 3, p) - t[..., None]
+    square = diff[:, :, 0] * diff[:, :, 0] + diff[:, :, 1] * diff[:, :, 1] + diff[:, :, 2] * diff[:, :, 2]
+    term = c.weight[:, None] * np.exp(-c.alpha[:, None] / 2 * square)
     turn = None
     if c.ua is not None:
-        factor, slope = _facing((c.ua[:, None] * np.einsum("ksij,kpj->kspi", m, c.ub)).sum(axis=3), c.directed[:, None])
+        ua = np.swapaxes(c.ua, 1, 2)[:, None]
+        looks = (turns @ np.swapaxes(c.ub, 1, 2)).reshape(k, s, 3, p) * ua
+        factor, slope = _facing(looks[:, :, 0] + looks[:, :, 1] + looks[:, :, 2], c.directed[:, None])
         if gradient:
-            turn = np.swapaxes((term * slope)[..., None] * c.ua[:, None], 2, 3) @ c.ub[:, None]
+            turn = (((term * slope)[:, :, None] * ua).reshape(k, 3 * s, p) @ c.ub).reshape(k, s, 3, 3)
         term = term * factor
     value = term.sum(axis=2)
     if not gradient:
         return value, None, None
-    force = (term * c.alpha[:, None])[..., None] * diff
-    g = np.swapaxes(force, 2, 3) @ c.b[:, None]
-    return value, to_quaternion_gradient(q, g if turn is None else g + turn), force.sum(axis=2)
+    force = (term * c.alpha[:, None])[:, :, None] * diff
+    g = (force.reshape(k, 3 * s, p) @ c.b).reshape(k, s, 3, 3)
+    return value, to_quaternion_gradient(q, g if turn is None else g + turn), force.sum(axis=3)
+
+
+def meetings(ta: np.ndarray, tb: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
+    """How many pairs of features of one type each row has, Dummy apart."""
+    return sum(((ta == k) * ma).sum(axis=1) * ((tb == k) * mb).sum(axis=1) for k in range(len(PHARM_ALPHAS)) if k != DUMMY)
 
 
 def self_overlap(a: np.ndarray, alpha: np.ndarray, weight: np.ndarray, u: np.ndarray | None = None, directed: np.ndarray | None = None) -> np.ndarray:

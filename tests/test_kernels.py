@@ -209,3 +209,42 @@ def test_other_similarities_and_more_starts():
     wide = align_arrays("pharm", ref, fit, **OPTIONS, seeds=8, steps=20, trans_init=True)[0]
     assert np.all(np.isfinite(plain)) and np.all(wide >= plain - 0.2)
     assert np.all(align_arrays("pharm", ref, ref, **OPTIONS, seeds=8, steps=20, similarity="tversky_ref")[0] > 0.99)
+
+
+def test_start_poses_at_once_are_those_pair_by_pair(monkeypatch):
+    """Masks, few points, none; and no turn is found anew for each pair."""
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(30, 7, 3)) + 2, rng.normal(size=(30, 7, 3))
+    ma, mb = ((rng.random((30, 7)) < 0.5).astype(float) for _ in "ab")
+    ma[0], mb[1] = 0, 0
+    for n in (1, 3, 5, 16, 32):
+        alone = [K.seeds(x[m > 0], y[w > 0], n) if m.any() and w.any() else (np.array([[1.0, 0, 0, 0]]), np.zeros((1, 3))) for x, m, y, w in zip(a, ma, b, mb, strict=True)]
+        q, t = K.seeds_of(a, ma, b, mb, n)
+        for k, own in enumerate(alone):
+            long = len(own[0])
+            assert np.allclose(K.matrices(q[k, :long]), K.matrices(own[0]), atol=1e-6) and np.allclose(t[k, :long], own[1], atol=1e-6)
+            assert (q[k, long:] == q[k, 0]).all() and (t[k, long:] == t[k, 0]).all()
+    K.seeds_of(a, ma, b, mb, 32)
+    calls, between = [], K.between
+    monkeypatch.setattr(K, "between", lambda v, w: calls.append(1) or between(v, w))
+    K.seeds_of(a, np.ones((30, 7)), b, np.ones((30, 7)), 32)
+    assert not calls
+
+
+def test_few_typed_pairs_score_as_all_pairs():
+    """The list of pairs that count against the whole table, with slopes."""
+    rng = np.random.default_rng(12)
+    a, b, ua, ub = (rng.normal(size=(6, 7, 3)) for _ in range(4))
+    ua, ub = (u / np.linalg.norm(u, axis=-1, keepdims=True) for u in (ua, ub))
+    ta, tb = (rng.integers(0, 9, (6, 7)) for _ in "ab")
+    listed = K.pharm_channel(a, b, np.ones((6, 7)), np.ones((6, 7)), ta, tb, ua, ub)
+    assert isinstance(listed, K.PairChannel)
+    assert K.meetings(ta, tb, np.ones((6, 7)), np.ones((6, 7))).tolist() == (listed.weight != 0).sum(axis=1).tolist()
+    q, t = rng.normal(size=(6, 5, 4)), rng.normal(size=(6, 5, 3))
+    q /= np.linalg.norm(q, axis=-1, keepdims=True)
+    same = (ta[:, :, None] == tb[:, None, :]) & (ta != K.DUMMY)[:, :, None]
+    alpha = np.array(K.PHARM_ALPHAS)[ta][:, :, None] * np.ones((1, 1, 7))
+    kinds = np.array([2 if i in K.ANTIPARALLEL else 1 if i in K.DIRECTIONAL else 0 for i in range(9)])[ta][:, :, None] * np.ones((1, 1, 7), dtype=int)
+    whole = K.Channel(a, b, alpha, same * (np.pi / (2 * alpha)) ** 1.5, listed.aa, listed.bb, ua, ub, kinds)
+    for x, y in zip(K.overlap(listed, q, t), K.overlap(whole, q, t), strict=True):
+        assert np.allclose(x, y, atol=1e-12)
