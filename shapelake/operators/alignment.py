@@ -112,6 +112,7 @@ def align(pairs: DataFrame, mode: str = "vol", *, alpha: float | None = None, la
             if name == "pharm":  # rows of alike many typed pairs together, as a chunk is as wide as its fullest row
                 (ma, a), (mb, b) = (side["pharm"] for side in sides)
                 order = K.meetings(a["ptype"], b["ptype"], ma, mb).argsort(kind="stable")
+                step = max(1, step // 3)  # the listed pairs of a chunk then stay in a core's cache
             for at in range(0, len(batch), step):
                 rows = order[at : at + step]
                 part = [{c: (m[rows], {k: v[rows] for k, v in f.items()}) for c, (m, f) in side.items()} for side in sides]
